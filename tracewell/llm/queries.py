@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import table
+from tracewell.llm.decontaminate import UNITS, contaminated
 from tracewell.llm.exact_dedup import exact_duplicates
+from tracewell.llm.html_extract import extract
+from tracewell.llm.langid import identify
 from tracewell.llm.line_dedup import dedup_lines
+from tracewell.llm.minhash import near_duplicates
 from tracewell.llm.packing import pack
 from tracewell.llm.tokens import token_counts
+from tracewell.llm.toxicity import classify
 from tracewell.session import ship
 
 
@@ -29,15 +34,40 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_language_id": op4_language_id,
+    "op5_decontamination": op5_decontamination,
     "op7_packing": op7_packing,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_toxicity": op9_toxicity,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 
@@ -46,7 +76,60 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for name, f in QUERIES.items()}
 
 
+_CANONICAL = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(coalesce(text, ''),
+    '([\p{Ll},;] )(\p{Lu}\p{Ll}+)', '\1' || chr(57344) || 'x\2' || chr(57345), 'g')),
+    '[^\p{L}\p{M}\p{Nd}' || chr(57344) || chr(57345) || ']+', ' ', 'g'),
+    '([0-9]) ?(UNITS)( |$)', '\1 ' || chr(57344) || 'u\2' || chr(57345) || '\3', 'g'),
+    '[0-9]+', chr(57344) || 'n\0' || chr(57345), 'g'))""".replace("UNITS", "|".join(sorted(UNITS, key=lambda u: (-len(u), u))))
+_TEMPLATE = "regexp_replace({}, chr(57344) || '(.)[^' || chr(57345) || ']*' || chr(57345), chr(57344) || '\\1', 'g')"
+_SLOTS = "regexp_extract_all({}, chr(57344) || '([^' || chr(57345) || ']*)' || chr(57345), 1)"
+
 ORACLES: dict[str, str] = {
+    "op5_decontamination": f"""
+        WITH d AS (SELECT doc_id, string_split({_CANONICAL}, ' ') AS w FROM documents),
+        dw AS (SELECT doc_id, i - 1 AS pos, array_to_string(list_slice(w, i, i + 4), ' ') AS win
+               FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+        b AS (SELECT item_id, string_split({_CANONICAL}, ' ') AS w FROM benchmark),
+        bw AS (SELECT item_id, i - 1 AS ipos, array_to_string(list_slice(w, i, i + 4), ' ') AS iwin
+               FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+        sizes AS (SELECT item_id, count(*) AS n_windows FROM bw GROUP BY item_id),
+        dt AS (SELECT *, {_TEMPLATE.format("win")} AS t FROM dw),
+        bt AS (SELECT *, {_TEMPLATE.format("iwin")} AS t FROM bw),
+        hits AS (SELECT doc_id, item_id, pos - ipos AS shift, ipos, win, iwin FROM dt JOIN bt USING (t)),
+        slots AS (SELECT DISTINCT doc_id, item_id, shift, unnest({_SLOTS.format("iwin")}) AS theirs, unnest({_SLOTS.format("win")}) AS ours FROM hits),
+        judged AS (SELECT doc_id, item_id, shift, count(*) > count(DISTINCT theirs) AS clash, bool_or(theirs <> ours) AS moved
+                   FROM slots GROUP BY ALL),
+        per_item AS (
+          SELECT h.doc_id, h.item_id, count(DISTINCT ipos) AS n_matched, coalesce(bool_or(moved), false) AS changed
+          FROM hits h LEFT JOIN judged j ON h.doc_id = j.doc_id AND h.item_id = j.item_id AND h.shift = j.shift
+          WHERE NOT coalesce(clash, false) GROUP BY ALL),
+        best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n_matched / n_windows DESC, item_id) AS r
+                 FROM per_item JOIN sizes USING (item_id))
+        SELECT d.doc_id, b.item_id, coalesce(n_matched, 0) AS n_matched, coalesce(n_windows, 0) AS n_windows,
+               coalesce(changed, false) AS changed, coalesce(n_matched * 100 >= n_windows * 75, false) AS contaminated
+        FROM documents d LEFT JOIN (SELECT * FROM best WHERE r = 1) b ON b.doc_id = d.doc_id""",
+    "op10_near_dedup": r"""
+        WITH RECURSIVE words AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        sets AS (
+          SELECT DISTINCT doc_id, hash(array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ')) AS s
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM words WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        pairs AS (
+          SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id
+          GROUP BY ALL),
+        links AS (
+          SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+          WHERE 100 * common >= 75 * (x.n + y.n - common)),
+        reach AS (
+          SELECT doc_id AS id, doc_id AS to_id FROM sizes
+          UNION
+          SELECT r.id, l.b FROM reach r JOIN links l ON r.to_id = l.a),
+        comp AS (SELECT id, min(to_id) AS c FROM reach GROUP BY id)
+        SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id,
+               d.doc_id = coalesce(c.c, d.doc_id) AS kept
+        FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN comp c ON c.id = d.doc_id""",
     "op1_line_dedup": r"""
         WITH lines AS (
           SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
