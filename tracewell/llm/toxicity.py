@@ -4,8 +4,8 @@ Words become symbols (insult, threat, target, negation, speech, other). Four sma
 symbols of a clause: negation and reported speech mark the insults and threats in their reach, target marks those that have
 somebody to aim at, and the last one emits a pattern for each marked insult or threat. They are composed into one
 deterministic table once; a clause is one walk through it. A document is scored by a logistic model over its
-pattern counts, fitted from a prior on a bounded, documented sample of labelled rows. Words that are isolated in the
-training data from the patterns' view (toxic rows that the lexicon misses) extend the lexicon.
+pattern counts, fitted from a prior on a bounded, documented sample of labelled rows. Beginnings of words that tell
+toxic training rows which the grammar's own words miss from others extend the lexicon.
 """
 
 from __future__ import annotations
@@ -45,8 +45,9 @@ SYMBOLS = ("OTHER", "INSULT", "THREAT", "TARGET", "NEGATION", "SPEECH", "END")
 REACH = 3
 #: Labelled rows that the fit takes, in expectation, chosen by the hash of their id. A bound of the fit, not of scoring.
 TRAIN_ROWS = 20_000
-#: Words learned from toxic rows that the grammar's own words miss: at most so many, each in so many rows and with such log odds.
-LEARNED, LEAST_ROWS, LEAST_ODDS = 200, 10, 4.0
+#: Word beginnings learned from toxic rows that the grammar's own words miss: their lengths, at most so many, each in so many
+#: rows and with such log odds.
+STEM, LEARNED, LEAST_ROWS, LEAST_ODDS = (3, 4, 5, 6, 7), 60, 3, 3.0
 
 CLAUSE = regex.compile(r"[.!?;:\n]+")
 WORD = regex.compile(r"\p{L}[\p{L}'’]*")
@@ -132,7 +133,7 @@ class Grammar:
         """Patterns of one clause, with their counts."""
         state, found = 0, Counter()
         for w in words:
-            s = lexicon.get(w, 0)
+            s = lexicon.get(w) or next((lexicon[w[:n] + "*"] for n in STEM if w[:n] + "*" in lexicon), 0)
             if (p := self.emit[state][s]) >= 0:
                 found[p] += 1
             state = self.next[state][s]
@@ -192,11 +193,69 @@ def logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, pull: float = 1.0)
 
 def _lexicon(extra: list[str], grammar: Grammar) -> tuple[dict[str, int], list[str]]:
     lexicon = {w: grammar.index[s] for s, words in WORDS.items() for w in words}
-    lexicon |= {w: grammar.index["INSULT"] for w in extra if w not in lexicon}
-    triggers = [w for w, s in lexicon.items() if s in (grammar.index["INSULT"], grammar.index["THREAT"])]
+    lexicon |= {f"{w}*": grammar.index["INSULT"] for w in extra}
+    triggers = [w.rstrip("*") for w, s in lexicon.items() if s in (grammar.index["INSULT"], grammar.index["THREAT"])]
     return lexicon, [w for w in triggers if not any(v != w and v in w for v in triggers)]
 
 
+def stems_of(text: str) -> set[str]:
+    """The beginnings of a text's words, as candidates for the lexicon."""
+    return {w[:n] for w in set(WORD.findall(text.lower())) for n in STEM if len(w) >= n}
+
+
+def _stems(sample: DataFrame, base: ToxicityModel) -> list[str]:
+    """Word beginnings that tell toxic rows which the base lexicon misses from rows that aren't toxic.
+
+    Few are taken: greedily the one that explains most of the rows left. All that is gathered is bounded by the sample.
+    """
+
+    def count(rows: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            g, c = Grammar(), Counter()
+            for batch in batches:
+                for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if rows == "missed" and toxic == 1 and not base.clauses(text or "", g):
+                        c.update(stems_of(text or ""))
+                    elif rows == "clean" and toxic != 1:
+                        c.update(stems_of(text or "") & wanted.value)
+                        c[""] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["stem", "n"])
+
+        return sample.select("text", "toxic").mapInArrow(run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+
+    missed = {r["stem"]: r["n"] for r in count("missed").filter(F.col("n") >= LEAST_ROWS).collect()}
+    if not missed:
+        return []
+    wanted = sample.sparkSession.sparkContext.broadcast(set(missed))
+    clean = {r["stem"]: r["n"] for r in count("clean").collect()}
+    rows = max(1, clean.get("", 0))
+    total = max(missed.values())
+    odds = {w: math.log((n + 0.5) / (total + 1)) - math.log((clean.get(w, 0) + 0.5) / (rows + 1)) for w, n in missed.items()}
+    chosen = sample.sparkSession.sparkContext.broadcast({w for w, x in odds.items() if x >= LEAST_ODDS})
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = Grammar()
+        for batch in batches:
+            out = [
+                sorted(stems_of(t or "") & chosen.value)
+                for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if toxic == 1 and not base.clauses(t or "", g)
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], names=["stems"])
+
+    left = [set(r["stems"]) for r in sample.select("text", "toxic").mapInArrow(held, "stems array<string>").collect()]
+    out: list[str] = []
+    while left and len(out) < LEARNED:
+        gain = Counter(w for s in left for w in s)
+        if not gain:
+            break
+        best = max(gain, key=lambda w: (gain[w], odds[w], -len(w), w))
+        if gain[best] < 2:
+            break
+        out.append(best)
+        left = [s for s in left if best not in s]
+    return out
+
+
 def bounded(labels: DataFrame, most: int) -> DataFrame:
     """All rows if there are at most `most`, else so many in expectation, by the hash of doc_id."""
     million = 1 << 20
@@ -210,40 +269,7 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> ToxicityModel:
     base = ToxicityModel(*_lexicon([], grammar), prior(grammar))
     sample = bounded(labelled.filter("toxic is not null").select("doc_id", "text", "toxic"), train_rows)
 
-    def missed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each word, in how many toxic rows that no pattern matches, and in how many other rows, it occurs."""
-        g = Grammar()
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if toxic == 1 and not base.clauses(text or "", g):
-                    seen[1].update(set(WORD.findall((text or "").lower())))
-        words = sorted(seen[1])
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[1][w] for w in words], pa.int64())], names=["word", "n"])
-
-    unexplained = (
-        sample.select("text", "toxic").mapInArrow(missed, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "word").limit(20 * LEARNED).collect()
-    )
-    extra: list[str] = []
-    if unexplained:
-        candidates = {r["word"]: r["n"] for r in unexplained}
-
-        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c: Counter = Counter()
-            for batch in batches:
-                for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    c["\0rows", toxic] += 1
-                    if toxic != 1:
-                        c.update((w, 0) for w in set(WORD.findall((text or "").lower())) & candidates.keys())
-            keys = list(c)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([int(k[1] == 1) for k in keys], pa.int32()), pa.array([c[k] for k in keys], pa.int64())], names=["word", "toxic", "n"])
-
-        found = {(r["word"], r["toxic"]): r["n"] for r in sample.select("text", "toxic").mapInArrow(clean, "word string, toxic int, n long").groupBy("word", "toxic").agg(F.sum("n").alias("n")).collect()}
-        rows_of = {k: max(1, found.get(("\0rows", k), 0)) for k in (0, 1)}
-        odds = {w: math.log((k + 0.5) / rows_of[1]) - math.log((found.get((w, 0), 0) + 0.5) / rows_of[0]) for w, k in candidates.items()}
-        extra = sorted((w for w in odds if odds[w] >= LEAST_ODDS), key=lambda w: -odds[w])[:LEARNED]
-    model = ToxicityModel(*_lexicon(extra, grammar), prior(grammar))
+    model = ToxicityModel(*_lexicon(_stems(sample, base), grammar), prior(grammar))
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct feature vectors with their labels and counts: few, as most texts match nothing."""
