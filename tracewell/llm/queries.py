@@ -16,6 +16,7 @@ from tracewell.llm.langid import identify
 from tracewell.llm.line_dedup import dedup_lines
 from tracewell.llm.minhash import near_duplicates
 from tracewell.llm.packing import pack
+from tracewell.llm.suffix_dedup import remove_repeats
 from tracewell.llm.tokens import token_counts
 from tracewell.llm.toxicity import classify
 from tracewell.session import ship
@@ -42,6 +43,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_packing": op7_packing,
     "op8_html_extraction": op8_html_extraction,
     "op9_toxicity": op9_toxicity,
@@ -130,6 +137,21 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id,
                d.doc_id = coalesce(c.c, d.doc_id) AS kept
         FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN comp c ON c.id = d.doc_id""",
+    "op6_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        w AS (SELECT doc_id, i, md5_number(array_slice(b, i, i + 99)) AS h
+              FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 98)) AS i FROM d)),
+        f AS (SELECT h, min(doc_id) AS d0, arg_min(i, (doc_id, i)) AS i0 FROM w GROUP BY h HAVING count(*) > 1),
+        dup AS (SELECT doc_id, i FROM w JOIN f USING (h) WHERE doc_id > d0 OR i > i0),
+        edge AS (SELECT doc_id, i, coalesce(i > lag(i) OVER o + 100, true) AS opens FROM dup WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        numbered AS (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM edge),
+        spans AS (SELECT doc_id, k, min(i) AS s, max(i) + 100 AS e FROM numbered GROUP BY ALL),
+        cuts AS (
+          SELECT doc_id, s, e FROM spans UNION ALL SELECT doc_id, octet_length(b) + 1, octet_length(b) + 1 FROM d),
+        kept AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s, e), 1) AS a, s AS z, e - s AS gone, e > s AS is_span FROM cuts)
+        SELECT doc_id, any_value(octet_length(b)) AS n_bytes, CAST(sum(gone) AS BIGINT) AS n_removed, CAST(count(*) FILTER (WHERE is_span) AS BIGINT) AS n_spans,
+               sha256(unhex(string_agg(CASE WHEN z > a THEN hex(array_slice(b, a, z - 1)) ELSE '' END, '' ORDER BY z, is_span DESC))) AS kept_sha256
+        FROM kept JOIN d USING (doc_id) GROUP BY doc_id""",
     "op1_line_dedup": r"""
         WITH lines AS (
           SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
