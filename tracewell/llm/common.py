@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import math
 import tempfile
 import uuid
@@ -14,7 +16,9 @@ from pyspark.sql import functions as F
 HOT = 1000
 
 _FALLBACK: dict[str, str] = {}
-_SCRATCH: dict[str, list[str]] = {}
+#: Scratch folders by (application, scope), and the scope that new ones belong to.
+_SCRATCH: dict[tuple[str, str], list[str]] = {}
+_SCOPE = ["session"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,12 +51,22 @@ def delete_path(spark: SparkSession, path: str) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/tracewell-{name}-{uuid.uuid4().hex}"
     app = spark.sparkContext.applicationId
-    if app not in _SCRATCH:
+    if not any(a == app for a, _ in _SCRATCH):
         atexit.register(_release_quietly, spark)
-    _SCRATCH.setdefault(app, []).append(path)
+    _SCRATCH.setdefault((app, _SCOPE[-1]), []).append(path)
     return path
 
 
+@contextlib.contextmanager
+def scope(name: str):
+    """Scratch tables written inside belong to this scope, and release() can drop them without touching others."""
+    _SCOPE.append(name)
+    try:
+        yield
+    finally:
+        _SCOPE.pop()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back, so that several readers share one computation.
 
@@ -64,20 +78,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables; only valid once every result that reads them has been written."""
-    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
+def release(spark: SparkSession, name: str) -> None:
+    """Delete the scratch tables of a scope; only valid once every result that reads them has been written."""
+    for path in _SCRATCH.pop((spark.sparkContext.applicationId, name), []):
         delete_path(spark, path)
 
 
 def _release_quietly(spark: SparkSession) -> None:
     try:
         if spark.sparkContext._jsc is not None:
-            release(spark)
+            for app, name in list(_SCRATCH):
+                if app == spark.sparkContext.applicationId:
+                    release(spark, name)
     except Exception:  # noqa: BLE001  the JVM may be gone at exit; nothing is left to tidy then
         pass
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files that no DataFrame refers to any more, before the next large shuffle."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession, rows: int, per: int) -> int:
     """Enough partitions for `per` rows each, and at least the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / max(1, per)))

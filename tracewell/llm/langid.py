@@ -155,6 +155,24 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language; others (null, empty, without a letter) go. A model that
+    knows no language rejects nothing but those."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            if sent.value.langs:
+                good = [x != UNDETERMINED for x in sent.value.score(texts)[0]]
+            else:
+                good = [bool(LETTER.search(t)) for t in texts]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(fold: int, folds: int = 4):
     """Whether crc32 of doc_id as text is `fold` modulo `folds`; a null doc_id is hashed as an empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == fold

@@ -11,16 +11,15 @@ All hashes are 64 bits under a 48-bit name, and equal texts have equal hashes, s
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.bwt import repeated
-from tracewell.llm.common import join_keyed, materialize, partitions
+from tracewell.llm.common import join_keyed, materialize, partitions, tidy
 from tracewell.llm.minimizers import WIDTH, runs, window_hashes
 
 #: A place is start * 128 + number of windows.
@@ -33,12 +32,6 @@ HOT_NAME = 20_000
 ROWS_A_TASK = 5_000
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files that no DataFrame refers to any more, before the next large shuffle."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of each document: (name, identity, doc, place). Within a batch, later equals of a run are told apart as repeats at once:
     identity null. So a run that all documents share leaves one row a batch, not one a document."""
