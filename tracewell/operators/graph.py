@@ -8,27 +8,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.kernels import flat_clusters, linkage
+from tracewell.scratch import cut
 
 
 def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """nodes(keys.., node) with `component`, the smallest node reachable over edges(keys.., a, b).
 
-    Labels spread to neighbours and then to the labels' labels, so rounds grow with the logarithm of a component's diameter. The lineage is
-    cut by a reliable checkpoint each round; only whether anything changed reaches the driver.
+    Labels spread to neighbours and then to the labels' labels, so rounds grow with the logarithm of a component's diameter. Each round's
+    labels are written and read back, which cuts the lineage; only whether anything changed reaches the driver.
     """
-    spark = nodes.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracewell-checkpoint"))
-    both = edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = nodes.select(*keys, "node", F.col("node").alias("l")).checkpoint()
+    both = cut(edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = cut(nodes.select(*keys, "node", F.col("node").alias("l")))
     while True:
         far = labels.select(*keys, F.col("node").alias("b"), F.col("l").alias("lb"))
         near = both.join(far, [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("lb").alias("near"))
-        step = labels.join(near, [*keys, "node"], "left").select(*keys, "node", F.col("l").alias("old"), F.least("l", F.coalesce("near", "l")).alias("l"))
+        step = cut(labels.join(near, [*keys, "node"], "left").select(*keys, "node", F.col("l").alias("old"), F.least("l", F.coalesce("near", "l")).alias("l")))
         jump = step.select(*keys, F.col("node").alias("l"), F.col("l").alias("up"))
-        after = step.join(jump, [*keys, "l"]).select(*keys, "node", "old", F.least("l", "up").alias("l")).checkpoint()
+        after = cut(step.join(jump, [*keys, "l"]).select(*keys, "node", "old", F.least("l", "up").alias("l")))
         labels = after.select(*keys, "node", "l")
         if after.filter("l <> old").isEmpty():
             return labels.withColumnRenamed("l", "component")

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tracewell.functions import special
 
@@ -25,22 +26,22 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, arm: str, first, se
     ).withColumn("median_difference", F.col("median1") - F.col("median2"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mann_whitney_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
     return pd.Series([special.mann_whitney_p(a, int(n), int(m), t) if a == a else float("nan") for a, n, m, t in zip(u, n1, n2, ties, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([special.student_two_sided(a, d) if a == a else float("nan") for a, d in zip(t, df, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def wilcoxon_p(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
     return pd.Series([special.wilcoxon_p(a, int(k), bool(t)) for a, k, t in zip(w, n, ties, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def kolmogorov_p(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     return pd.Series([special.kolmogorov_p(a, int(i), int(j)) for a, i, j in zip(d, n, m, strict=True)])
 

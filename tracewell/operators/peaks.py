@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.kernels import find_peaks
-from tracewell.operators.traces import IN_ORDER, KEY
+from tracewell.operators.traces import KEY, in_order
 
 
 def local_maxima(samples: DataFrame) -> DataFrame:
     """(key, frame, v) of each peak. Runs of equal samples are collapsed to one row first."""
-    started = samples.withColumn("new", F.coalesce((F.col("v") != F.lag("v").over(IN_ORDER)).cast("int"), F.lit(1)))
-    runs = started.withColumn("run", F.sum("new").over(IN_ORDER)).groupBy(*KEY, "run").agg(
+    started = samples.withColumn("new", F.coalesce((F.col("v") != F.lag("v").over(in_order())).cast("int"), F.lit(1)))
+    runs = started.withColumn("run", F.sum("new").over(in_order())).groupBy(*KEY, "run").agg(
         F.min("frame").alias("first"), F.max("frame").alias("last"), F.max("v").alias("v"))
     by_run = Window.partitionBy(*KEY).orderBy("run")
     sides = runs.withColumns({"before": F.lag("v").over(by_run), "after": F.lead("v").over(by_run)})
@@ -52,8 +52,8 @@ def prominences(samples: DataFrame, peaks: DataFrame | None = None) -> DataFrame
 
 def peak_clusters(peaks: DataFrame, radius: float) -> DataFrame:
     """peaks with `cluster`: consecutive peaks at most `radius` frames apart share one, numbered from 0 in each trace."""
-    far = F.coalesce((F.col("frame") - F.lag("frame").over(IN_ORDER) > radius).cast("int"), F.lit(0))
-    return peaks.withColumn("far", far).withColumn("cluster", F.sum("far").over(IN_ORDER).cast("int")).drop("far")
+    far = F.coalesce((F.col("frame") - F.lag("frame").over(in_order()) > radius).cast("int"), F.lit(0))
+    return peaks.withColumn("far", far).withColumn("cluster", F.sum("far").over(in_order()).cast("int")).drop("far")
 
 
 def peak_hierarchy(peaks: DataFrame, radius: float) -> DataFrame:
@@ -67,7 +67,7 @@ def valley_windows(samples: DataFrame, peaks: DataFrame) -> DataFrame:
     """(key, frame, lo, hi): half-open window from the lowest sample behind the previous peak to the lowest before the next one; the
     trace's first and last peak look to its ends. The lowest frame of equals."""
     ends = samples.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("frame", "v"))).alias("s"), (F.max("frame") + 1).alias("n"))
-    near = peaks.select(*KEY, "frame", F.coalesce(F.lag("frame").over(IN_ORDER), F.lit(0)).alias("prev"), F.lead("frame").over(IN_ORDER).alias("next"))
+    near = peaks.select(*KEY, "frame", F.coalesce(F.lag("frame").over(in_order()), F.lit(0)).alias("prev"), F.lead("frame").over(in_order()).alias("next"))
     rows = near.join(ends, KEY).withColumn("next", F.coalesce("next", "n"))
 
     def lowest(lo: str, hi: str):

@@ -69,6 +69,6 @@ def cumulative_shifts(adjacent: DataFrame, keys: list[str], day: str, anchor: in
     w = Window.partitionBy(*keys)
     before = w.orderBy(day).rowsBetween(0, Window.unboundedFollowing)
     after = w.orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
-    early = adjacent.filter(F.col(day) <= anchor).select(*keys, (F.col(day) - 1).alias(day), *[F.bround(F.sum(c).over(before)).alias(c) for c in ("dy", "dx")], F.min("corr").over(before).alias("corr"))
-    late = adjacent.filter(F.col(day) > anchor).select(*keys, day, *[(-F.bround(F.sum(c).over(after))).alias(c) for c in ("dy", "dx")], F.min("corr").over(after).alias("corr"))
+    early = adjacent.filter(F.col(day) <= anchor).select(*keys, (F.col(day) - 1).alias(day), *[(F.bround(F.sum(c).over(before)) + F.lit(0.0)).alias(c) for c in ("dy", "dx")], F.min("corr").over(before).alias("corr"))
+    late = adjacent.filter(F.col(day) > anchor).select(*keys, day, *[(F.lit(0.0) - F.bround(F.sum(c).over(after))).alias(c) for c in ("dy", "dx")], F.min("corr").over(after).alias("corr"))
     return early.unionByName(late)

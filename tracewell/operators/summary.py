@@ -115,3 +115,15 @@ def stat_bases(df: DataFrame, keys: list[str]) -> DataFrame:
     names = [c[5:] for c in df.columns if c.startswith("mean_")]
     pairs = [F.struct(F.lit(s).alias("stat"), F.col(f"mean_{s}").alias("m"), (F.col(f"var_{s}") if f"var_{s}" in df.columns else F.lit(None).cast("double")).alias("v")) for s in names]
     return df.select(*keys, F.explode(F.array(*pairs)).alias("x")).select(*keys, "x.stat", "x.m", "x.v")
+
+
+def legend(names: DataFrame) -> DataFrame:
+    """(name, description) for comparison columns, by prefix and suffix; unknown names have an empty description."""
+    n = F.col("name")
+    kinds = {"mean": "Mean of ", "var": "Total variance of ", "within": "Variance within parts of ", "between": "Variance between parts of "}
+    out = F.when(n == "n_videos", "Number of recordings").when(n == "n_neurons", "Number of accepted neurons").when(
+        n.startswith("n_groups_"), F.concat(F.lit("Number of groups, strategy "), F.expr("substring(name, 10)")))
+    for k, text in kinds.items():
+        pattern = rf"^(.*)_{k}_([a-z]+)$"
+        out = out.when(n.rlike(pattern), F.concat(F.lit(text), F.regexp_extract(n, pattern, 1), F.lit(", "), F.regexp_extract(n, pattern, 2)))
+    return names.select("name", out.otherwise("").alias("description"))

@@ -7,12 +7,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEY = ["recording_id", "roi_idx"]
-BY_TRACE = Window.partitionBy(*KEY)
-IN_ORDER = BY_TRACE.orderBy("frame")
+
+
+def by_trace() -> WindowSpec:
+    return Window.partitionBy(*KEY)
+
+
+def in_order() -> WindowSpec:
+    return by_trace().orderBy("frame")
 
 
 def minmax(samples: DataFrame, per_roi: bool = False) -> DataFrame:
@@ -25,8 +31,8 @@ def minmax(samples: DataFrame, per_roi: bool = False) -> DataFrame:
 
 def zscore(samples: DataFrame, least: float = 0.0) -> DataFrame:
     """Population z-score a trace; null where the deviation is 0, and 0 where it is below `least`."""
-    sd = F.stddev_pop("v").over(BY_TRACE)
-    z = (F.col("v") - F.avg("v").over(BY_TRACE)) / F.nullif(sd, F.lit(0.0))
+    sd = F.stddev_pop("v").over(by_trace())
+    z = (F.col("v") - F.avg("v").over(by_trace())) / F.nullif(sd, F.lit(0.0))
     return samples.select(*KEY, "frame", (F.when(sd < least, 0.0).otherwise(z) if least else z).alias("v"))
 
 
@@ -77,18 +83,18 @@ def samples_of(arrays: DataFrame) -> DataFrame:
 
 def rolling_variance_of_variance(samples: DataFrame, window: int = 30) -> DataFrame:
     """(key, value): population variance of the rolling population variance; null for traces under two windows."""
-    last = IN_ORDER.rowsBetween(-(window - 1), 0)
+    last = in_order().rowsBetween(-(window - 1), 0)
     rolled = samples.select(
-        *KEY, F.row_number().over(IN_ORDER).alias("rn"), F.count(F.lit(1)).over(BY_TRACE).alias("n"),
+        *KEY, F.row_number().over(in_order()).alias("rn"), F.count(F.lit(1)).over(by_trace()).alias("n"),
         F.greatest(F.avg(F.col("v") * F.col("v")).over(last) - F.pow(F.avg("v").over(last), 2), F.lit(0.0)).alias("var"))
     return rolled.groupBy(*KEY).agg(F.when(F.max("n") >= 2 * window, F.var_pop(F.when(F.col("rn") >= window, F.col("var")))).alias("value"))
 
 
 def autocorrelation(samples: DataFrame, *lags: int) -> DataFrame:
     """(key, rho_<lag>...): correlation with the shifted trace, centred globally, normed over the overlap."""
-    c = samples.select(*KEY, "frame", (F.col("v") - F.avg("v").over(BY_TRACE)).alias("x"))
+    c = samples.select(*KEY, "frame", (F.col("v") - F.avg("v").over(by_trace())).alias("x"))
     for k in lags:
-        c = c.withColumn(f"y{k}", F.lag("x", k).over(IN_ORDER))
+        c = c.withColumn(f"y{k}", F.lag("x", k).over(in_order()))
     rho = [
         (F.sum(F.col("x") * F.col(f"y{k}")) / F.sqrt(F.sum(F.when(F.col(f"y{k}").isNotNull(), F.col("x") * F.col("x"))) * F.sum(F.col(f"y{k}") * F.col(f"y{k}")) + 1e-12)).alias(f"rho_{k}")
         for k in lags
@@ -103,7 +109,7 @@ def autocorr_decay(samples: DataFrame, first: int = 1, second: int = 5) -> DataF
 
 def snr(samples: DataFrame) -> DataFrame:
     """(p95 - p20) / (1.4826 MAD + 1e-9), 0 where the MAD is 0; percentiles are exact, with linear interpolation."""
-    mid = samples.withColumn("m", F.median("v").over(BY_TRACE))
+    mid = samples.withColumn("m", F.median("v").over(by_trace()))
     p = mid.groupBy(*KEY).agg(
         F.percentile("v", 0.95).alias("p95"), F.percentile("v", 0.20).alias("p20"), F.median(F.abs(F.col("v") - F.col("m"))).alias("mad"))
     return p.select(*KEY, F.when(F.col("mad") <= 0, 0.0).otherwise((F.col("p95") - F.col("p20")) / (F.col("mad") * 1.4826 + 1e-9)).alias("value"))
@@ -111,7 +117,7 @@ def snr(samples: DataFrame) -> DataFrame:
 
 def derivative_features(samples: DataFrame) -> DataFrame:
     """(key, skew, asymmetry) of the differences: population skewness, 0 if constant; positive sum over absolute negative sum."""
-    d = samples.select(*KEY, (F.col("v") - F.lag("v").over(IN_ORDER)).alias("d")).filter("d is not null")
+    d = samples.select(*KEY, (F.col("v") - F.lag("v").over(in_order())).alias("d")).filter("d is not null")
     return d.groupBy(*KEY).agg(
         F.when(F.stddev_pop("d") > 0, F.skewness("d")).otherwise(0.0).alias("skew"),
         (F.sum(F.when(F.col("d") > 0, F.col("d")).otherwise(0.0)) / (F.sum(F.when(F.col("d") < 0, -F.col("d")).otherwise(0.0)) + 1e-9)).alias("asymmetry"))

@@ -1 +1 @@
-"""Part of tracewell."""
+"""Plans: the registered queries, over the star-schema tables, and the SQL that each is held against."""
