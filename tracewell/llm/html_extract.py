@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import materialize
+
 OPEN, MAIN, ARTICLE = 0, 1, 2
 
 #: Elements that end a block; whose content is never text; that hold no main text.
@@ -202,7 +204,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lines_outside(regions: list[int], lines: list[str]) -> list[int]:
-    return [xxhash.xxh64_intdigest(t) for r, t in zip(regions, lines, strict=True) if r != ARTICLE]
+    return [xxhash.xxh64_intdigest(t) - (1 << 63) for r, t in zip(regions, lines, strict=True) if r != ARTICLE]
 
 
 def main_text(regions: list[int], lines: list[str], neighbours: list[list[int]]) -> str:
@@ -219,47 +221,75 @@ def main_text(regions: list[int], lines: list[str], neighbours: list[list[int]])
     return "\n\n".join(t for k, t in enumerate(lines) if k not in shared)
 
 
+EDGE = "host string, path string, regions array<tinyint>, lines array<string>, has_before boolean, has_after boolean, before array<bigint>, after array<bigint>"
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    hashes = pa.list_(pa.int64())
+    kinds = [schema.field("page_id").type, pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int8()), pa.list_(pa.string()), pa.bool_(), pa.bool_(), hashes, hashes]
+    names = ["page_id", "url", "text", "host", "path", "regions", "lines", "has_before", "has_after", "before", "after"]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by host and path; one page behind and one ahead are held."""
+    """Rows come sorted by host and path; one page behind and one ahead are held. The task's first and last page, whose other
+    neighbour another task has, are passed on with what is known of them instead of a text."""
     before: tuple[str, list[int]] | None = None
-    held: tuple | None = None
+    held: dict | None = None
+    schema = None
 
-    def done(row, previous, following):
-        page, url, host, regions, lines, _ = row
-        near = [x[1] for x in (previous, following) if x is not None and x[0] == host]
-        return page, url, main_text(regions, lines, near)
+    def done(r: dict, own: list[int], following: tuple[str, list[int]] | None) -> tuple:
+        near = [x[1] if x is not None and x[0] == r["host"] else [] for x in (before, following)]
+        if before is None or following is None:
+            return (r["page_id"], r["url"], None, r["host"], r["path"], r["regions"], r["lines"], before is not None, following is not None, *near)
+        return (r["page_id"], r["url"], main_text(r["regions"], r["lines"], near), *[None] * 8)
 
+    own: list[int] = []
     for whole in batches:
+        schema = whole.schema
         for at in range(0, whole.num_rows, 500):
-            part, out = whole.slice(at, 500).to_pylist(), []
-            for r in part:
+            out = []
+            for r in whole.slice(at, 500).to_pylist():
                 lines = _lines_outside(r["regions"], r["lines"])
                 if held is not None:
-                    out.append(done(held, before, (r["host"], lines)))
-                    before = (held[2], held[5])
-                held = (r["page_id"], r["url"], r["host"], r["regions"], r["lines"], lines)
+                    out.append(done(held, own, (r["host"], lines)))
+                    before = (held["host"], own)
+                held, own = r, lines
             if out:
-                yield _rows(out, whole.schema)
-            schema = whole.schema
+                yield _batch(out, schema)
     if held is not None:
-        yield _rows([done(held, before, None)], schema)
+        yield _batch([done(held, own, None)], schema)
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tasks' first and last pages, sorted: two a task at most."""
+    rows = [r for batch in batches for r in batch.to_pylist()]
+    outside = [_lines_outside(r["regions"], r["lines"]) for r in rows]
 
+    def near(k: int, other: int, known: bool, lines: list[int]) -> list[int]:
+        if known:
+            return lines
+        return outside[other] if 0 <= other < len(rows) and rows[other]["host"] == rows[k]["host"] else []
 
-def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    kinds = [schema.field("page_id").type, schema.field("url").type, pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["page_id", "url", "text"])
+    texts = [main_text(r["regions"], r["lines"], [near(k, k - 1, r["has_before"], r["before"]), near(k, k + 1, r["has_after"], r["after"])]) for k, r in enumerate(rows)]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r["page_id"] for r in rows]), pa.array([r["url"] for r in rows], pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages(page_id, url, html).
 
     Null and empty pages have an empty text. Null and broken URLs count as one host. Pages are range-partitioned by host and path, so
-    that a host with a third of all pages is spread over tasks; the first and last page of a task have one neighbour.
-    Repeated rows pass through, other columns are ignored, an empty table gives an empty result.
+    that a host with a third of all pages is spread over tasks; the tasks' first and last pages meet their other neighbour in a second step,
+    so the result doesn't depend on where the ranges are cut. Repeated rows pass through, other columns are ignored, an empty table
+    gives an empty result.
     """
     rows = pages.select("page_id", "url", "html")
     kind = rows.schema["page_id"].dataType.simpleString()
+    order = ["host", "path", "url", "page_id"]
     read = rows.mapInArrow(_read, f"page_id {kind}, url string, host string, path string, regions array<tinyint>, lines array<string>")
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = read.repartitionByRange(n, "host", "path", "url", "page_id").sortWithinPartitions("host", "path", "url", "page_id")
-    return near.mapInArrow(_difference, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    near = read.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    out = materialize(near.mapInArrow(_difference, f"page_id {kind}, url string, text string, {EDGE}"), "pages")
+    edges = out.filter("text is null").coalesce(1).sortWithinPartitions(*order).mapInArrow(_settle, f"page_id {kind}, url string, text string")
+    return out.filter("text is not null").select("page_id", "url", "text").unionByName(edges).withColumn("n_chars", F.length("text").cast("long"))
