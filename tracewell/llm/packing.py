@@ -27,20 +27,43 @@ CHUNK = 2000
 
 
 class Ids(dict):
-    """Pre-token to its ids as little-endian unsigned 32-bit bytes."""
+    """Word to its ids as little-endian unsigned 32-bit bytes. No token of the vocabulary spans white space, so a run without any
+    stands alone."""
+
+    def __init__(self, blob: str):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-    def __init__(self, tok):
         super().__init__()
-        self.tok = tok
+        # pre-tokens come split and in lower case, so the steps that only do that are left out
+        self.tok = Tokenizer.from_str(blob)
+        self.tok.normalizer = None
+        self.tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.find = regex.compile(WORD_LEVEL).findall
+        self.last = np.zeros(self.tok.get_vocab_size(), dtype=bool)  # ids that end a pre-token
+        for piece, k in self.tok.get_vocab().items():
+            self.last[k] = piece.endswith("</w>")
+
+    def split(self, word: str) -> list[str]:
+        """Pre-tokens of a word; the two common shapes need no pattern."""
+        if word.isalpha():
+            return [word]
+        if word[:-1].isalpha() and not word[-1].isalnum():
+            return [word[:-1], word[-1]]
+        return self.find(word)
 
     def learn(self, words: set[str]) -> None:
+        """Look up all unknown words, many in one call: each pre-token ends with an id that marks its end."""
         if len(self) > MEMO:
             self.clear()
         new = [w for w in words if w not in self]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False), strict=True):
-                self[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        for k in range(0, len(new), 500):
+            some = new[k : k + 500]
+            parts = [self.split(w) for w in some]
+            ids = np.asarray(self.tok.encode(" ".join([p for found in parts for p in found]), add_special_tokens=False).ids, dtype="<u4")
+            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+            cuts = [0, *ends[np.cumsum([len(found) for found in parts]) - 1].tolist()]
+            raw = ids.tobytes()
+            self.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2) -> DataFrame:
@@ -51,14 +74,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(blob.value)
-        find = regex.compile(WORD_LEVEL).findall
-        memo = Ids(tok)
+        memo = Ids(blob.value)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             docs_left = iter(batch.column(0).to_pylist())
             for block in blocks(batch.column(1).to_pylist(), 1_000_000):
-                words = [None if UNSURE.search(t) else find(t.lower()) for t in block]
+                words = [None if UNSURE.search(t) else t.lower().split() for t in block]
                 memo.learn(set().union(*(w for w in words if w is not None)))
                 for t, found in zip(block, words, strict=True):
                     if found is None:
