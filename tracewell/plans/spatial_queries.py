@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators import graph, inference, matching, models, peaks, similarity, traces, waves
+from tracewell.operators import episodes, features, graph, imaging, inference, matching, models, peaks, similarity, traces, waves
+from tracewell.plans import workflows
 from tracewell.plans.registry import GRID, query
-from tracewell.plans.trace_queries import Z
+from tracewell.plans.trace_queries import PROMINENCE, WINDOWED, Z
 from tracewell.sources import adapters, recordings
 from tracewell.sources.adapters import table
 from tracewell.streaming import online
@@ -307,3 +308,131 @@ def roi_feature_table(spark: SparkSession, sf: str) -> DataFrame:
     s = adapters.day_traces(spark, sf)
     peak = peaks.prominences(s).groupBy("recording_id", "roi_idx").agg(F.count(F.lit(1)).alias("n_peaks"), F.median("prominence").alias("median_prominence"))
     return traces.roi_features(s).join(peak, ["recording_id", "roi_idx"], "left")
+
+
+IMAGES = "img AS (SELECT l_suppkey % 4 AS fov, l_linenumber AS day, CAST(l_partkey % 24 AS INT) AS y, CAST(l_orderkey % 20 AS INT) AS x, round(avg(l_quantity), 6) AS v FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL)"
+
+
+def _images(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").filter("l_linenumber <= 2")
+    return rows.groupBy((F.col("l_suppkey") % 4).alias("fov"), F.col("l_linenumber").alias("day"), (F.col("l_partkey") % 24).cast("int").alias("y"), (F.col("l_orderkey") % 20).cast("int").alias("x")).agg(F.round(F.avg("l_quantity"), 6).alias("v"))
+
+
+@query("q86_image_correlation", f"""WITH {IMAGES} SELECT a.fov, round(coalesce(covar_pop(a.v, b.v) / nullif(stddev_pop(a.v) * stddev_pop(b.v), 0), 0), 6) AS r
+    FROM img a JOIN img b ON a.fov = b.fov AND a.y = b.y + 2 AND a.x = b.x - 1 WHERE a.day = 1 AND b.day = 2 GROUP BY ALL""")
+def image_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    i = _images(spark, sf)
+    return imaging.correlation_for_shift(i.filter("day = 1").drop("day"), i.filter("day = 2").drop("day"), ["fov"], 2, -1).select("fov", _r("r"))
+
+
+@query("q87_shift_stretch", f"""WITH {IMAGES}, q AS (SELECT fov, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.995) AS hi FROM img WHERE day = 1 GROUP BY 1)
+    SELECT i.fov, y + 3 AS y, x - 2 AS x, round(least(greatest(coalesce((v - lo) / nullif(hi - lo, 0), 0), 0), 1) * 180, 4) AS v FROM img i JOIN q ON q.fov = i.fov WHERE day = 1 AND y + 3 < 24 AND x - 2 >= 0""")
+def shift_stretch(spark: SparkSession, sf: str) -> DataFrame:
+    bright = imaging.stretch(_images(spark, sf).filter("day = 1").drop("day"), ["fov"])
+    return imaging.shift_image(bright, ["fov"], 3, -2, 24, 20).select("fov", "y", "x", _r("v", 4))
+
+
+@query("q88_translations")
+def translations(spark: SparkSession, sf: str) -> DataFrame:
+    i = _images(spark, sf)
+    return imaging.translations(i.filter("day = 1").drop("day"), i.filter("day = 2").drop("day"), ["fov"], 24, 20, 6).select("fov", "dy", "dx", _r("r"))
+
+
+MASK = "mask AS (SELECT DISTINCT l_suppkey % 5 AS fov, CAST(l_partkey % 23 AS INT) AS y, CAST(l_orderkey % 19 AS INT) AS x FROM lineitem WHERE l_quantity > 40)"
+
+
+@query("q89_mask_outline", f"""WITH {MASK}, s(dy, dx) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)), v AS (SELECT fov, y + dy AS y, x + dx AS x FROM mask CROSS JOIN s)
+    SELECT fov, y, x FROM v WHERE y BETWEEN 0 AND 22 AND x BETWEEN 0 AND 18 GROUP BY ALL HAVING count(*) < 5""")
+def mask_outline(spark: SparkSession, sf: str) -> DataFrame:
+    m = table(spark, sf, "lineitem").filter("l_quantity > 40").select((F.col("l_suppkey") % 5).alias("fov"), (F.col("l_partkey") % 23).cast("int").alias("y"), (F.col("l_orderkey") % 19).cast("int").alias("x"))
+    return imaging.outline(m, ["fov"], 23, 19)
+
+
+@query("q90_front_boundary", f"""WITH {PHASIC}, full_ AS (SELECT a.frame, a.y, a.x FROM ok a JOIN ok b ON a.frame = b.frame AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL HAVING count(*) = 9)
+    SELECT frame, y AS "by", x AS bx FROM ok ANTI JOIN full_ USING (frame, y, x)""")
+def front_boundary(spark: SparkSession, sf: str) -> DataFrame:
+    return imaging.front_boundary(_phasic(spark, sf), ["rec"]).select("frame", "by", "bx")
+
+
+@query("q91_front_speed")
+def front_speed(spark: SparkSession, sf: str) -> DataFrame:
+    v = _phasic(spark, sf)
+    return imaging.leading_edge_speed(v, ["rec"], 2).join(imaging.single_front_fraction(v, ["rec"]), "rec").select(_r("speed"), _r("fraction"))
+
+
+@query("q92_component_extent", f"""WITH RECURSIVE {PHASIC}, n AS (SELECT frame, y, x, CAST(frame AS BIGINT) * 1000000 + y * 1000 + x AS id FROM ok),
+    e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id <> b.id AND abs(a.frame - b.frame) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+    reach(id, l) AS (SELECT id, id FROM n UNION SELECT e.b, least(r.l, e.b) FROM reach r JOIN e ON e.a = r.id WHERE r.l < e.b),
+    c AS (SELECT id, min(l) AS component FROM reach GROUP BY ALL)
+    SELECT component, count(*) AS n_voxels, max(frame) - min(frame) + 1 AS duration, max(y) - min(y) + 1 AS height, max(x) - min(x) + 1 AS width, count(DISTINCT (y, x)) AS n_places FROM n JOIN c USING (id) GROUP BY component""")
+def component_extent(spark: SparkSession, sf: str) -> DataFrame:
+    return waves.component_extent(waves.flood_fill(_phasic(spark, sf), ["rec"]), ["rec"]).drop("rec")
+
+
+@query("q93_movie_gradient_metrics")
+def movie_gradient_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = _movie(spark, sf).select(F.lit(0).alias("rec"), "frame", F.col("y").alias("by"), F.col("x").alias("bx"), "v")
+    out = imaging.gradient_metrics(imaging.relative_change(blocks, ["rec"], 5.0), ["rec"])
+    return out.select("frame", *[_r(c) for c in ("energy", "coherence", "divergence", "score")])
+
+
+@query("q94_derivative_onsets")
+def derivative_onsets(spark: SparkSession, sf: str) -> DataFrame:
+    return episodes.derivative_onsets(adapters.trace_arrays(adapters.day_traces(spark, sf)), 1.5, 0.9)
+
+
+@query("q95_candidate_episodes")
+def candidate_episodes(spark: SparkSession, sf: str) -> DataFrame:
+    at = peaks.local_maxima(adapters.day_traces(spark, sf))
+    density = waves.event_density(at, ["recording_id"], "frame", adapters.DAYS).withColumn("v", F.col("n").cast("double"))
+    null = inference.circular_shift_null(at, "recording_id", "roi_idx", "frame", adapters.DAYS, 50)
+    return episodes.candidate_episodes(density, null, "recording_id", 0.9)
+
+
+@query("q96_lag_null")
+def lag_null(spark: SparkSession, sf: str) -> DataFrame:
+    p = adapters.points(spark, sf)
+    edges = graph.knn_edges(p, ["episode"], 3, 60.0)
+    t = p.select("episode", F.col("node").alias("i"), F.col("onset_line").alias("ti")), p.select("episode", F.col("node").alias("j"), F.col("onset_line").alias("tj"))
+    lagged = edges.join(t[0], ["episode", "i"]).join(t[1], ["episode", "j"]).select("episode", "i", "j", (F.col("tj") - F.col("ti")).alias("lag"), F.lit(1.0).alias("corr"))
+    return imaging.lag_null(lagged, p, ["episode"], 19)
+
+
+@query("q97_area_asymmetry", f"""WITH {WINDOWED} SELECT recording_id, roi_idx, frame, round(coalesce((sum(CASE WHEN i > pk THEN abs(y) ELSE 0 END) - sum(CASE WHEN i < pk THEN abs(y) ELSE 0 END))
+    / nullif(sum(CASE WHEN i > pk THEN abs(y) ELSE 0 END) + sum(CASE WHEN i < pk THEN abs(y) ELSE 0 END), 0), 0), 6) AS value FROM ws GROUP BY ALL""")
+def area_asymmetry(spark: SparkSession, sf: str) -> DataFrame:
+    s = adapters.day_traces(spark, sf)
+    ws = peaks.window_samples(s, peaks.valley_windows(s, peaks.local_maxima(s)))
+    return features.area_asymmetry(ws).select("recording_id", "roi_idx", "frame", _r("value"))
+
+
+@query("q98_decay_shape")
+def decay_shape(spark: SparkSession, sf: str) -> DataFrame:
+    s = adapters.day_traces(spark, sf)
+    return features.decay_shape(peaks.window_samples(s, peaks.valley_windows(s, peaks.local_maxima(s))))
+
+
+@query("q99_peak_density", f"""WITH {PROMINENCE}, p AS (SELECT m.roi_idx, count(*) AS k, median(prominence) AS mp, sum(prominence) AS total, avg(m.v - g.v) AS lm FROM prom m JOIN grid g ON g.roi_idx = m.roi_idx AND g.frame = m.left_base GROUP BY 1),
+    s AS (SELECT recording_id, roi_idx, count(*) AS n, max(v) - min(v) AS r FROM grid GROUP BY ALL)
+    SELECT recording_id, s.roi_idx, round(coalesce(k, 0) / n, 6) AS density, round(coalesce(mp, 0), 6) AS median_prominence, round(coalesce(total / nullif(r, 0) / n, 0), 6) AS weighted_density, round(lm, 6) AS left_mean
+    FROM s LEFT JOIN p ON p.roi_idx = s.roi_idx""")
+def peak_density(spark: SparkSession, sf: str) -> DataFrame:
+    s = adapters.day_traces(spark, sf)
+    out = features.peak_density(peaks.prominences(s), s)
+    return out.select("recording_id", "roi_idx", _r("density"), _r("median_prominence"), _r("weighted_density"), _r("left_mean"))
+
+
+@query("q100_treatment_comparison", """WITH r AS (SELECT o_orderstatus AS treatment, CAST(c_nationkey AS VARCHAR) AS animal, o_custkey, count(*) AS w, avg(o_totalprice) AS mean, var_pop(o_totalprice) AS var FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+    a AS (SELECT treatment, animal, sum(mean * w) / sum(w) AS mean, sum(var * w) / sum(w) + greatest(sum(mean * mean * w) / sum(w) - pow(sum(mean * w) / sum(w), 2), 0) AS var, count(*) AS w FROM r GROUP BY ALL)
+    SELECT treatment, round(sum(mean * w) / sum(w), 3) AS mean, count(*) AS n_children, CAST(sum(w) AS BIGINT) AS w FROM a GROUP BY ALL""")
+def treatment_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("animal"))
+    r = table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("treatment"), "o_custkey").agg(F.count(F.lit(1)).alias("w"), F.avg("o_totalprice").alias("mean"), F.var_pop("o_totalprice").alias("var_total"))
+    out = workflows.treatment_comparison(r.join(c, "o_custkey"))["treatments"]
+    return out.select("treatment", _r("mean", 3), "n_children", F.col("w").cast("long").alias("w"))
+
+
+@query("q101_recording_analysis")
+def recording_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    out = workflows.analyse_recordings(adapters.day_traces(spark, sf), workflows.Settings(fs=1.0, sigma=1.0, distance=3))
+    return out["combined"].groupBy("recording_id", "cluster").agg(F.count(F.lit(1)).alias("n"))
