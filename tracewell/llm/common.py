@@ -37,12 +37,6 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; Spark's cleaner drops the files with the last reference."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def delete_path(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -110,11 +104,13 @@ def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, size: str, total: in
 
     A key may hold a third of all rows. Keys with more than total / HOT rows are at most HOT in number,
     a proven bound, and are joined map-side; all others fit in a task and go through a shuffle join.
-    Both inputs are read twice, so pass materialised ones. `size` isn't kept.
+    Both inputs are read twice, so pass materialised ones. `size` isn't kept. Only the hot keys themselves reach the driver.
     """
-    is_hot = F.col(size) * HOT > F.lit(total)
-    hot = keyed.filter(is_hot).drop(size)
-    rest = keyed.filter(~is_hot).drop(size)
-    by_map = rows.join(F.broadcast(hot), key)
-    by_shuffle = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest.hint("merge"), key)
+    hot = [r[0] for r in keyed.filter(F.col(size) * HOT > F.lit(total)).select(key).collect()]
+    keyed = keyed.drop(size)
+    if not hot:
+        return rows.join(keyed.hint("merge"), key)
+    is_hot = F.col(key).isin(hot)
+    by_map = rows.filter(is_hot).join(F.broadcast(keyed.filter(is_hot)), key)
+    by_shuffle = rows.filter(~is_hot).join(keyed.filter(~is_hot).hint("merge"), key)
     return by_map.unionByName(by_shuffle)
