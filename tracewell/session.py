@@ -27,8 +27,18 @@ def session(app: str = "tracewell", cpus: str = "*", **conf: str) -> SparkSessio
     return SparkSession.builder.master(f"local[{cpus}]").appName(app).config(map={**base, **conf}).getOrCreate()
 
 
+#: Rows of an Arrow batch: texts and pages make Spark's default of 10,000 rows some 40 MB, twice over for each running task.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once per application, so that Python workers can import it anywhere."""
+    """Send this package to the executors once per application, so that Python workers can import it anywhere.
+
+    The session's Arrow batches are made smaller if they still have Spark's default size.
+    """
+    name, default, rows = ARROW_ROWS
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, rows)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parent
