@@ -21,8 +21,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import materialize
-
 OPEN, MAIN, ARTICLE = 0, 1, 2
 
 #: Elements that end a block; whose content is never text; that hold no main text.
@@ -290,6 +288,7 @@ def extract(pages: DataFrame) -> DataFrame:
     read = rows.mapInArrow(_read, f"page_id {kind}, url string, host string, path string, regions array<tinyint>, lines array<string>")
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = read.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    out = materialize(near.mapInArrow(_difference, f"page_id {kind}, url string, text string, {EDGE}"), "pages")
-    edges = out.filter("text is null").coalesce(1).sortWithinPartitions(*order).mapInArrow(_settle, f"page_id {kind}, url string, text string")
+    out = near.mapInArrow(_difference, f"page_id {kind}, url string, text string, {EDGE}")
+    # both branches read the one range exchange; only the tasks' edge pages, two a task, go on to the second step
+    edges = out.filter("text is null").repartition(1).sortWithinPartitions(*order).mapInArrow(_settle, f"page_id {kind}, url string, text string")
     return out.filter("text is not null").select("page_id", "url", "text").unionByName(edges).withColumn("n_chars", F.length("text").cast("long"))
