@@ -375,6 +375,22 @@ def test_near_duplicates(spark, docs, none):
     assert sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(odd).collect() if r["doc_id"] is not None) == [(4, 4), (4, 4)]
 
 
+def test_no_link_is_lost_in_a_family_just_under_the_threshold(spark):
+    base, tail = [f"w{k}" for k in range(204)], 39  # 200 shingles in common, 39 of their own: similarity 0.72
+    rows = []
+    for k in range(400):
+        own = [f"t{k}x{j}" for j in range(tail)]
+        if k < 20:  # pairs that share 8 of them: 208 of 270
+            own[:8] = [f"pair{k // 2}x{j}" for j in range(8)]
+        rows.append((k, " ".join(base + own)))
+    random.Random(4).shuffle(rows)
+    rows = [(7 * k, text) for k, (_, text) in enumerate(rows)]
+    want = brute_components(rows)
+    assert sum(c != d for d, (_, c) in want.items()) == 10
+    got = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert {d: (r["n_shingles"], r["component_id"]) for d, r in got.items()} == want
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(6)
     common, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (300, 50, 50))

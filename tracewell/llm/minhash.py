@@ -6,9 +6,10 @@ sequence that all documents share (optimal densification). Bands of ROWS bins ar
 Documents with equal sets collapse to one representative first. Each bucket links its members to its smallest
 and its largest representative only, so pairs grow with the members. Links are confirmed on the full
 sets. Buckets whose members are then still in different components get a random member as a further
-centre, round after round, until a round finds no new link; members whose sizes, or distances from a centre they share, rule
-a link out are not compared (the Jaccard distance is a metric, so nothing is lost). At a similarity of 0.75, 32 bands of 4 miss a pair with
-probability 5e-6; README.md has the measured difference from comparing every pair of every bucket.
+centre, round after round, until a round finds no new link. Then every pair of a bucket's members that are still in different
+components is compared, so the result is that of comparing all pairs of all buckets. Members whose sizes, or distances from a
+centre they share, rule a link out are not compared (the Jaccard distance is a metric, so nothing is lost). At a similarity of
+0.75, 32 bands of 4 miss a pair with probability 5e-6.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import join_keyed, materialize, scratch_path, tidy
@@ -33,6 +34,8 @@ DONORS = np.random.default_rng(11).integers(0, BINS, (BINS, 4 * BINS))
 MEMO = 1_000_000
 #: Rounds of further centres that are made even if they find nothing.
 LEAST_ROUNDS = 2
+#: Members of a bucket in one block, where the rest of its pairs is dealt out by pairs of blocks.
+BLOCK = 256
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -177,7 +180,7 @@ class NearDuplicates:
         self.docs = docs.select("doc_id", "text")
         self.size, self.percent = size, percent
         self.kind = self.docs.schema["doc_id"].dataType.simpleString()
-        self.rounds: list[tuple[int, int]] = []  # pairs compared and links found by each further round
+        self.rounds: list[tuple[int, int]] = []  # pairs compared and links found by each further round, and by the rest
 
     def gather(self, members: DataFrame) -> None:
         """The sets of all representatives that share a bucket, worked out once and stored by id: joins that look up a pair's one
@@ -204,6 +207,31 @@ class NearDuplicates:
         union = F.col("both") - F.col("common")
         return materialize(common.select("a", "b", (1 - F.col("common") / union).alias("d"), (F.col("common") * 100 >= union * self.percent).alias("link")), "links")
 
+    def rest(self, held: DataFrame, still: DataFrame) -> DataFrame:
+        """(a, b): all pairs of members of one bucket in different components that sizes and distances don't rule out.
+
+        still holds each open bucket with its size m. Pairs inside the bucket's largest component aren't looked at: one side
+        is the members outside it. Both sides are dealt into blocks, and pairs of blocks spread over all tasks.
+        """
+        total = max(1, still.agg(F.sum("m")).first()[0] or 0)
+        rows = materialize(join_keyed(held, still.select("bucket", "m"), "bucket", "m", total), "rest")
+        parts = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+        most = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("c"), F.sum("n").alias("m"))
+        most = materialize(most.select("bucket", F.col("c.component").alias("main"), F.ceil((F.col("m") - F.col("c.n")) / BLOCK).alias("deep"), F.ceil(F.col("m") / BLOCK).alias("wide"), "m"), "most")
+        rows = materialize(join_keyed(rows, most, "bucket", "m", total), "rest").withColumn("outer", F.col("component") != F.col("main"))
+        salt = lambda n: F.pmod(F.xxhash64("rep", "bucket"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+        one = rows.filter("outer").select("bucket", F.col("rep").alias("c"), F.col("component").alias("cc"), F.col("size").alias("c_size"), F.col("d_low").alias("c_low"), F.col("d_high").alias("c_high"), salt("deep").alias("i"), every("wide").alias("j"))
+        two = rows.select("bucket", "rep", "component", "size", "d_low", "d_high", "outer", salt("wide").alias("j"), every("deep").alias("i"))
+        met = two.hint("shuffle_hash").join(one, ["bucket", "i", "j"]).filter("component <> cc").filter(~F.col("outer") | (F.col("c") < F.col("rep"))).filter(self.near())
+        return met.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
+
+    def near(self) -> Column:
+        """Two members can't be a link if their sizes, or their distances from one centre, differ too much: the distance is a metric."""
+        most = 1 - self.percent / 100 + 1e-9
+        return (F.abs(F.col("d_low") - F.col("c_low")) <= most) & (F.abs(F.col("d_high") - F.col("c_high")) <= most) & (
+            F.least("size", "c_size") * 100 >= F.greatest("size", "c_size") * self.percent)
+
     def run(self) -> DataFrame:
         """One row per row of docs: doc_id, n_shingles, component_id, kept."""
         rows = materialize(self.docs.mapInArrow(_sketch(self.size), f"doc_id {self.kind}, n_shingles long, digest binary, bands array<long>"), "sketches")
@@ -226,10 +254,6 @@ class NearDuplicates:
         to_low = members.join(star.select(F.col("a").alias("low"), F.col("b").alias("rep"), F.col("d").alias("d_low")), ["low", "rep"], "left")
         to_both = to_low.join(star.select(F.col("a").alias("rep"), F.col("b").alias("high"), F.col("d").alias("d_high")), ["rep", "high"], "left")
         members = materialize(to_both.select("bucket", "rep", "size", F.coalesce("d_low", F.lit(0.0)).alias("d_low"), F.coalesce("d_high", F.lit(0.0)).alias("d_high")), "members")
-        # two members can't be a link if their sizes, or their distances from one centre, differ too much: the distance is a metric
-        most = 1 - self.percent / 100 + 1e-9
-        near = (F.abs(F.col("d_low") - F.col("c_low")) <= most) & (F.abs(F.col("d_high") - F.col("c_high")) <= most) & (
-            F.least("size", "c_size") * 100 >= F.greatest("size", "c_size") * self.percent)
         for k in itertools.count():
             tidy(members.sparkSession)
             held = members.join(labels, members["rep"] == labels["id"], "left").select(
@@ -242,7 +266,7 @@ class NearDuplicates:
             still = still.filter("x < y").select(
                 "bucket", "m", F.col("c.rep").alias("c"), F.col("c.component").alias("cc"), F.col("c.size").alias("c_size"), F.col("c.d_low").alias("c_low"), F.col("c.d_high").alias("c_high"))
             still = materialize(still, "open")
-            met = join_keyed(held, still, "bucket", "m", max(1, still.agg(F.sum("m")).first()[0] or 0)).filter("component <> cc").filter(near)
+            met = join_keyed(held, still, "bucket", "m", max(1, still.agg(F.sum("m")).first()[0] or 0)).filter("component <> cc").filter(self.near())
             more = met.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
             more = materialize(more.join(tested, ["a", "b"], "left_anti"), "more")
             found = self.confirm(more).filter("link")
@@ -253,6 +277,12 @@ class NearDuplicates:
             tested = tested.union(more)
             if new:
                 labels = absorb(labels, found)
+        more = materialize(self.rest(held, still).join(tested, ["a", "b"], "left_anti"), "more")
+        found = self.confirm(more).filter("link")
+        new = found.count()
+        self.rounds.append((more.count(), new))
+        if new:
+            labels = absorb(labels, found)
         classes = groups.join(labels, groups["rep"] == labels["id"], "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
         classes = materialize(classes, "classes")
         light = sound.select("doc_id", "n_shingles", "digest")
