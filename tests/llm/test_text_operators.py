@@ -454,6 +454,24 @@ def test_common_lines_are_a_longest_common_subsequence(a, b):
     assert len(found) == table[-1][-1] and all(any(x == y for y in rest) for x in found)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=14), st.lists(st.integers(0, 5), max_size=14), st.integers(1, 40))
+def test_common_lines_of_long_pages_are_as_long(a, b, cells):
+    want = len(html_extract.common_lines(a, b))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(html_extract, "CELLS", cells)
+        found = sorted(html_extract.common_lines(a, b))
+    rest = iter(b)
+    assert len(found) == want and all(a[k] in rest for k in found)
+
+
+def test_long_pages_share_lines_that_occur_twice_or_out_of_order():
+    x, y = [-1 - k for k in range(2100)], [-5000 - k for k in range(2100)]
+    menu = list(range(1, 30))
+    assert len(html_extract.common_lines(x[:1] + menu + x[1:] + menu, y[:1] + menu + y[1:] + menu + y[:1])) == 58
+    assert len(html_extract.common_lines([99, *x, *menu, -3], [-9000, *y, *menu, -9001, 99])) == 29
+
+
 def test_hot_keys_join_like_others(spark):
     rows = spark.range(5000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("k"), "id")
     keyed = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("m"))

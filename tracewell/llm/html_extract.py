@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from urllib.parse import unquote, urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -38,6 +39,8 @@ MARKS = frozenset(
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|</?[a-zA-Z!][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORD = re.compile(r"[a-z]+")
+#: Cells of an alignment whose rows are held at once.
+CELLS = 4_000_000
 
 
 def _is_chrome(name: str, attributes: str, in_article: bool) -> bool:
@@ -124,10 +127,23 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
+def prefix_lengths(x: list[int], y: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of x with y's prefixes, the empty one first."""
+    masks: dict[int, int] = {}
+    for j, v in enumerate(y):
+        masks[v] = masks.get(v, 0) | 1 << j
+    full = row = (1 << len(y)) - 1
+    for v in x:
+        u = row & masks.get(v, 0)
+        row = (row + u | row - u) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(y) // 8 + 1, "little"), np.uint8), count=len(y), bitorder="little")
+    return np.append(0, np.cumsum(1 - bits.astype(np.int64)))
+
+
 def common_lines(a: list[int], b: list[int]) -> set[int]:
     """Positions in a of a longest common subsequence of a and b.
 
-    Bit-parallel rows with a walk back; beyond 4 million cells the lines that occur once in both cut the problem into parts first.
+    Bit-parallel rows with a walk back; beyond CELLS a is halved until the parts are small enough, so the rows that are held stay bounded.
     """
     low = 0
     while low < min(len(a), len(b)) and a[low] == b[low]:
@@ -139,22 +155,13 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
     x, y = a[low : len(a) - high], b[low : len(b) - high]
     if not x or not y:
         return out
-    if len(x) * len(y) > 4_000_000:
-        place = {v: j for j, v in enumerate(y)}
-        once_x, once_y = {v for v in place if x.count(v) == 1}, {v for v in place if y.count(v) == 1}
-        anchors, last = [], -1
-        for i, v in enumerate(x):
-            if v in once_x and v in once_y and place[v] > last:
-                last = place[v]
-                anchors.append((i, last))
-        if anchors:
-            i0 = j0 = 0
-            for i, j in [*anchors, (len(x), len(y))]:
-                out |= {low + i0 + k for k in common_lines(x[i0:i], y[j0:j])}
-                if i < len(x):
-                    out.add(low + i)
-                i0, j0 = i + 1, j + 1
-        return out
+    if len(x) * len(y) > CELLS and len(x) > 1:
+        # Hirschberg: the place in y where an optimal alignment crosses the middle of x
+        middle = len(x) // 2
+        ahead, behind = prefix_lengths(x[:middle], y), prefix_lengths(x[:middle - 1 : -1], y[::-1])
+        cut = int(np.argmax(ahead + behind[::-1]))
+        out |= {low + k for k in common_lines(x[:middle], y[:cut])}
+        return out | {low + middle + k for k in common_lines(x[middle:], y[cut:])}
     masks: dict[int, int] = {}
     for j, v in enumerate(y):
         masks[v] = masks.get(v, 0) | 1 << j
