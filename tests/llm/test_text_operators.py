@@ -268,6 +268,16 @@ def test_decontamination_of_changed_parameters(spark, docs, none):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_decontamination_of_names_in_other_case_and_of_short_items(spark):
+    item = "we saw how Alice walked to the old market before lunch and asked Robert for some bread while later that day Maria sold him two apples"
+    bench = spark.createDataFrame([(1, item), (2, "purple walrus paradox"), (3, "\u8fd9\u662f\u4e00\u4e2a\u6d4b\u8bd5"), (4, "take 7 steps")], "item_id long, text string")
+    texts = [item.lower(), item.upper(), item.replace(" Alice", "\nAlice").replace(" Robert", "  Robert").replace(" Maria", "\tMaria"),
+             item.replace("Alice", "Bob"), "the Purple Walrus paradox is here", "\u8fd9\u662f\u4e00\u4e2a\u6d4b\u8bd5", "now take 7 steps", "now take 9 steps", "purple paradox walrus"]
+    got = by_id(decontaminate.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench))
+    assert [got[k]["item_id"] if got[k]["contaminated"] else None for k in range(9)] == [1, 1, 1, 1, 2, 3, 4, None, None]
+    assert all(got[k]["n_matched"] == got[k]["n_windows"] for k in range(7)) and [got[k]["changed"] for k in range(4)] == [False, False, False, True]
+
+
 def brute_spans(rows, width=100):
     first, out = {}, {}
     data = sorted((d, (t or "").encode()) for d, t in rows)
