@@ -29,6 +29,11 @@ def test_outline_and_front_of_a_square(spark):
     assert imaging.single_front_fraction(v, ["k"]).first()["fraction"] == 1.0
 
 
+def test_fronts_jump_any_distance(spark):
+    v = spark.createDataFrame([(0, 0, 5, 5), (0, 2, 5, 45), (1, 0, 5, 5)], "k int, frame int, by int, bx int")
+    assert {r["k"]: r["speed"] for r in imaging.leading_edge_speed(v, ["k"], 2).collect()} == {0: 20.0, 1: None}
+
+
 def test_moving_bar_scores_above_rest(spark):
     rng = np.random.default_rng(0)
     rows = [(0, f, y, x, float(100 + rng.random() + (60 if 10 <= f < 20 and x == f - 10 else 0))) for f in range(30) for y in range(8) for x in range(10)]

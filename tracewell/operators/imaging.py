@@ -105,17 +105,15 @@ def front_boundary(voxels: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(full, [*keys, "frame", "by", "bx"], "left_anti")
 
 
-def leading_edge_speed(voxels: DataFrame, keys: list[str], separation: int, fs: float = 1.0, block_um: float = 1.0, reach: int = 12) -> DataFrame:
-    """(keys.., speed): the median distance from a front block to the nearest one `separation` frames before, as a speed. Fronts meet in cells as
-    wide as `reach`; blocks without one within it don't count."""
+def leading_edge_speed(voxels: DataFrame, keys: list[str], separation: int, fs: float = 1.0, block_um: float = 1.0) -> DataFrame:
+    """(keys.., speed): the distance from a front block to the nearest one `separation` frames before, its median over a frame's blocks and then over
+    frames, as a speed; null where no two such frames have fronts. A frame's front meets the whole earlier one, however far."""
     front = front_boundary(voxels, keys)
-    cell = lambda c: F.floor(F.col(c) / reach)
-    around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    old = front.select(*keys, (F.col("frame") + separation).alias("frame"), F.col("by").alias("oy"), F.col("bx").alias("ox"), cell("by").alias("cy"), cell("bx").alias("cx"))
-    old = old.withColumn("ey", F.explode(around)).withColumn("ex", F.explode(around)).select(*keys, "frame", "oy", "ox", (F.col("cy") + F.col("ey")).alias("cy"), (F.col("cx") + F.col("ex")).alias("cx"))
+    old = front.select(*keys, (F.col("frame") + separation).alias("frame"), F.col("by").alias("oy"), F.col("bx").alias("ox"))
     d = F.sqrt(F.pow(F.col("by") - F.col("oy"), 2) + F.pow(F.col("bx") - F.col("ox"), 2))
-    near = front.withColumns({"cy": cell("by"), "cx": cell("bx")}).join(old, [*keys, "frame", "cy", "cx"]).groupBy(*keys, "frame", "by", "bx").agg(F.min(d).alias("d"))
-    return near.filter(F.col("d") <= reach).groupBy(*keys).agg((F.median("d") * block_um * fs / separation).alias("speed"))
+    near = front.join(old, [*keys, "frame"]).groupBy(*keys, "frame", "by", "bx").agg(F.min(d).alias("d"))
+    speed = near.groupBy(*keys, "frame").agg(F.median("d").alias("d")).groupBy(*keys).agg((F.median("d") * block_um * fs / separation).alias("speed"))
+    return voxels.select(*keys).distinct().join(speed, keys, "left")
 
 
 def single_front_fraction(voxels: DataFrame, keys: list[str]) -> DataFrame:
