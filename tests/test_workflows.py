@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +68,15 @@ def test_settings_reject_unknown_strategies():
         workflows.Settings(strategies=("corr",)).active()
 
 
+def test_light_evoked_groups_by_answered_pulses(spark):
+    rows = [("r", roi, t, max([math.exp(-((t - c) ** 2) / 8) for c in at])) for roi, at in ((0, (42, 102)), (1, (42, 75))) for t in range(150)]
+    samples = spark.createDataFrame(rows, "recording_id string, roi_idx int, frame int, v double")
+    out = workflows.analyse_recordings(samples, workflows.Settings(sigma=1.0, strategies=("light_evoked",), pulses=(40, 100), pulse_window=10))
+    assert {r["roi_idx"]: r["n_responses"] for r in out["light_evoked"].collect()} == {0: 2, 1: 1}
+    with pytest.raises(ValueError):
+        workflows.Settings(strategies=("light_evoked",)).active()
+
+
 def test_recording_analysis_groups_synchronous_traces(spark):
     rng = np.random.default_rng(3)
     base = np.zeros(120)

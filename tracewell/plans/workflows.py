@@ -21,6 +21,8 @@ class Settings:
     max_lag: int = 3
     sttc_dt: float = 1.0
     threshold: float = 0.65
+    pulses: tuple[int, ...] = ()
+    pulse_window: int | None = None
     strategies: tuple[str, ...] = ("combined",)
     disabled: tuple[str, ...] = ()
     known: tuple[str, ...] = field(default=("combined", "dtw", "light_evoked"), repr=False)
@@ -29,12 +31,14 @@ class Settings:
         names = [s for s in self.strategies if s not in self.disabled]
         if unknown := [s for s in names if s not in self.known]:
             raise ValueError(f"unknown strategies {unknown}; known are {list(self.known)}")
+        if "light_evoked" in names and (not self.pulses or self.pulse_window is None):
+            raise ValueError("light_evoked needs pulses and pulse_window")
         return names
 
 
 def analyse_recordings(samples: DataFrame, settings: Settings, accept: DataFrame | None = None) -> dict[str, DataFrame]:
     """All recordings of samples(recording_id, roi_idx, frame, v) at once: normalised and smoothed traces, events with features, a summary per neuron
-    and recording, and groups by the combined similarity. accept(recording_id, roi_idx) keeps those traces only. Recordings
+    and recording, and groups by each strategy. accept(recording_id, roi_idx) keeps those traces only. Recordings
     without events or with one neuron flow through as empty results."""
     kept = samples if accept is None else samples.join(accept, ["recording_id", "roi_idx"], "left_semi")
     scaled = traces.minmax(kept)
@@ -60,6 +64,11 @@ def analyse_recordings(samples: DataFrame, settings: Settings, accept: DataFrame
             near = d.join(level, "recording_id").filter(F.col("distance") <= F.col("most")).select("recording_id", F.col("i").alias("a"), F.col("j").alias("b"))
             nodes = smooth.select("recording_id", F.col("roi_idx").alias("node"))
             out["dtw"] = graph.min_size_groups(graph.components(nodes, near, ["recording_id"]), ["recording_id"], "component", 2)
+        elif strategy == "light_evoked":
+            matched = matching.pulse_match(thinned.select("recording_id", "roi_idx", "frame"), list(settings.pulses), settings.pulse_window, ["recording_id", "roi_idx"])
+            out["light_evoked"] = matching.response_groups(matched, ["recording_id", "roi_idx"])
+        else:
+            raise NotImplementedError(f"strategy {strategy}")
     return out
 
 
