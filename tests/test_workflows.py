@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import episodes, features, imaging, peaks
+from tracewell.operators import episodes, features, imaging, peaks, waves
 from tracewell.plans import workflows
 
 
@@ -53,6 +53,15 @@ def test_onsets_and_confirmed_episodes(spark):
     assert {r["id"]: r["confirmed"] for r in episodes.significant_episodes(e, m, ["id"]).collect()} == {1: True, 2: False, 3: False}
 
 
+def test_radial_episodes_are_told_by_their_source(spark):
+    rows = [(0, 1, 0.0, 0.0, None, "radial"), (0, 2, 9.0, 0.0, float("nan"), "radial"), (0, 3, 5.0, 0.0, 90.0, "planar"), (0, 4, 6.0, 0.0, 100.0, "planar"), (0, 5, 300.0, 0.0, None, "radial")]
+    e = spark.createDataFrame(rows, "k int, node long, x double, y double, direction double, model string")
+    assert {r["node"]: r["cluster"] for r in waves.recurrence_clusters(e, ["k"], 40.0, 45.0).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: -1}
+    e = e.select(F.col("node").alias("id"), "model", "direction", F.col("x").alias("source_x"), F.col("y").alias("source_y"))
+    m = e.withColumn("p", F.lit(0.01)).withColumn("source_x", F.col("source_x") + F.when(F.col("id") == 2, 900.0).otherwise(1.0))
+    assert {r["id"]: r["confirmed"] for r in episodes.significant_episodes(e, m, ["id"]).collect()} == {1: True, 2: False, 3: True, 4: True, 5: True}
+
+
 def test_decay_is_exponential(spark):
     rows = [(0, 0, t, float(np.exp(-max(0, t - 5) / 3) if t >= 5 else t / 5)) for t in range(30)] + [(0, 0, 30, 0.0)]
     s = spark.createDataFrame(rows, "recording_id int, roi_idx int, frame int, v double")

@@ -33,11 +33,19 @@ def candidate_episodes(density: DataFrame, null_peaks: DataFrame, key: str, alph
     return ok.select(F.col("recording_id").alias(key), "frame", "v", "threshold")
 
 
-def significant_episodes(episodes: DataFrame, movies: DataFrame, keys: list[str], alpha: float = 0.05, turn: float = 45.0) -> DataFrame:
-    """episodes with `confirmed`: the movie's fit has the same model, is significant, and points the same way within turn degrees."""
-    m = movies.select(*keys, F.col("model").alias("movie_model"), F.col("p").alias("movie_p"), F.col("direction").alias("movie_direction"))
+def significant_episodes(episodes: DataFrame, movies: DataFrame, keys: list[str], alpha: float = 0.05, turn: float = 45.0, radius: float = 250.0) -> DataFrame:
+    """episodes with `confirmed`: the movie's fit has the same model, is significant, and points the same way within turn degrees, or, of radial
+    ones, starts within radius (source_x, source_y of both; where a side lacks them, no radial one is confirmed)."""
+    place = [c if c in movies.columns else None for c in ("source_x", "source_y")]
+    m = movies.select(*keys, F.col("model").alias("movie_model"), F.col("p").alias("movie_p"), F.col("direction").alias("movie_direction"),
+                      *[F.col(c).alias(f"movie_{c}") for c in place if c])
     angle = F.abs(F.pmod(F.col("direction") - F.col("movie_direction") + 180.0, F.lit(360.0)) - 180.0)
-    ok = (F.col("movie_model") == F.col("model")) & (F.col("movie_p") <= alpha) & (angle <= turn)
+    agrees = angle <= turn
+    near = F.lit(False)
+    if all(place) and {"source_x", "source_y"} <= set(episodes.columns):
+        near = F.hypot(F.col("source_x") - F.col("movie_source_x"), F.col("source_y") - F.col("movie_source_y")) <= radius
+    agrees = F.when(F.col("model") == "radial", near).otherwise(agrees)
+    ok = (F.col("movie_model") == F.col("model")) & (F.col("movie_p") <= alpha) & agrees
     return episodes.join(m, keys, "left").withColumn("confirmed", F.coalesce(ok, F.lit(False)))
 
 

@@ -133,14 +133,17 @@ def component_extent(filled: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def recurrence_clusters(episodes: DataFrame, keys: list[str], space: float, angle: float) -> DataFrame:
-    """episodes(keys.., node, x, y, direction) with `cluster`: components of episodes whose scaled distance in place and direction is at most 1;
-    -1 for single ones."""
+    """episodes(keys.., node, x, y, direction, and model if any) with `cluster`: components of episodes whose scaled distance in place and direction
+    is at most 1; -1 for single ones. Pairs in which one has no direction (null or NaN) are 0 apart in it if both are radial, else 1."""
     from tracewell.operators.matching import near_pairs
 
     near = near_pairs(episodes, episodes, space, keys).filter("a < b")
-    d = episodes.select(*keys, F.col("node").alias("a"), F.col("direction").alias("da")), episodes.select(*keys, F.col("node").alias("b"), F.col("direction").alias("db"))
+    model = F.col("model") if "model" in episodes.columns else F.lit(None).cast("string")
+    way = F.when(~F.isnan("direction"), F.col("direction"))
+    d = [episodes.select(*keys, F.col("node").alias(e), way.alias(f"d{e}"), F.coalesce(model == "radial", F.lit(False)).alias(f"r{e}")) for e in "ab"]
     turn = F.abs(F.pmod(F.col("da") - F.col("db") + 180.0, F.lit(360.0)) - 180.0)
-    close = near.join(d[0], [*keys, "a"]).join(d[1], [*keys, "b"]).filter(F.pow(F.col("distance") / space, 2) + F.pow(turn / angle, 2) <= 1)
+    term = F.coalesce(turn / angle, F.when(F.col("ra") & F.col("rb"), 0.0).otherwise(1.0))
+    close = near.join(d[0], [*keys, "a"]).join(d[1], [*keys, "b"]).filter(F.pow(F.col("distance") / space, 2) + F.pow(term, 2) <= 1)
     labels = components(episodes.select(*keys, "node"), close, keys)
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys, "component"))
     return episodes.join(labels, [*keys, "node"]).withColumn("cluster", F.when(n > 1, F.col("component")).otherwise(-1)).drop("component")
