@@ -401,6 +401,47 @@ def test_no_link_is_lost_in_a_family_just_under_the_threshold(spark):
     assert {d: (r["n_shingles"], r["component_id"]) for d, r in got.items()} == want
 
 
+def test_open_families_of_mixed_sizes_match_brute_force(spark):
+    rng = random.Random(31)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(500):  # eight changed words each: just under the threshold to one another
+        copy = list(base)
+        for j in rng.sample(range(300), 8 if k % 3 else 5):
+            copy[j] = f"v{k}x{j}"
+        rows.append(copy)
+        if k < 30:  # one closer mate
+            mate = list(copy)
+            for j in rng.sample(range(300), rng.choice([2, 6, 10])):
+                mate[j] = f"m{k}x{j}"
+            rows.append(mate if k % 2 else mate + [f"tail{k}x{j}" for j in range(rng.randrange(60))])
+    rows = [(11 * k, " ".join(t)) for k, t in enumerate(rng.sample(rows, len(rows)))]
+    want = brute_components(rows)
+    assert sum(c != d for d, (_, c) in want.items()) >= 20
+    job = minhash.NearDuplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {d: (r["n_shingles"], r["component_id"]) for d, r in by_id(job.run()).items()} == want
+    assert job.finish[0] < 140_000 / 2
+
+
+def test_parities_bound_the_difference(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for n in (3, 200, 255, 260, 700, 3000):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for gone in (0, 1, n // 5):
+            y = np.unique(np.append(x[gone:], rng.integers(0, 1 << 63, gone // 2, dtype=np.uint64)))
+            rows.append((minhash.parity(x).tolist(), minhash.parity(y).tolist(), len(np.setxor1d(x, y))))
+    got = spark.createDataFrame(rows, "x array<long>, y array<long>, d long").select("d", minhash.differing("x", "y").alias("k")).collect()
+    assert all(r["k"] <= r["d"] and r["k"] >= 0.7 * r["d"] for r in got) and any(len(a) != len(b) for a, b, _ in rows)
+
+
+def test_rows_that_repeat_an_id_with_other_texts_are_judged_by_their_own(spark):
+    text, other = words(random.Random(1), 60), words(random.Random(2), 60)
+    rows = [(1, text), (2, text + " more"), (2, other), (3, other), (3, None)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["n_shingles"] > 0, r["kept"]) for r in got) == [(1, 1, True, True), (2, 1, True, False), (2, 2, True, True), (3, 2, True, False), (3, 3, False, True)]
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(6)
     common, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (300, 50, 50))

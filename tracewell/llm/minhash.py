@@ -4,17 +4,19 @@ A document's set is its distinct word shingles, as 64-bit hashes. One permutatio
 keep their least value each; an empty bin takes over the value of the first non-empty bin in a random
 sequence that all documents share (optimal densification). Bands of ROWS bins are hashed into buckets.
 Documents with equal sets collapse to one representative first. Each bucket links its members to its smallest
-and its largest representative only, so pairs grow with the members. Links are confirmed on the full
-sets. Buckets whose members are then still in different components get a random member as a further
-centre, round after round, until a round finds no new link. Then every pair of a bucket's members that are still in different
-components is compared, so the result is that of comparing all pairs of all buckets. Members whose sizes, or distances from a
-centre they share, rule a link out are not compared (the Jaccard distance is a metric, so nothing is lost). At a similarity of
-0.75, 32 bands of 4 miss a pair with probability 5e-6.
+and its largest representative only, so pairs grow with the members. Links are confirmed on the full sets.
+
+What the stars leave open is finished exactly. A member of a bucket that still holds several components is written as its
+difference from the bucket's smallest member, the centre: shingles that one of the two lacks. Two members are a link if and only if their
+differences overlap enough, so the differences go through a prefix join: ordered from rare to frequent, those of a link meet in a shingle
+which, in both, has the needed overlap at or behind it. Copies of one text with other edits each have little but rare shingles
+in front, and don't meet. Only pairs in different components that meet so are confirmed. So every link between two
+members of one bucket is found, without a comparison of all pairs. At a similarity of 0.75, 32 bands of 4 put a pair into no common
+bucket with probability 5e-6.
 """
 
 from __future__ import annotations
 
-import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -32,9 +34,7 @@ BANDS = BINS // ROWS
 DONORS = np.random.default_rng(11).integers(0, BINS, (BINS, 4 * BINS))
 #: Words a worker remembers the hash of.
 MEMO = 1_000_000
-#: Rounds of further centres that are made even if they find nothing.
-LEAST_ROUNDS = 2
-#: Members of a bucket in one block, where the rest of its pairs is dealt out by pairs of blocks.
+#: Rows of a frequent shingle in one block, where its pairs are dealt out by pairs of blocks.
 BLOCK = 256
 
 
@@ -115,14 +115,38 @@ def _sketch(size: int):
                 found = bands(signatures([s for s in sets if len(s)])) if any(map(len, sets)) else np.zeros((0, BANDS), dtype=np.int64)
                 offsets = np.append(0, np.cumsum([BANDS * bool(len(s)) for s in sets]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+                    [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
                      pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.reshape(-1), pa.int64()))],
-                    names=["doc_id", "n_shingles", "digest", "bands"],
+                    names=["doc_id", "text_hash", "n_shingles", "digest", "bands"],
                 )
 
     return run
 
 
+def parity(values: np.ndarray) -> np.ndarray:
+    """A bit for each residue of the values, set if an odd number of them has it; at least four bits a value, a power of two in all.
+
+    The bits in which two of them differ are at most as many as the values that only one of the two sets has. A longer one, its halves
+    combined by exclusive or, is the same set's shorter one.
+    """
+    n = 1024
+    while n < 4 * len(values):
+        n *= 2
+    return np.packbits(np.bincount((values & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).view(np.int64)
+
+
+def differing(x: str, y: str) -> Column:
+    """Bits in which two parity columns differ, a longer one folded to the other's length (links' sizes differ by a third at most)."""
+    fold = lambda c: F.zip_with(F.slice(c, 1, F.expr(f"size({c}) div 2")), F.slice(c, F.expr(f"size({c}) div 2 + 1"), F.expr(f"size({c}) div 2")), lambda a, b: a.bitwiseXOR(b))
+    a = F.when(F.size(x) > F.size(y), fold(x)).otherwise(F.col(x))
+    b = F.when(F.size(y) > F.size(x), fold(y)).otherwise(F.col(y))
+    return F.aggregate(F.zip_with(a, b, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, u: t + F.coalesce(u, F.lit(0)))
+
+
+#: Columns of the stored sets.
+STORED = "id binary, n long, bits array<long>, hashes array<long>"
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
@@ -132,9 +156,14 @@ def _sets(size: int):
                 sets = [shingle(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
                 offsets = np.append(0, np.cumsum([len(s) for s in sets]))
                 values = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]).view(np.int64)
+                bits = [parity(s) for s in sets]
+                bit_offsets = np.append(0, np.cumsum([len(b) for b in bits]))
+                all_bits = np.concatenate([*bits, np.zeros(0, dtype=np.int64)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))],
-                    names=["id", "hashes"],
+                    [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(bit_offsets, pa.int32()), pa.array(all_bits, pa.int64())),
+                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))],
+                    names=["id", "n", "bits", "hashes"],
                 )
 
     return run
@@ -177,125 +206,146 @@ class NearDuplicates:
     """Near-duplicate components of docs(doc_id, text): links where 100 * intersection >= 100 * similarity * union."""
 
     def __init__(self, docs: DataFrame, size: int = 5, percent: int = 75):
-        self.docs = docs.select("doc_id", "text")
+        self.docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
         self.size, self.percent = size, percent
         self.kind = self.docs.schema["doc_id"].dataType.simpleString()
-        self.rounds: list[tuple[int, int]] = []  # pairs compared and links found by each further round, and by the rest
+        self.finish = (0, 0)  # pairs compared, and links found, after the stars
 
-    def gather(self, members: DataFrame) -> None:
-        """The sets of all representatives that share a bucket, worked out once and stored by id: joins that look up a pair's one
-        side need no shuffle of them."""
+    def gather(self, members: DataFrame, groups: DataFrame) -> None:
+        """The sets of all representatives that share a bucket, worked out once from one document each and stored by their digest: joins
+        that look up a pair's one side need no shuffle of them."""
         spark = self.docs.sparkSession
-        wanted = members.select(F.col("rep").alias("id")).distinct()
-        texts = self.docs.join(wanted.hint("shuffle_hash"), self.docs["doc_id"] == wanted["id"], "left_semi")
+        shared = members.select("rep").distinct()
+        wanted = groups.join(shared, groups["digest"] == shared["rep"], "left_semi").select(F.col("first_doc").alias("wanted")).distinct()
+        texts = self.docs.join(wanted.hint("shuffle_hash"), self.docs["doc_id"] == wanted["wanted"], "left_semi").select("doc_id", "text")
         self.path, self.table = scratch_path(spark, "sets"), f"shingle_sets_{uuid.uuid4().hex}"
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        sets = texts.mapInArrow(_sets(self.size), f"id {self.kind}, hashes array<long>").dropDuplicates(["id"])
+        sets = texts.mapInArrow(_sets(self.size), STORED).dropDuplicates(["id"])
         sets.repartition(n, "id").write.option("path", self.path).bucketBy(n, "id").sortBy("id").saveAsTable(self.table)
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, d, link) for pairs (a, b) of representatives: their Jaccard distance on the full sets, and whether they are a link.
+    def meet(self, pairs: DataFrame, *columns: str) -> DataFrame:
+        """The pairs (centre, member) with these columns of their stored sets, centre's ones prefixed c_ and member's m_.
 
-        b's sets are met in their buckets; a may be the centre of very many pairs, so there both sides are shuffled and
-        adaptive execution splits what is skewed.
+        A member has at most two centres a band, so its set is met in its buckets; a centre may have very many members, so there
+        both sides are shuffled and adaptive execution splits what is skewed.
         """
         spark = self.docs.sparkSession
-        stored = spark.table(self.table).select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
-        plain = spark.read.schema("id " + self.kind + ", hashes array<long>").parquet(self.path).select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
-        ab = pairs.join(stored.hint("merge"), "b").join(plain.hint("merge"), "a")
-        common = ab.select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("common"), (F.size("ha") + F.size("hb")).alias("both"))
-        union = F.col("both") - F.col("common")
-        return materialize(common.select("a", "b", (1 - F.col("common") / union).alias("d"), (F.col("common") * 100 >= union * self.percent).alias("link")), "links")
-
-    def rest(self, held: DataFrame, still: DataFrame) -> DataFrame:
-        """(a, b): all pairs of members of one bucket in different components that sizes and distances don't rule out.
-
-        still holds each open bucket with its size m. Pairs inside the bucket's largest component aren't looked at: one side
-        is the members outside it. Both sides are dealt into blocks, and pairs of blocks spread over all tasks.
-        """
+        stored = spark.table(self.table).select(F.col("id").alias("member"), *[F.col(c).alias(f"m_{c}") for c in columns])
+        plain = spark.read.schema(STORED).parquet(self.path).select(F.col("id").alias("centre"), *[F.col(c).alias(f"c_{c}") for c in columns])
+        return pairs.join(stored.hint("merge"), "member").join(plain.hint("merge"), "centre")
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """(a, b) of the pairs (centre, member) that are a link on the full sets; sizes and parities rule most others out, never a link."""
+        up, down = 100 + self.percent, 100 - self.percent
+        likely = self.meet(pairs, "n", "bits").filter(F.least("c_n", "m_n") * 100 >= F.greatest("c_n", "m_n") * self.percent)
+        likely = likely.filter(differing("c_bits", "m_bits") * up <= (F.col("c_n") + F.col("m_n")) * down).select("centre", "member")
+        common = self.meet(materialize(likely, "likely"), "n", "hashes").select("centre", "member", F.size(F.array_intersect("c_hashes", "m_hashes")).alias("common"), (F.col("c_n") + F.col("m_n")).alias("both"))
+        linked = common.filter(F.col("common") * 100 >= (F.col("both") - F.col("common")) * self.percent)
+        return materialize(linked.select(F.least("centre", "member").alias("a"), F.greatest("centre", "member").alias("b")), "links")
+
+    def frames(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """(centre, member, component, main) for the buckets whose members, besides the two that all have met, are in several
+        components: the bucket's smallest member, whose component is main, and each of the others."""
+        held = members.join(labels, members["rep"] == labels["id"], "left").select("bucket", "rep", "low", "high", F.coalesce("component", "rep").alias("component"))
+        held = materialize(held, "held")
+        inner = (F.col("rep") != F.col("low")) & (F.col("rep") != F.col("high"))
+        of_inner = F.when(inner, F.col("component"))
+        still = held.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("m"), F.min(of_inner).alias("x"), F.max(of_inner).alias("y"), F.max(F.when(F.col("rep") == F.col("low"), F.col("component"))).alias("main"))
+        still = materialize(still.filter("x < y").select("bucket", "m", "main"), "open")
         total = max(1, still.agg(F.sum("m")).first()[0] or 0)
-        rows = materialize(join_keyed(held, still.select("bucket", "m"), "bucket", "m", total), "rest")
-        parts = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        most = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("c"), F.sum("n").alias("m"))
-        most = materialize(most.select("bucket", F.col("c.component").alias("main"), F.ceil((F.col("m") - F.col("c.n")) / BLOCK).alias("deep"), F.ceil(F.col("m") / BLOCK).alias("wide"), "m"), "most")
-        rows = materialize(join_keyed(rows, most, "bucket", "m", total), "rest").withColumn("outer", F.col("component") != F.col("main"))
-        salt = lambda n: F.pmod(F.xxhash64("rep", "bucket"), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-        one = rows.filter("outer").select("bucket", F.col("rep").alias("c"), F.col("component").alias("cc"), F.col("size").alias("c_size"), F.col("d_low").alias("c_low"), F.col("d_high").alias("c_high"), salt("deep").alias("i"), every("wide").alias("j"))
-        two = rows.select("bucket", "rep", "component", "size", "d_low", "d_high", "outer", salt("wide").alias("j"), every("deep").alias("i"))
-        met = two.hint("shuffle_hash").join(one, ["bucket", "i", "j"]).filter("component <> cc").filter(~F.col("outer") | (F.col("c") < F.col("rep"))).filter(self.near())
-        return met.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
+        rows = join_keyed(held, still, "bucket", "m", total).filter(inner)
+        return materialize(rows.select(F.col("low").alias("centre"), F.col("rep").alias("member"), "component", "main").distinct(), "frames")
 
-    def near(self) -> Column:
-        """Two members can't be a link if their sizes, or their distances from one centre, differ too much: the distance is a metric."""
-        most = 1 - self.percent / 100 + 1e-9
-        return (F.abs(F.col("d_low") - F.col("c_low")) <= most) & (F.abs(F.col("d_high") - F.col("c_high")) <= most) & (
-            F.least("size", "c_size") * 100 >= F.greatest("size", "c_size") * self.percent)
+    def prefixes(self, frames: DataFrame) -> DataFrame:
+        """(token, member, component, excess, rest): the shingles by which a member's difference from its centre can meet another's.
+
+        With differences of k and l shingles, o of them common, and sets of n and m, the pair is a link if and only if
+        (100 + percent) * (k + l - 2 * o) <= (100 - percent) * (n + m). excess is (100 + percent) * k - (100 - percent) * n, so a link
+        needs 2 * (100 + percent) * o >= the sum of both's excess. rest counts the difference's shingles from this one on, in the order from rare
+        to frequent. No excess is under -(100 - percent) * (the centre's size), and that of a member in another component than the centre's is
+        over (100 - percent) * (that size), or it were linked to the centre: shingles whose rest can't do with any partner aren't given.
+        """
+        up, down = 100 + self.percent, 100 - self.percent
+        difference = F.concat(F.array_except("m_hashes", "c_hashes"), F.array_except("c_hashes", "m_hashes"))
+        rows = self.meet(frames, "n", "hashes").select("centre", "member", "component", "main", F.col("m_n").alias("n"), F.col("c_n").alias("nc"), difference.alias("d"))
+        rows = rows.select("centre", "member", "component", "main", "n", "nc", F.size("d").alias("k"), F.explode("d").alias("token"))
+        # one number for a shingle of a centre's frame; were two ever equal, a pair more would be confirmed
+        rows = materialize(rows.withColumn("token", F.xxhash64("centre", "token")), "differences")
+        shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+        # shingles of one member only come first in its order, whatever their hashes: just their number counts
+        known = rows.join(shared.hint("merge"), "token")
+        ordered = known.groupBy("centre", "member").agg(
+            *[F.first(c).alias(c) for c in ("component", "main", "n", "nc", "k")], F.sort_array(F.collect_list(F.struct("f", "token"))).alias("tokens"))
+        each = ordered.select("member", "component", "main", "nc", (F.col("k") * up - F.col("n") * down).alias("excess"), F.size("tokens").alias("s"), F.posexplode("tokens").alias("at", "t"))
+        each = each.select(F.col("t.token").alias("token"), "member", "component", "excess", (F.col("s") - F.col("at")).alias("rest"), (F.when(F.col("component") == F.col("main"), down).otherwise(-down) * F.col("nc")).alias("least"))
+        return each.filter(F.col("rest") * 2 * up >= F.col("excess") + F.col("least")).drop("least")
+
+    def rest(self, frames: DataFrame) -> DataFrame:
+        """(centre, member): the pairs of members in different components whose differences from a centre meet in a prefix.
+
+        Pairs inside a shingle's largest component aren't looked at: one side is the members outside it. Both sides are dealt into
+        blocks, and pairs of blocks spread over all tasks, so a shingle that very many share isn't one task's.
+        """
+        rows = materialize(self.prefixes(frames), "prefixes")
+        parts = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+        most = parts.groupBy("token").agg(F.max(F.struct("n", "component")).alias("c"), F.sum("n").alias("m")).filter("m > c.n")
+        most = most.select("token", F.col("c.component").alias("main"), F.ceil((F.col("m") - F.col("c.n")) / BLOCK).alias("deep"), F.ceil(F.col("m") / BLOCK).alias("wide"), "m")
+        most = materialize(most, "prefix-tokens")
+        total = max(1, most.agg(F.sum("m")).first()[0] or 0)
+        rows = materialize(join_keyed(rows, most, "token", "m", total), "prefix-rows").withColumn("outer", F.col("component") != F.col("main"))
+        salt = lambda n: F.pmod(F.xxhash64("member", "token"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+        one = rows.filter("outer").select(
+            "token", F.col("member").alias("centre"), F.col("component").alias("cc"), F.col("excess").alias("c_excess"), F.col("rest").alias("c_rest"), salt("deep").alias("i"), every("wide").alias("j"))
+        two = rows.select("token", "member", "component", "excess", "rest", "outer", salt("wide").alias("j"), every("deep").alias("i"))
+        met = (F.least("rest", "c_rest") * (2 * (100 + self.percent)) >= F.col("excess") + F.col("c_excess")) & (F.col("component") != F.col("cc")) & (
+            ~F.col("outer") | (F.col("centre") < F.col("member")))
+        left, right = two.alias("two"), one.alias("one")
+        keys = [F.col(f"two.{c}") == F.col(f"one.{c}") for c in ("token", "i", "j")]
+        return left.join(right, [*keys, met]).select("centre", "member").distinct()
 
     def run(self) -> DataFrame:
-        """One row per row of docs: doc_id, n_shingles, component_id, kept."""
-        rows = materialize(self.docs.mapInArrow(_sketch(self.size), f"doc_id {self.kind}, n_shingles long, digest binary, bands array<long>"), "sketches")
+        """One row per row of docs: doc_id, text_hash, n_shingles, component_id, kept."""
+        spark = self.docs.sparkSession
+        rows = materialize(self.docs.mapInArrow(_sketch(self.size), f"doc_id {self.kind}, text_hash long, n_shingles long, digest binary, bands array<long>"), "sketches")
         sound = rows.filter("doc_id is not null and digest is not null")
-        groups = materialize(
-            sound.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("n")), "reps"
-        )
-        exploded = groups.select("rep", "size", F.explode("bands").alias("bucket"))
+        # a set is known by its 128-bit digest from here on, so rows that repeat a doc_id with other texts are told apart
+        groups = materialize(sound.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")), "reps")
+        exploded = groups.select(F.col("digest").alias("rep"), F.explode("bands").alias("bucket"))
         shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("m > 1")
         shared = materialize(shared, "buckets")
         members = join_keyed(exploded, shared, "bucket", "m", max(1, shared.agg(F.sum("m")).first()[0] or 0))
         members = materialize(members, "members")
-        star = members.select(F.col("low").alias("a"), F.col("rep").alias("b")).union(members.select(F.col("rep").alias("a"), F.col("high").alias("b")))
-        pairs = materialize(star.filter("a < b").distinct(), "star")
-        self.gather(members)
-        star = self.confirm(pairs)
-        labels = components(star.filter("link"))
-        tested = pairs
-        # every member knows its distance from its bucket's two centres
-        to_low = members.join(star.select(F.col("a").alias("low"), F.col("b").alias("rep"), F.col("d").alias("d_low")), ["low", "rep"], "left")
-        to_both = to_low.join(star.select(F.col("a").alias("rep"), F.col("b").alias("high"), F.col("d").alias("d_high")), ["rep", "high"], "left")
-        members = materialize(to_both.select("bucket", "rep", "size", F.coalesce("d_low", F.lit(0.0)).alias("d_low"), F.coalesce("d_high", F.lit(0.0)).alias("d_high")), "members")
-        for k in itertools.count():
-            tidy(members.sparkSession)
-            held = members.join(labels, members["rep"] == labels["id"], "left").select(
-                "bucket", "rep", "size", "d_low", "d_high", F.coalesce("component", "rep").alias("component"))
-            held = materialize(held, "held")
-            # buckets that still hold several components, with a random member as the next centre
-            order = F.struct(F.xxhash64("rep", "bucket", F.lit(k)).alias("r"), "rep", "component", "size", "d_low", "d_high")
-            still = held.groupBy("bucket").agg(
-                F.count(F.lit(1)).alias("m"), F.min("component").alias("x"), F.max("component").alias("y"), F.min(order).alias("c"))
-            still = still.filter("x < y").select(
-                "bucket", "m", F.col("c.rep").alias("c"), F.col("c.component").alias("cc"), F.col("c.size").alias("c_size"), F.col("c.d_low").alias("c_low"), F.col("c.d_high").alias("c_high"))
-            still = materialize(still, "open")
-            met = join_keyed(held, still, "bucket", "m", max(1, still.agg(F.sum("m")).first()[0] or 0)).filter("component <> cc").filter(self.near())
-            more = met.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-            more = materialize(more.join(tested, ["a", "b"], "left_anti"), "more")
-            found = self.confirm(more).filter("link")
-            new = found.count()
-            self.rounds.append((more.count(), new))
-            if not new and k + 1 >= LEAST_ROUNDS:
-                break
-            tested = tested.union(more)
-            if new:
-                labels = absorb(labels, found)
-        more = materialize(self.rest(held, still).join(tested, ["a", "b"], "left_anti"), "more")
-        found = self.confirm(more).filter("link")
-        new = found.count()
-        self.rounds.append((more.count(), new))
-        if new:
+        star = members.filter("rep <> low").select(F.col("low").alias("centre"), F.col("rep").alias("member"))
+        star = star.union(members.filter("rep <> low and rep <> high").select(F.col("high").alias("centre"), F.col("rep").alias("member")))
+        self.gather(members, groups)
+        labels = components(self.confirm(materialize(star.distinct(), "star")))
+        tidy(spark)
+        more = materialize(self.rest(self.frames(members, labels)), "more")
+        found = self.confirm(more)
+        self.finish = (more.count(), found.count())
+        if self.finish[1]:
             labels = absorb(labels, found)
-        classes = groups.join(labels, groups["rep"] == labels["id"], "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
+        spark.sql(f"DROP TABLE IF EXISTS {self.table}")  # the catalog's entry; the files are scratch
+        linked = materialize(labels.join(groups, labels["id"] == groups["digest"]).select("component", "digest", "first_doc"), "linked")
+        least = linked.groupBy("component").agg(F.min("first_doc").alias("component_id"), F.count(F.lit(1)).alias("m"))
+        named = join_keyed(linked, materialize(least, "least"), "component", "m", max(1, linked.count())).select("digest", "component_id")
+        classes = groups.select("digest", "n", "first_doc").join(named, "digest", "left").select("digest", "n", F.coalesce("component_id", "first_doc").alias("component_id"))
         classes = materialize(classes, "classes")
-        light = sound.select("doc_id", "n_shingles", "digest")
-        linked = join_keyed(light, classes, "digest", "n", max(1, light.count())).select("doc_id", "n_shingles", "component_id")
-        alone = rows.filter("doc_id is null or digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-        return linked.union(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        light = sound.select("doc_id", "text_hash", "n_shingles", "digest")
+        columns = ["doc_id", "text_hash", "n_shingles", "component_id"]
+        known = join_keyed(light, classes, "digest", "n", max(1, light.count())).select(*columns)
+        alone = rows.filter("doc_id is null or digest is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+        return known.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text).
+    """doc_id, text_hash (xxhash64 of the text), n_shingles, component_id, kept for each row of docs(doc_id, text).
 
-    Null, empty and blank texts have no shingles and stay alone; texts with fewer words than `size` are one shingle. Rows with
-    a null doc_id stay alone, with a null component_id. Repeated rows with one doc_id are all kept or all dropped. An empty
-    table gives an empty result. Other columns are ignored.
+    Null, empty and blank texts have no shingles and stay alone; texts with fewer words than `size` are one shingle. Texts of any length
+    are shingled whole, in memory for one text at a time. Rows with a null doc_id stay alone, with a null component_id. Equal rows are all
+    kept or all dropped; rows that repeat a doc_id with another text are judged each by its own text. Ties don't arise: a component's
+    smallest doc_id stays. An empty table gives an empty result. Other columns are ignored.
     """
     return NearDuplicates(docs, size, percent).run()
