@@ -51,9 +51,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays, the smallest doc_id."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("tw_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["tw_gone"], "left_anti")
+    """One document of each near-duplicate component stays, the smallest doc_id. Rows go one by one: of two rows with one doc_id and
+    other texts, only the one whose text is a copy goes."""
+    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("tw_gone"), F.col("text_hash").alias("tw_text")).distinct()
+    copy = (docs["doc_id"] == gone["tw_gone"]) & (F.xxhash64(docs["text"]) == gone["tw_text"])
+    return docs.join(gone.hint("shuffle_hash"), copy, "left_anti")
 
 
 @_stage
