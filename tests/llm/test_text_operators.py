@@ -71,20 +71,41 @@ def test_exact_dedup(docs, none, spark):
     assert exact_dedup.exact_duplicates(none).count() == 0
 
 
-def test_digest_index_keeps_earlier_batches_and_compacts(spark):
-    index = exact_dedup.DigestIndex(spark, buckets=2)
-    a = spark.createDataFrame([(5, "x y"), (6, "z")], "doc_id long, text string")
-    b = spark.createDataFrame([(1, "x  y"), (2, "new"), (3, "n e w ")], "doc_id long, text string")
-    assert {r["id"] for r in index.add(a).filter("kept").collect()} == {5, 6}
-    got = {r["id"]: (r["keep_id"], r["kept"]) for r in index.add(b).collect()}
-    assert got == {1: (5, False), 2: (3, False), 3: (3, True)}
-    index.compact()
-    again = exact_dedup.DigestIndex(spark, index.table, buckets=2)
-    assert {r["keep_id"] for r in again.read().collect()} == {5, 6, 3} and again.batches == 2
-    assert not again.add(a).filter("kept").count()
-    plan = index.read().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange hashpartitioning" not in plan  # bucketed: no shuffle on the index side
-    index.drop()
+def test_digest_index_outlives_its_catalog_entry_and_compacts(spark, tmp_path):
+    def entries(x):
+        return {(r["keep_id"], r["batch"]) for r in x.best().collect()}
+
+    path = str(tmp_path / "index")
+    index = exact_dedup.DigestIndex(spark, path, buckets=2)
+    a = exact_dedup.digests(spark.createDataFrame([(5, "x y"), (6, "z"), (None, "z"), (None, "lone")], "doc_id long, text string"))
+    b = exact_dedup.digests(spark.createDataFrame([(1, "x  y"), (2, "new"), (3, "n e w "), (7, "z"), (9, "lone")], "doc_id long, text string"))
+    index.add(a)
+    assert entries(index) == {(5, 0), (6, 0), (None, 0)}
+    fresh = index.fresh(index.candidates(b))
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and plan.count("Exchange hashpartitioning") <= 2  # bucketed: none on the index's side
+    assert {r["keep_id"] for r in fresh.collect()} == {1, 3, 9}  # a longer copy, a new text, and an id where there was none
+    spark.sql(f"DROP TABLE {index.table}")  # another session knows the folder only
+    again = exact_dedup.DigestIndex(spark, path)
+    assert (again.buckets, again.batches) == (2, 1)
+    again.add(b)
+    assert entries(again) == {(1, 1), (6, 0), (3, 1), (9, 1)}
+    again.compact()
+    assert entries(again) == {(1, 1), (6, 0), (3, 1), (9, 1)} and again.read().count() == 4 and again.generation == 1
+    again.add(a)
+    assert again.read().count() == 4  # nothing better in it
+    assert entries(exact_dedup.DigestIndex(spark, path)) == {(1, 1), (6, 0), (3, 1), (9, 1)}
+    again.drop()
+    assert not (tmp_path / "index").exists()
+
+
+def test_exact_dedup_is_the_same_however_it_is_delivered(spark):
+    rng = random.Random(3)
+    rows = [(k if k % 7 else None, rng.choice(["a b", "ab", "a  b", "c", "", None, "d d"])) for k in range(60)] + [(3, "ab"), (3, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    one, three = (sorted(map(repr, exact_dedup.exact_duplicates(df, batches=n).select(*columns).collect())) for n in (1, 3))
+    assert one == three and len(one) == 62
 
 
 def brute_lines(rows, least=40, often=5):
