@@ -126,11 +126,23 @@ def brute_lines(rows, least=40, often=5):
 def test_line_dedup(docs, none):
     got = by_id(line_dedup.dedup_lines(docs))
     want = brute_lines([(r[0], r[1]) for r in awkward()])
-    assert {d: (r["text"], r["n_lines"], r["n_dropped"]) for d, r in got.items()} == want
-    assert any(v[2] for v in want.values()) and got[0]["source"] is None and got[0]["key"] == "clash"
+    assert {d: (r["text"], r["tw_n_lines"], r["tw_n_dropped"]) for d, r in got.items()} == want
+    assert any(v[2] for v in want.values()) and got[0]["source"] is None and got[0]["key"] == "clash" and got[0]["n_lines"] == -1
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_of_repeated_ids_null_ids_and_clashing_names(spark):
+    rows = [(k, f"{LONG_LINE}\nown {k}") for k in (1, 2, 2, 3, None, None, 4)] + [(4, "another text"), (9, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'a' AS tw_keys", "'b' AS tw_doc", "'c' AS tw_own_0", "'d' AS doc", "1.5D AS seq")
+    got = line_dedup.dedup_lines(df)
+    assert got.columns[:-2] == df.columns and {(r["tw_keys"], r["tw_doc"], r["tw_own_0"], r["doc"], r["seq"]) for r in got.collect()} == {("a", "b", "c", "d", 1.5)}
+    # five documents: null, 1, 2, 3, 4; the largest keeps the line
+    want = [(k, t if k == 4 else t.replace(f"{LONG_LINE}\n", "")) for k, t in rows]
+    assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["text"])) for r in got.collect())
+    three = line_dedup.dedup_lines(df, batches=3).select("doc_id", "text").collect()
+    assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["text"])) for r in three)
+
+
 def test_line_index_is_reversible(spark):
     rows = [(k, f"{LONG_LINE} number {k % 7}\n{LONG_LINE}") for k in range(40)]
     df = lambda part: spark.createDataFrame(part, "doc_id long, text string")
@@ -146,12 +158,32 @@ def test_line_index_is_reversible(spark):
     before, known = counts(), members()
     index.insert(df(rows[15:]))
     assert counts() == {line_dedup.line_key(k.encode(), 40): v for k, v in {f"{LONG_LINE} number {j}": (len([i for i in range(40) if i % 7 == j]), max(i for i in range(40) if i % 7 == j)) for j in range(7)}.items()} | {line_dedup.line_key(LONG_LINE.encode(), 40): (40, 39)}
+    full = counts()
+    index.insert(df(rows[10:20]))  # held already
+    assert counts() == full and index.keys == 8
+    index.delete(df(rows[15:]).select("doc_id"))
+    assert counts() == before and members() == known
+    index.insert(df(rows[15:]))
+    assert counts() == full and all(members())
     index.delete(df(rows[15:]).select("doc_id"))
     assert counts() == before and members() == known
     index.delete(df(rows[:15]).select("doc_id"))
     assert counts() == {} and not any(members())
 
 
+def test_line_index_deals_its_keys_to_more_shards(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 20)
+    index = line_dedup.LineIndex(spark, shards=2)
+    df = lambda ids: spark.createDataFrame([(k, f"{LONG_LINE} number {k}") for k in ids], "doc_id long, text string")
+    index.insert(df(range(70)))
+    index.insert(df(range(60, 130)))
+    assert index.shards == 4 and index.keys == 130 and index.counts.count() == 130
+    assert {r["shard"] for r in index.filters.collect()} == {0, 1, 2, 3}
+    index.delete(df(range(130)).select("doc_id"))
+    assert index.keys == 0 and index.counts.count() == 0
+    assert not any(np.frombuffer(r["filter"], dtype=np.uint16).any() for r in index.filters.collect())
+
+
 def test_cuckoo_filter_inserts_and_deletes():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)

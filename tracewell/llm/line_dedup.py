@@ -1,16 +1,17 @@
 """Line dedup: exact reference-count tables with sharded cuckoo filters in front of them.
 
-A line's key is a 128-bit digest of the stripped, lower-cased line. The index keeps three tables in
-the shared folder, each written anew by generation and never in place, so a lost executor only repeats a read:
+A line's key is a 128-bit digest of the stripped, lower-cased line. The index keeps tables in the shared folder. Each change
+appends a segment with its number and rewrites none, so a lost executor only repeats a read:
 
-- postings (key, doc): which document holds which key;
-- counts (key, n_docs, last_doc): in how many documents a key occurs, and the largest of them;
+- postings (key, doc, seq): which document holds which key; gone (doc, seq) takes a document's older postings out;
+- counts (key, n_docs, last_doc, seq): in how many documents a key occurs, and the largest of them; a key's last entry holds;
 - filters (shard, filter): one cuckoo filter of 16-bit fingerprints a shard, holding the shard's keys.
 
-An insertion asks the filter first: keys it doesn't know are new and are appended without a look at the counts;
-only keys it may know are joined with them. A deletion takes the documents' postings out, recounts the keys they
-held, and removes keys that no document holds any more from the filters, which a Bloom filter could not do. So
-inserting a batch and deleting it again restores counts and memberships.
+An insertion asks the filters first: keys they don't know are new and are appended without a look at the counts;
+only keys they may know are joined with them. A deletion recounts the keys the documents held, and removes keys that no
+document holds any more from the filters, which a Bloom filter could not do. So
+inserting a batch and deleting it again restores counts and memberships. When the shards have grown to twice their keys, there
+are twice as many of them, filled from the counts.
 """
 
 from __future__ import annotations
@@ -23,10 +24,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.llm.common import join_keyed, materialize, partitions
 
 SLOTS = 4
+#: Deliveries in which a query inserts a table.
+BATCHES = 2
 #: Keys a shard is meant for: 400,000 keys are 1 MB of filter and 6 MB of digests in a task.
 SHARD_KEYS = 200_000
 
@@ -184,8 +188,11 @@ class LineIndex:
 
     def __init__(self, spark: SparkSession, least: int = 40, often: int = 5, shards: int | None = None):
         self.spark, self.least, self.often, self.shards = spark, least, often, shards
-        self.postings: DataFrame | None = None
-        self.counts: DataFrame | None = None
+        self.seq = 0
+        self.keys = 0  # that the filters hold, false alarms of theirs left out
+        self.posted: DataFrame | None = None  # segments
+        self.gone: DataFrame | None = None
+        self.counted: DataFrame | None = None
         self.filters: DataFrame | None = None
 
     def _lines(self, docs: DataFrame) -> DataFrame:
@@ -200,14 +207,42 @@ class LineIndex:
     def _shard(self, keys: DataFrame) -> DataFrame:
         return keys.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int"))
 
+    @property
+    def postings(self) -> DataFrame:
+        """(key, doc) of the documents that the index holds now."""
+        if self.gone is None:
+            return self.posted.select("key", "doc")
+        gone = self.gone.groupBy("doc").agg(F.max("seq").alias("until")).withColumnRenamed("doc", "out")
+        return self.posted.join(gone, F.col("doc").eqNullSafe(F.col("out")) & (F.col("seq") <= F.col("until")), "left_anti").select("key", "doc")
+
+    def _last(self, counted: DataFrame) -> DataFrame:
+        last = counted.groupBy("key").agg(F.max(F.struct("seq", "n_docs", "last_doc")).alias("c")).filter("c.n_docs > 0")
+        return last.select("key", "c.n_docs", "c.last_doc")
+
+    @property
+    def counts(self) -> DataFrame:
+        """(key, n_docs, last_doc) as they are now."""
+        return self._last(self.counted)
+
+    def _append(self, counts: DataFrame) -> None:
+        segment = materialize(counts.select("key", "n_docs", "last_doc", F.lit(self.seq).alias("seq")), "line-counts")
+        self.counted = segment if self.counted is None else self.counted.unionByName(segment)
+
     def insert(self, docs: DataFrame) -> None:
         """Add docs(doc_id, text). A doc_id that the index already holds adds only the keys it lacked."""
+        self.seq += 1
         new = materialize(self._lines(docs), "line-postings")
-        if self.postings is not None:
-            new = materialize(new.join(self.postings, ["key", "doc"], "left_anti"), "line-postings-new")
+        if self.posted is not None:
+            held = self.postings
+            met = held.select(F.col("doc").alias("held")).distinct()
+            again = materialize(new.select("doc").distinct().join(met, F.col("doc").eqNullSafe(F.col("held")), "left_semi"), "line-again")
+            if not again.isEmpty():
+                there = held.select(F.col("key").alias("k"), F.col("doc").alias("d"))
+                new = materialize(new.join(there, (F.col("key") == F.col("k")) & F.col("doc").eqNullSafe(F.col("d")), "left_anti"), "line-postings-new")
         delta = materialize(self._count(new), "line-delta")
+        size = delta.count()
         if self.shards is None:
-            self.shards = partitions(self.spark, delta.count(), SHARD_KEYS)
+            self.shards = partitions(self.spark, size, SHARD_KEYS)
         empty = self.spark.createDataFrame([], "shard int, filter binary")
         told = materialize(
             (self.filters if self.filters is not None else empty).groupBy("shard")
@@ -216,29 +251,37 @@ class LineIndex:
             "line-filters",
         )
         state = told.filter("key is null").select("shard", "filter")
+        segment = new.withColumn("seq", F.lit(self.seq))
+        self.posted = segment if self.posted is None else self.posted.unionByName(segment)
         if self.filters is None:
-            self.counts, self.filters, self.postings = delta, state, new
+            self._append(delta)
+            self.filters, self.keys = state, size
             return
         maybe = told.filter("key is not null").select("key")
-        surely_new = delta.join(maybe, "key", "left_anti")
-        held = self.counts.join(maybe, "key", "left_semi").union(delta.join(maybe, "key", "left_semi"))
-        merged = held.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-        false_hits = maybe.join(self.counts, "key", "left_anti")
-        rest = self.counts.join(maybe, "key", "left_anti")
-        self.counts = materialize(surely_new.union(merged).union(rest), "line-counts")
-        self.postings = materialize(self.postings.unionByName(new), "line-postings")
-        self.filters = self._refresh(state, false_hits, adding=True)
+        known = self._last(self.counted.join(maybe, "key", "left_semi")).unionByName(delta.join(maybe, "key", "left_semi"))
+        merged = known.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.count(F.lit(1)).alias("sides"))
+        merged = materialize(merged, "line-merged")
+        self._append(delta.join(maybe, "key", "left_anti").unionByName(merged.drop("sides")))
+        # keys that the filters took for known and that aren't: still to be put in
+        self.filters = self._refresh(state, merged.filter("sides = 1").select("key"), adding=True)
+        self.keys += size - merged.filter("sides = 2").count()
+        if self.keys > 2 * SHARD_KEYS * self.shards:
+            self.shards *= 2
+            self.filters = materialize(self._shard(self.counts.select("key")).groupBy("shard").applyInPandas(_build, "shard int, filter binary"), "line-filters")
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Take documents out; doc_ids has one column doc_id. Unknown ids change nothing."""
-        gone = doc_ids.select(F.col("doc_id").alias("doc")).distinct()
-        out = materialize(self.postings.join(gone, "doc", "left_semi").select("key").distinct(), "line-touched")
-        left = materialize(self.postings.join(gone, "doc", "left_anti").select("key", "doc"), "line-postings")
-        recounted = materialize(self._count(left.join(out, "key", "left_semi")), "line-recounted")
-        empty_keys = out.join(recounted, "key", "left_anti")
-        self.counts = materialize(self.counts.join(out, "key", "left_anti").union(recounted), "line-counts")
-        self.postings = left
-        self.filters = self._refresh(self.filters, empty_keys, adding=False)
+        self.seq += 1
+        gone = materialize(doc_ids.select(F.col("doc_id").alias("doc"), F.lit(self.seq).alias("seq")).distinct(), "line-gone")
+        out = materialize(self.postings.join(gone.select(F.col("doc").alias("out")), F.col("doc").eqNullSafe(F.col("out")), "left_semi").select("key").distinct(), "line-touched")
+        self.gone = gone if self.gone is None else self.gone.unionByName(gone)
+        recounted = materialize(self._count(self.postings.join(out, "key", "left_semi")), "line-recounted")
+        kind = recounted.schema["last_doc"].dataType
+        nobody = out.join(recounted, "key", "left_anti").select("key", F.lit(0).cast("long").alias("n_docs"), F.lit(None).cast(kind).alias("last_doc"))
+        nobody = materialize(nobody, "line-nobody")
+        self._append(recounted.unionByName(nobody))
+        self.filters = self._refresh(self.filters, nobody.select("key"), adding=False)
+        self.keys -= nobody.count()
 
     def _refresh(self, filters: DataFrame, keys: DataFrame, adding: bool) -> DataFrame:
         """Put keys into the filters or take them out. A filter that is full is built anew, larger, from the exact counts."""
@@ -261,20 +304,24 @@ class LineIndex:
     def drops(self) -> DataFrame:
         """(doc, keys): the keys whose lines the document loses; only documents that lose any."""
         frequent = materialize(self.counts.filter(F.col("n_docs") >= self.often), "line-frequent")
-        total = self.postings.count()
-        lost = join_keyed(self.postings, frequent, "key", "n_docs", total).filter(~F.col("doc").eqNullSafe(F.col("last_doc")))
+        postings = self.postings
+        total = postings.count()
+        lost = join_keyed(postings, frequent, "key", "n_docs", total).filter(~F.col("doc").eqNullSafe(F.col("last_doc")))
         return lost.groupBy("doc").agg(F.collect_list("key").alias("keys"))
 
     def apply(self, docs: DataFrame) -> DataFrame:
-        """docs with `text` reduced to the lines that stay, joined by newline, and n_lines and n_dropped behind it.
+        """docs with `text` reduced to the lines that stay, joined by newline, and tw_n_lines and tw_n_dropped behind its own columns.
 
-        docs' own columns stay, but ones named n_lines, n_dropped or tw_doc, tw_keys are replaced. docs must have been inserted.
+        docs must have been inserted, and must not have columns of these two names.
         """
-        own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "tw_doc", "tw_keys")]
-        drops = self.drops().select(F.col("doc").alias("tw_doc"), F.col("keys").alias("tw_keys"))
-        base = docs.select(*[F.col(f"`{c}`") for c in own])
-        rows = base.join(drops.hint("shuffle_hash"), base["doc_id"].eqNullSafe(drops["tw_doc"]), "left").drop("tw_doc")
+        own = docs.columns
+        drops = self.drops()
+        # numbered names on the way, so that no column of docs can clash
+        base = docs.select(*[F.col(f"`{c}`").alias(f"tw_own_{k}") for k, c in enumerate(own)])
+        drops = drops.select(F.col("doc").alias("tw_doc"), F.col("keys").alias("tw_keys"))
+        rows = base.join(drops.hint("shuffle_hash"), F.col(f"tw_own_{own.index('doc_id')}").eqNullSafe(drops["tw_doc"]), "left").drop("tw_doc")
         least, at = self.least, own.index("text")
+        names = [*base.columns, "tw_n_lines", "tw_n_dropped"]
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -288,20 +335,21 @@ class LineIndex:
                     n_dropped.append(len(lines) - len(kept))
                 columns = [batch.column(k) for k in range(len(own))]
                 columns[at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*own, "n_lines", "n_dropped"])
-
-        from pyspark.sql import types as T
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=names)
 
-        schema = T.StructType([*base.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-        return rows.mapInArrow(cut, schema)
+        schema = T.StructType([*base.schema.fields, T.StructField("tw_n_lines", T.LongType()), T.StructField("tw_n_dropped", T.LongType())])
+        return rows.mapInArrow(cut, schema).toDF(*own, "tw_n_lines", "tw_n_dropped")
 
 
-def dedup_lines(docs: DataFrame, least: int = 40, often: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 40, often: int = 5, batches: int = BATCHES) -> DataFrame:
     """docs without the lines that `often` documents share, but for the largest doc_id holding them; see LineIndex.apply.
 
-    Null and empty texts are one empty line. Rows that repeat a doc_id count as one document, and each loses or keeps the
-    line alike; a null doc_id counts as one document too, smaller than any id. An empty table gives an empty result.
+    docs are inserted in `batches` deliveries, dealt by a hash of doc_id; the result doesn't depend on how they are dealt. Null and
+    empty texts are one empty line; texts of any length are split whole, one at a time. Rows that repeat a doc_id count as one document, and
+    each loses or keeps the line alike; a null doc_id counts as one document too, smaller than any id. There are no ties, as one doc_id is the
+    largest. All of docs' columns stay as they are, whatever their names. An empty table gives an empty result.
     """
     index = LineIndex(docs.sparkSession, least, often)
-    index.insert(docs)
+    for k in range(batches):
+        index.insert(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
     return index.apply(docs)
