@@ -46,7 +46,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that five documents share stay in the largest doc_id only; n_chars follows. Documents stay, even if nothing is left of them."""
     out = dedup_lines(docs)
-    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    kind = dict(docs.dtypes).get("n_chars")
+    return out.select(*[F.length("text").cast(kind).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 @_stage
