@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import html.parser
 import random
 import re
 import zlib
@@ -284,7 +285,41 @@ def test_language_id(spark, docs, none):
     assert [got[k]["lang_pred"] for k in (0, 1, 2)] == ["und"] * 3 and got[5]["lang_pred"] == "en"
     assert langid.identify(none).count() == 0
     kept = langid.keep_identified(docs, langid.train(docs.select("doc_id", "text", "lang")))
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r[0] for r in awkward()} - {0, 1, 2}
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r[0] for r in awkward()} - {0, 1, 2, 10, 20}  # and two strings of no language
+
+
+def test_scores_are_naive_bayes_counted_by_hand(spark):
+    rng = random.Random(9)
+    make = lambda lang: " ".join(rng.choice({"xx": ["Kra", "tok", "zun"], "yy": ["élu", "ona", "tok"]}[lang]) for _ in range(rng.randrange(1, 9)))
+    rows = [(k, make(lang), lang) for k, lang in enumerate(rng.choice(["xx", "yy"]) for _ in range(60))] + [(60, "tok tok", "xx"), (60, "ona", None)]
+
+    def features(t):
+        codes = np.frombuffer(t.lower().encode("utf-32-le"), "<u4").astype(np.uint64)
+        return [f for order in langid.ORDERS for f in langid.hashed(codes, order).tolist()]
+
+    fits = [r for r in rows if r[2] and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    counts = {lang: collections.Counter(f for _, t, x in fits if x == lang for f in features(t)) for lang in ("xx", "yy")}
+    totals = {lang: sum(c.values()) for lang, c in counts.items()}
+    got = sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect())
+    want = []
+    for k, t, _ in rows:
+        logs = {x: sum(np.log((counts[x][f] + 0.1) / (totals[x] + 0.1 * langid.SIZE)) for f in features(t)) for x in counts}
+        ease = min(1.0, langid.EVIDENCE / (3 * len(t)))
+        best = max(sorted(logs), key=logs.get)
+        want.append((k, best, 1 / sum(np.exp(ease * (v - logs[best])) for v in logs.values())))
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-4
+
+
+def test_texts_of_other_scripts_and_unsure_ones_are_not_kept(spark):
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice(["the", "house", "of", "water", "and", "stone"]) for _ in range(40)), "en") for k in range(30)]
+    rows += [(100, "съешь ещё этих мягких французских булок да выпей чаю", None), (101, "the water", None), (102, "水と石の家があります", None), (100, "the stone house", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df.filter("doc_id < 30"))
+    kept = langid.keep_identified(df, model).collect()
+    assert sorted(r["doc_id"] for r in kept) == [*range(30), 100, 101] and {r["text"] for r in kept if r["doc_id"] == 100} == {"the stone house"}
+    assert langid.keep_identified(df, model, least=1.01).count() == 0
 
 
 def test_long_texts_count_each_ngram_once(monkeypatch):
@@ -527,7 +562,87 @@ def test_grammar_tells_negation_speech_and_target_apart():
     assert score("you are an idiot") > score("an idiot") > score("you are not an idiot") > score("hello there")
     assert score("you are an idiot") > score("she said you are an idiot")
     assert [g.patterns[p] for p in m.clauses("he said you are not an idiot", g)[0][1]] == ["INSULT-negated-reported-aimed"]
-    assert m.features("One fine clause. You idiot! Another.", g)[1] == ["you idiot"]
+    assert [c for c, _ in m.features("One fine clause. You idiot! Another.", g)[1]] == ["you idiot"]
+
+
+@given(st.lists(st.sampled_from([*toxicity.SYMBOLS[:6], "OTHER"]), max_size=14))
+@settings(max_examples=300, deadline=None)
+def test_composed_grammar_is_the_rules_one_by_one(symbols):
+    g = toxicity.Grammar()
+    want, total = collections.Counter(), 0.0
+    for k, s in enumerate(symbols):
+        hit = s in ("INSULT", "THREAT")
+        if s == "TARGET" and "TARGET" not in symbols[:k] and {"INSULT", "THREAT"} & set(symbols[:k]):
+            want["AIMED-BACK"] += 1
+            total += 0.5
+        if hit:
+            name, weight = s, 4.0 if s == "INSULT" else 3.0
+            for mark, applies, change in (("negated", "NEGATION" in symbols[max(0, k - 3) : k], -2.0), ("reported", "SPEECH" in symbols[:k], -1.5), ("aimed", "TARGET" in symbols[:k], 1.0)):
+                if applies:
+                    name, weight = f"{name}-{mark}", weight + change
+            want[name] += 1
+            total += weight
+    found, weight = g.clause(symbols, {s: g.index[s] for s in symbols})
+    assert {g.patterns[p]: n for p, n in found.items()} == want and abs(weight - total) < 1e-9
+
+
+def test_fitted_weights_stand_on_the_arcs():
+    g = toxicity.Grammar()
+    w = toxicity.prior(g)
+    w[g.patterns.index("INSULT-aimed")] = 7.5
+    fitted = toxicity.Grammar(w)
+    lexicon, _ = toxicity._lexicon([], g)
+    assert fitted.clause(["you", "idiot"], lexicon)[1] == 7.5 and g.clause(["you", "idiot"], lexicon)[1] == 5.0
+
+
+PIECES = st.recursive(
+    st.sampled_from(["plain words", "a &amp; b", "x&nbsp;y", "<b>bold</b> text", "line<br>break", "<script>no()</script>", "<!-- none -->", "&#233;t&eacute;", "  \n "]),
+    lambda inner: st.tuples(st.sampled_from(["p", "div", "ul", "li", "h2", "span", "nav", "aside", "form", "section", 'div class="ad"', 'p class="lead"', 'div id="comments"']), st.lists(inner, max_size=3)).map(
+        lambda x: f"<{x[0]}>{''.join(x[1])}</{x[0].split()[0]}>"),
+    max_leaves=12,
+)
+
+
+@given(st.lists(PIECES, max_size=5), st.lists(PIECES, max_size=2))
+@settings(max_examples=200, deadline=None)
+def test_article_text_is_that_of_a_plain_parser(inside, outside):
+    class Plain(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack, self.blocks, self.now = [], [], ""
+
+        def end_block(self):
+            if text := " ".join(self.now.split()):
+                self.blocks.append(text)
+            self.now = ""
+
+        def shown(self):
+            names = [n for n, _ in self.stack]
+            return "article" in names and not any(hidden for _, hidden in self.stack)
+
+        def handle_starttag(self, tag, attrs):
+            hidden = tag in ("nav", "aside", "form", "script") or dict(attrs).get("class") == "ad" or dict(attrs).get("id") == "comments"
+            if tag == "br":
+                self.now += " "
+            elif tag not in ("b", "span", "script"):
+                self.end_block()
+            if tag != "br":
+                self.stack.append((tag, hidden))
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "span", "script"):
+                self.end_block()
+            self.stack.pop()
+
+        def handle_data(self, data):
+            if self.shown():
+                self.now += data
+
+    page = f"<html><body>{''.join(outside)}<article>{''.join(inside)}</article>{''.join(outside)}</body></html>"
+    parser = Plain()
+    parser.feed(page)
+    found = html_extract.blocks(page)
+    assert [t for r, t in found if r == html_extract.ARTICLE] == parser.blocks
 
 
 def test_html_extraction(spark):

@@ -6,16 +6,16 @@ import atexit
 import contextlib
 import gc
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.scratch import shared_dir
+
 #: A key is hot when it holds more than one row in HOT; so at most HOT keys are hot, whatever the input's size.
 HOT = 1000
 
-_FALLBACK: dict[str, str] = {}
 #: Scratch folders by (application, scope), and the scope that new ones belong to.
 _SCRATCH: dict[tuple[str, str], list[str]] = {}
 _SCOPE = ["session"]
@@ -25,18 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = tempfile.mkdtemp(prefix="tracewell-shared")
-        spark.sparkContext.setCheckpointDir(_FALLBACK[app])
-    return _FALLBACK[app]
-
-
 def delete_path(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -6,6 +6,7 @@ a language, is broadcast. Scoring gathers matrix rows by hashed n-gram and sums
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,8 @@ TRAIN_ROWS = 4000
 WINDOW = 1_000_000
 #: n-grams that count as independent evidence in a score; beyond that the evidence is averaged.
 EVIDENCE = 200
+#: A filter keeps texts whose best language has this probability, and whose n-grams are likelier in it than drawn evenly.
+LEAST_SCORE, UNLIKE = 0.5, -BITS * math.log(2)
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
 
@@ -86,7 +89,8 @@ class LanguageModel:
     langs: list[str]
     logs: np.ndarray  # (SIZE + 1, languages), float32; the last row is zero
 
-    def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def score(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """The best language and its probability, and the mean log probability of the text's n-grams in it."""
         total = np.zeros((len(texts), len(self.langs)))
         n = np.zeros(len(texts))
         for which, starts, codes, counted in windows(texts):
@@ -104,6 +108,7 @@ class LanguageModel:
         return (
             [self.langs[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)],
             [float(p[i, b]) if k else 0.0 for i, (b, k) in enumerate(zip(best, known, strict=True))],
+            [float(total[i, b] / max(1.0, n[i])) for i, b in enumerate(best)],
         )
 
 
@@ -140,24 +145,30 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, alpha: float = 0.1)
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of docs(doc_id, text).
 
-    `und` with score 0 where the text is null or has no letter, or the model knows no language. Repeated rows and null ids
-    pass through, other columns are ignored.
+    `und` with score 0 where the text is null or has no letter, or the model knows no language. Texts of any length are scored whole, in
+    windows. Repeated rows, ids that repeat with other texts and null ids pass through, each predicted from its own text; of equally
+    likely languages the first by name is given. Other columns are ignored, an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            langs, scores = sent.value.score(texts) if sent.value.langs else ([UNDETERMINED] * len(texts), [0.0] * len(texts))
+            langs, scores = sent.value.score(texts)[:2] if sent.value.langs else ([UNDETERMINED] * len(texts), [0.0] * len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select("doc_id", "text")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of docs, all columns, whose text has a language; others (null, empty, without a letter) go. A model that
-    knows no language rejects nothing but those."""
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float = LEAST_SCORE, unlike: float = UNLIKE) -> DataFrame:
+    """The rows of docs, all columns, whose text the model takes for one of its languages.
+
+    A row goes if its text is null or has no letter, if the best language has a probability under `least`, or if the text's n-grams are, on
+    average, less likely in it than n-grams drawn evenly (mean log probability under `unlike`): texts of other languages and scripts, and
+    strings of no language. Each row is judged by its own text, whatever its id. A model that knows no language rejects nothing but texts
+    without a letter.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -165,7 +176,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             if sent.value.langs:
-                good = [x != UNDETERMINED for x in sent.value.score(texts)[0]]
+                good = [x != UNDETERMINED and p >= least and m >= unlike for x, p, m in zip(*sent.value.score(texts), strict=True)]
             else:
                 good = [bool(LETTER.search(t)) for t in texts]
             yield batch.filter(pa.array(good, pa.bool_()))

@@ -6,12 +6,15 @@ each distinct content under a shared name is left. (2) The bytes of those runs a
 whose hash repeats are cut out and handed, in shards, to the Burrows-Wheeler merge (bwt.py), whose intervals with a common prefix of
 100 bytes are the repeats; the earliest of each stays. (3) Each document is cut by its repeats.
 
-All hashes are 64 bits under a 48-bit name, and equal texts have equal hashes, so pruning loses nothing.
+Runs are equal if their 64-bit hashes under a 48-bit name are; equal texts have equal hashes, so pruning loses nothing. Two different runs
+under one name are taken for equal with probability 2^-64: with 10^10 distinct runs, at most 20,000 under a name, 5e-6 are to be expected in all.
+Names with more runs (HOT_NAME) leave the merge, which takes whole names: their windows are compared over all tasks by 128-bit digests.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from tracewell.llm.minimizers import WIDTH, runs, window_hashes
 PLACE = 128
 #: Bytes of candidate text that one Burrows-Wheeler merge takes, in whole names.
 CHUNK = 4 << 20
-#: Runs under one name beyond which its windows are compared one by one, by their hashes, over all tasks.
+#: Runs under one name beyond which its windows are compared one by one, by their 128-bit digests, over all tasks.
 HOT_NAME = 20_000
 #: Partition sizes: text bytes for runs, in documents.
 ROWS_A_TASK = 5_000
@@ -168,21 +171,21 @@ def _compare(rows: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, np.nd
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by name. Gives (doc, place, h): repeats with a null h; and, for names with very many runs, each window
-    with its hash instead."""
+    with its 128-bit digest instead."""
     names = ["doc", "place", "h"]
 
     def found(rows: list[tuple]) -> pa.RecordBatch:
         doc, place = _compare(rows)
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), pa.nulls(len(doc), pa.int64())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), pa.nulls(len(doc), pa.binary())], names=names)
 
     def each(rows: list[tuple]) -> pa.RecordBatch:
         doc, place, h = [], [], []
-        for name, d, p, raw in rows:
-            w = window_hashes(np.frombuffer(raw, dtype=np.uint8))[1]
-            doc.append(np.full(len(w), d, dtype=np.int64))
-            place.append((p // PLACE + np.arange(len(w))) * PLACE + 1)
-            h.append((w ^ np.uint64(name) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (doc, place, h)], names=names)
+        for _, d, p, raw in rows:
+            n = len(raw) - WIDTH + 1
+            doc.append(np.full(n, d, dtype=np.int64))
+            place.append((p // PLACE + np.arange(n)) * PLACE + 1)
+            h += [blake2b(raw[k : k + WIDTH], digest_size=16).digest() for k in range(n)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(doc)), pa.array(np.concatenate(place)), pa.array(h, pa.binary())], names=names)
 
     ready: list[tuple] = []  # rows of whole names
     open_: list[tuple] = []  # rows of the name being read
@@ -236,8 +239,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, kept (binary), n_bytes, n_removed, spans (start, end of each removed run) for each row of docs(doc_id, text).
 
-    doc_id is a whole number; null counts as the smallest. Null and empty texts have no bytes. Rows that repeat a doc_id count as one
-    document whose positions compare by their start alone. Other columns are ignored, an empty table gives an empty result.
+    doc_id is a whole number; null counts as the smallest. Null and empty texts have no bytes. A text of any length is named whole in
+    one task, in some 60 bytes of memory a byte of text. Rows that repeat a doc_id count as one
+    document whose positions compare by their start alone, so equal starts are equally early. Other columns are ignored, an empty table gives an empty result.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -251,7 +255,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     tidy(spark)
     wanted = judged.filter("name is not null").groupBy("doc").agg(F.collect_list(F.struct("name", "place")).alias("wanted"))
     contexts = rows.select("doc", "text").join(wanted.hint("shuffle_hash"), "doc").mapInArrow(_contexts, "name long, doc long, place long, bytes binary")
-    merged = contexts.repartition(n, "name").sortWithinPartitions("name").mapInArrow(_merge, "doc long, place long, h long")
+    merged = contexts.repartition(n, "name").sortWithinPartitions("name").mapInArrow(_merge, "doc long, place long, h binary")
     merged = materialize(merged, "repeats")
     del wanted, contexts
     tidy(spark)

@@ -1,11 +1,12 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Words become symbols (insult, threat, target, negation, speech, other). Four small transducers rewrite or weigh the
-symbols of a clause: negation and reported speech mark the insults and threats in their reach, target marks those that have
-somebody to aim at, and the last one emits a pattern for each marked insult or threat. They are composed into one
-deterministic table once; a clause is one walk through it. A document is scored by a logistic model over its
-pattern counts, fitted from a prior on a bounded, documented sample of labelled rows. Beginnings of words that tell
-toxic training rows which the grammar's own words miss from others extend the lexicon.
+Words become symbols (insult, threat, target, negation, speech, other). Four small weighted transducers rewrite the
+symbols of a clause: the lexical one weighs insults and threats, negation and reported speech mark those in their reach and take
+weight off, target marks those that have somebody to aim at and adds weight. They are composed into one
+deterministic table once, whose arcs' weights are the sums of the parts' weights; a clause is one walk through it, and its weight the sum of
+its arcs. Fitting on a bounded, documented sample of labelled rows replaces the composed arcs' weights, pulled towards
+those of the parts; a document's score is the logistic function of its clauses' patterns under these weights. Beginnings of words
+that tell toxic training rows which the grammar's own words miss from others extend the lexicon.
 """
 
 from __future__ import annotations
@@ -45,9 +46,11 @@ SYMBOLS = ("OTHER", "INSULT", "THREAT", "TARGET", "NEGATION", "SPEECH", "END")
 REACH = 3
 #: Labelled rows that the fit takes, in expectation, chosen by the hash of their id. A bound of the fit, not of scoring.
 TRAIN_ROWS = 20_000
-#: Word beginnings learned from toxic rows that the grammar's own words miss: their lengths, at most so many, each in so many
-#: rows and with such log odds.
-STEM, LEARNED, LEAST_ROWS, LEAST_ODDS = (3, 4, 5, 6, 7), 60, 3, 3.0
+#: Word beginnings learned from toxic rows that the grammar's own words miss: their lengths, the rows each must be in, its least log odds, and
+#: the rows that one must explain beyond those learned before it: learning stops at the first that doesn't.
+STEM, LEAST_ROWS, LEAST_ODDS, LEAST_GAIN = (3, 4, 5, 6, 7), 3, 3.0, 2
+#: Weights of the parts' arcs before any label is seen: a bare or aimed insult or threat suffices, a negated or reported one hardly does.
+INSULTS, THREATS, NEGATED, REPORTED, AIMED, AIMED_BACK = 4.0, 3.0, -2.0, -1.5, 1.0, 0.5
 
 CLAUSE = regex.compile(r"[.!?;:\n]+")
 WORD = regex.compile(r"\p{L}[\p{L}'’]*")
@@ -55,29 +58,35 @@ WORD = regex.compile(r"\p{L}[\p{L}'’]*")
 
 @dataclass
 class Transducer:
-    """A deterministic transducer: (state, symbol) -> (state, symbol out). State 0 starts; a missing arc copies the symbol and stays."""
+    """A deterministic weighted transducer: (state, symbol) -> (state, symbol out, weight). State 0 starts; a missing arc copies the symbol and
+    stays, with no weight."""
 
     states: int
-    arcs: dict[tuple[int, str], tuple[int, str]] = field(default_factory=dict)
+    arcs: dict[tuple[int, str], tuple[int, str, float]] = field(default_factory=dict)
 
-    def step(self, state: int, symbol: str) -> tuple[int, str]:
-        return self.arcs.get((state, symbol), (state, symbol))
+    def step(self, state: int, symbol: str) -> tuple[int, str, float]:
+        return self.arcs.get((state, symbol), (state, symbol, 0.0))
 
     def compose(self, other: Transducer, symbols: list[str]) -> Transducer:
-        """First self, then other on what self gives out."""
+        """First self, then other on what self gives out; weights add up."""
         out = Transducer(self.states * other.states)
         for (p, q), s in product(product(range(self.states), range(other.states)), symbols):
-            p2, mid = self.step(p, s)
-            q2, last = other.step(q, mid)
-            out.arcs[p * other.states + q, s] = (p2 * other.states + q2, last)
+            p2, mid, one = self.step(p, s)
+            q2, last, two = other.step(q, mid)
+            out.arcs[p * other.states + q, s] = (p2 * other.states + q2, last, one + two)
         return out
 
     def alphabet(self, symbols: list[str]) -> list[str]:
-        return list(dict.fromkeys([*symbols, *(out for _, out in self.arcs.values())]))
+        return list(dict.fromkeys([*symbols, *(out for _, out, _ in self.arcs.values())]))
 
 
-def marked(symbols: list[str], mark: str) -> dict[str, str]:
-    return {s: f"{s}-{mark}" for s in symbols if s.startswith(("INSULT", "THREAT"))}
+def marks(symbol: str) -> bool:
+    """Whether the symbol is an insult or threat, however marked so far."""
+    return symbol.startswith(("INSULT", "THREAT"))
+
+
+def lexical(symbols: list[str]) -> Transducer:
+    return Transducer(1, {(0, "INSULT"): (0, "INSULT", INSULTS), (0, "THREAT"): (0, "THREAT", THREATS)})
 
 
 def negation(symbols: list[str]) -> Transducer:
@@ -85,8 +94,8 @@ def negation(symbols: list[str]) -> Transducer:
     t = Transducer(REACH + 1)
     for k in range(REACH + 1):
         for s in symbols:
-            out = marked([s], "negated").get(s, s) if k else s
-            t.arcs[k, s] = (REACH if s == "NEGATION" else 0 if s == "END" else max(0, k - 1), out)
+            hit = k > 0 and marks(s)
+            t.arcs[k, s] = (REACH if s == "NEGATION" else 0 if s == "END" else max(0, k - 1), f"{s}-negated" if hit else s, NEGATED * hit)
     return t
 
 
@@ -94,8 +103,8 @@ def speech(symbols: list[str]) -> Transducer:
     """After a verb of speech the rest of the clause is reported."""
     t = Transducer(2)
     for s in symbols:
-        t.arcs[0, s] = (int(s == "SPEECH"), s)
-        t.arcs[1, s] = (int(s != "END"), marked([s], "reported").get(s, s))
+        t.arcs[0, s] = (int(s == "SPEECH"), s, 0.0)
+        t.arcs[1, s] = (int(s != "END"), f"{s}-reported" if marks(s) else s, REPORTED * marks(s))
     return t
 
 
@@ -103,41 +112,52 @@ def target(symbols: list[str]) -> Transducer:
     """An insult or threat behind a target in its clause is aimed; state 2: one came first, so a target behind it aims it."""
     t = Transducer(3)
     for s in symbols:
-        hit = s in marked(symbols, "")
         for state in range(3):
-            after = 0 if s == "END" else 1 if s == "TARGET" or state == 1 else 2 if hit or state == 2 else 0
-            out = f"{s}-aimed" if hit and state == 1 else "AIMED-BACK" if s == "TARGET" and state == 2 else s
-            t.arcs[state, s] = (after, out)
+            after = 0 if s == "END" else 1 if s == "TARGET" or state == 1 else 2 if marks(s) or state == 2 else 0
+            aimed, back = marks(s) and state == 1, s == "TARGET" and state == 2
+            t.arcs[state, s] = (after, f"{s}-aimed" if aimed else "AIMED-BACK" if back else s, AIMED * aimed + AIMED_BACK * back)
     return t
 
 
 class Grammar:
-    """The composed table: next state and pattern for each state and symbol; patterns are numbered from 0, -1 is none."""
+    """The composed table: next state, pattern and weight for each state and symbol; patterns are numbered from 0, -1 is none."""
 
-    def __init__(self):
+    def __init__(self, weights: np.ndarray | None = None):
+        """weights: fitted ones, by pattern, that the arcs emitting the pattern have instead of the parts' sums."""
         symbols = list(SYMBOLS)
-        machine = Transducer(1)
+        machine = lexical(symbols)
         for make in (negation, speech, target):
             machine = machine.compose(make(machine.alphabet(symbols)), symbols)
-        outs = sorted({out for _, out in machine.arcs.values() if out.startswith(("INSULT", "THREAT", "AIMED"))})
+        outs = sorted({out for _, out, _ in machine.arcs.values() if marks(out) or out == "AIMED-BACK"})
         self.patterns = outs
         self.index = {s: i for i, s in enumerate(symbols)}
         self.next = np.zeros((machine.states, len(symbols)), dtype=int).tolist()
         self.emit = np.full((machine.states, len(symbols)), -1).tolist()
-        for (state, s), (to, out) in machine.arcs.items():
-            self.next[state][self.index[s]] = to
+        self.weight = np.zeros((machine.states, len(symbols))).tolist()
+        for (state, s), (to, out, weight) in machine.arcs.items():
+            k = self.index[s]
+            self.next[state][k] = to
+            self.weight[state][k] = weight
             if out in outs:
-                self.emit[state][self.index[s]] = outs.index(out)
+                self.emit[state][k] = outs.index(out)
+                if weights is not None:
+                    self.weight[state][k] = float(weights[outs.index(out)])
 
-    def clause(self, words: list[str], lexicon: dict[str, int]) -> Counter:
-        """Patterns of one clause, with their counts."""
-        state, found = 0, Counter()
+    def clause(self, words: list[str], lexicon: dict[str, int]) -> tuple[Counter, float]:
+        """Patterns of one clause, with their counts, and the weight of its path."""
+        state, found, total = 0, Counter(), 0.0
         for w in words:
             s = lexicon.get(w) or next((lexicon[w[:n] + "*"] for n in STEM if w[:n] + "*" in lexicon), 0)
             if (p := self.emit[state][s]) >= 0:
                 found[p] += 1
+            total += self.weight[state][s]
             state = self.next[state][s]
-        return found
+        return found, total
+
+    def pattern_weights(self) -> list[float]:
+        """The weight of the arcs that emit each pattern; all that emit one have the same, as its marks name the parts' weights."""
+        of = {p: self.weight[state][s] for state, row in enumerate(self.emit) for s, p in enumerate(row) if p >= 0}
+        return [of[p] for p in range(len(self.patterns))]
 
 
 @dataclass
@@ -146,35 +166,33 @@ class ToxicityModel:
     triggers: list[str]  # words without which no pattern can match
     weights: np.ndarray  # of features()
 
-    def clauses(self, text: str, grammar: Grammar) -> list[tuple[str, Counter]]:
-        """The clauses that match a pattern. A text without a trigger is read once and no further."""
+    def clauses(self, text: str, grammar: Grammar) -> list[tuple[str, Counter, float]]:
+        """The clauses that match a pattern, and their weights. A text without a trigger is read once and no further."""
         low = text.lower()
         present = [w for w in self.triggers if w in low]
         out = []
         if present:
             for part in CLAUSE.split(low):
-                if any(w in part for w in present) and (found := grammar.clause(WORD.findall(part), self.lexicon)):
-                    out.append((part.strip(), found))
+                if any(w in part for w in present):
+                    found, weight = grammar.clause(WORD.findall(part), self.lexicon)
+                    if found:
+                        out.append((part.strip(), found, weight))
         return out
 
-    def features(self, text: str, grammar: Grammar) -> tuple[np.ndarray, list[str]]:
+    def features(self, text: str, grammar: Grammar) -> tuple[np.ndarray, list[tuple[str, float]]]:
         """Per pattern: whether a clause matches it, and log of how many do; then a constant and log of matching clauses."""
         matched = self.clauses(text, grammar)
         n = len(grammar.patterns)
         counts = np.zeros(n)
-        for _, found in matched:
+        for _, found, _ in matched:
             for p, k in found.items():
                 counts[p] += k
-        return np.concatenate([counts > 0, np.log1p(counts), [1.0, math.log1p(len(matched))]]), [c for c, _ in matched]
+        return np.concatenate([counts > 0, np.log1p(counts), [1.0, math.log1p(len(matched))]]), [(c, w) for c, _, w in matched]
 
 
 def prior(grammar: Grammar) -> np.ndarray:
-    """Weights before any label is seen: a bare or aimed insult or threat suffices, a negated or reported one hardly does."""
-    first = []
-    for p in grammar.patterns:
-        weight = 4.0 if p.startswith(("INSULT", "THREAT")) else 0.5
-        weight += ("aimed" in p) * 1.0 - ("negated" in p) * 2.0 - ("reported" in p) * 1.5 - p.startswith("THREAT") * 1.0
-        first.append(weight)
+    """Weights of features() before any label is seen: the parts' weights, composed."""
+    first = grammar.pattern_weights()
     return np.array([*first, *[0.5] * len(first), -3.0, 0.5])
 
 
@@ -206,7 +224,8 @@ def stems_of(text: str) -> set[str]:
 def _stems(sample: DataFrame, base: ToxicityModel) -> list[str]:
     """Word beginnings that tell toxic rows which the base lexicon misses from rows that aren't toxic.
 
-    Few are taken: greedily the one that explains most of the rows left. All that is gathered is bounded by the sample.
+    They are taken greedily, the one that explains most of the rows left, while it explains LEAST_GAIN. All that is gathered is
+    bounded by the sample.
     """
 
     def count(rows: str):
@@ -244,12 +263,12 @@ def _stems(sample: DataFrame, base: ToxicityModel) -> list[str]:
 
     left = [set(r["stems"]) for r in sample.select("text", "toxic").mapInArrow(held, "stems array<string>").collect()]
     out: list[str] = []
-    while left and len(out) < LEARNED:
+    while left:
         gain = Counter(w for s in left for w in s)
         if not gain:
             break
         best = max(gain, key=lambda w: (gain[w], odds[w], -len(w), w))
-        if gain[best] < 2:
+        if gain[best] < LEAST_GAIN:
             break
         out.append(best)
         left = [s for s in left if best not in s]
@@ -289,25 +308,28 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> ToxicityModel:
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """(doc_id, score, clauses) for each row of docs(doc_id, text): the probability of the toxic label, and the clauses that matched.
+    """(doc_id, score, clauses) for each row of docs(doc_id, text): the probability of the toxic label, and the clauses that matched, with
+    their weights.
 
-    Null and empty texts match nothing and get the score of such texts. Repeated rows and null ids pass through, other
-    columns are ignored.
+    Null and empty texts match nothing and get the score of such texts; texts of any length are read whole, one at a time. Repeated
+    rows, ids that repeat with other texts and null ids pass through, each scored by its own text; equal texts have equal scores. Other
+    columns are ignored, an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, g = sent.value, Grammar()
+        m, g = sent.value, Grammar(sent.value.weights)
         for batch in batches:
             scores, clauses = [], []
             for text in batch.column(1).to_pylist():
                 x, found = m.features(text or "", g)
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, float(x @ m.weights))))))
-                clauses.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(clauses, pa.list_(pa.string()))], names=["doc_id", "score", "clauses"])
+                clauses.append([{"clause": c, "weight": w} for c, w in found])
+            kind = pa.list_(pa.struct([("clause", pa.string()), ("weight", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(clauses, kind)], names=["doc_id", "score", "clauses"])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, clauses array<string>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, clauses array<struct<clause: string, weight: double>>")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
