@@ -6,7 +6,6 @@ All but the last return the columns of documents, and work on every row that the
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import langid
-from tracewell.llm.common import release, scope, shared_dir, table
+from tracewell.llm.common import delete_path, release, scope, scratch_path, table
 from tracewell.llm.decontaminate import contaminated
 from tracewell.llm.line_dedup import dedup_lines
 from tracewell.llm.minhash import near_duplicates
@@ -38,13 +37,15 @@ def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[
 
 @_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null text, no letter) go."""
+    """Documents that the model doesn't take for one of the learned languages go: texts without a letter, other scripts and languages, and
+    those it is less than half sure of. Rows are judged one by one by their own text, whatever their id; nothing else changes."""
     return langid.keep_identified(docs, langid.train(docs.select("doc_id", "text", "lang")))
 
 
 @_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that five documents share stay in the largest doc_id only; n_chars follows. Documents stay, even if nothing is left of them."""
+    """Lines that five documents share stay in the largest doc_id only; n_chars follows. Documents stay, even if nothing is left of them.
+    Rows that repeat a doc_id, null included, are one document."""
     out = dedup_lines(docs)
     kind = dict(docs.dtypes).get("n_chars")
     return out.select(*[F.length("text").cast(kind).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
@@ -61,7 +62,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cover an item of the benchmark go."""
+    """Documents that cover an item of the benchmark go; rows that repeat a doc_id are judged together. An empty benchmark clears all."""
     found = contaminated(docs, table(spark, sf_dir, "benchmark"))
     gone = found.filter("contaminated").select(F.col("doc_id").alias("tw_gone")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["tw_gone"]), "left_anti")
@@ -69,7 +70,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every token that is left, in sequences of at most 4096."""
+    """Every token that is left, in sequences of at most 4096: one row per piece. Every row has at least one, whatever its text or id."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -87,12 +88,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from documents; each stage's result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/tracewell-pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"pipeline-{name}")  # goes with the session, or sooner
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete_path(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)

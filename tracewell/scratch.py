@@ -12,12 +12,20 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where that is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder. A local one only where neither
+    is set and the master is local, as in tests; on a cluster executors would each write to a disk of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not found and app not in _FALLBACK:
-        _FALLBACK[app] = tempfile.mkdtemp(prefix="tracewell-shared")
-    return (found or _FALLBACK[app]).rstrip("/")
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    given = context._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get().rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _FALLBACK:
+        _FALLBACK[context.applicationId] = tempfile.mkdtemp(prefix="tracewell-shared")
+    return _FALLBACK[context.applicationId]
 
 
 def cut(df: DataFrame) -> DataFrame:
