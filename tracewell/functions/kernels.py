@@ -185,20 +185,85 @@ def soft_dtw(a: np.ndarray, b: np.ndarray, gamma: float = 1.0) -> float:
     return float(r[n, m])
 
 
-def graph_arrivals(n: int, edges: np.ndarray, lags: np.ndarray, weights: np.ndarray, iterations: int = 10, huber: float = 1.345) -> np.ndarray:
-    """Arrival times whose differences along edges (i, j) fit the lags, by reweighted least squares; node 0 pinned, then centred."""
-    a = np.zeros((len(edges), n))
-    a[np.arange(len(edges)), edges[:, 1]] += 1
-    a[np.arange(len(edges)), edges[:, 0]] -= 1
-    w = weights.astype(float)
-    x = np.zeros(n)
+#: Robust weights of lags: residuals beyond HUBER scales weigh less, a scale is LEAST_SCALE frames at least.
+HUBER, LEAST_SCALE = 1.5, 0.5
+
+
+def robust_arrivals(n: int, edges: np.ndarray, lags: np.ndarray, weights: np.ndarray, iterations: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(arrivals, weights, residuals): arrival times whose differences along edges (i, j) fit the lags by reweighted least squares, node 0
+    pinned and then centred; the edges' last weights, and what the fit leaves of the lags.
+
+    The normal equations of the pinned graph are n - 1 square, whatever the number of edges. A graph in several parts
+    gets its least solution.
+    """
+    i, j = edges[:, 0], edges[:, 1]
+    w, x, residual = np.asarray(weights, dtype=float).copy(), np.zeros(n), np.zeros(len(edges))
     for _ in range(iterations):
-        s = np.sqrt(w)
-        x[1:] = np.linalg.lstsq(a[:, 1:] * s[:, None], lags * s, rcond=None)[0]
-        residual = np.abs(lags - a @ x)
-        scale = max(1e-9, 1.4826 * float(np.median(residual)))
-        w = weights * np.minimum(1.0, huber * scale / np.maximum(residual, 1e-12))
-    return x - x.mean()
+        u = np.maximum(w, 1e-8)
+        laplace, right = np.zeros((n, n)), np.zeros(n)
+        np.add.at(laplace, (np.r_[i, j], np.r_[i, j]), np.r_[u, u])
+        np.add.at(laplace, (np.r_[i, j], np.r_[j, i]), -np.r_[u, u])
+        np.add.at(right, j, u * lags)
+        np.add.at(right, i, -u * lags)
+        x = np.append(0.0, np.linalg.lstsq(laplace[1:, 1:], right[1:], rcond=None)[0])
+        residual = x[j] - x[i] - lags
+        spread = np.median(np.abs(residual - np.median(residual)))
+        scale = max(LEAST_SCALE, 1.4826 * float(spread))
+        w = weights * np.minimum(1.0, HUBER * scale / np.maximum(np.abs(residual), 1e-8))
+    return x - x.mean(), w, residual
+
+
+def graph_arrivals(n: int, edges: np.ndarray, lags: np.ndarray, weights: np.ndarray, iterations: int = 4) -> np.ndarray:
+    return robust_arrivals(n, edges, lags, weights, iterations)[0]
+
+
+def refined_origin(coords: np.ndarray, values: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """(origin, slope, r2) of the radial front that fits best near start, within half a span around the points: a pattern search whose steps halve.
+
+    Fronts that arrive earlier farther away count as no fit.
+    """
+    lo, hi = coords.min(axis=0), coords.max(axis=0)
+    span = np.maximum(hi - lo, 1.0)
+    low, high = lo - 0.5 * span, hi + 0.5 * span
+    total = float(((values - values.mean()) ** 2).sum())
+
+    def fit(origin: np.ndarray) -> tuple[float, float]:
+        d = np.hypot(*(coords - origin).T)
+        dc, vc = d - d.mean(), values - values.mean()
+        square = float(dc @ dc)
+        slope = float(dc @ vc) / square if square > 0 else 0.0
+        return (total, slope) if slope < 0 else (float(((vc - slope * dc) ** 2).sum()), slope)
+
+    at = np.clip(np.asarray(start, dtype=float), low, high)
+    best, slope = fit(at)
+    step = span / 20
+    while (step > span * 1e-7).any():
+        tried = [np.clip(at + step * d, low, high) for d in np.array([(1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1)])]
+        scores = [fit(t) for t in tried]
+        k = min(range(len(tried)), key=lambda m: scores[m][0])
+        if scores[k][0] < best:
+            at, (best, slope) = tried[k], scores[k]
+        else:
+            step = step / 2
+    r2 = max(0.0, 1.0 - best / total) if total > 0 and slope >= 0 else 0.0
+    return at, slope, r2
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull, by its two monotone chains; all points where there are fewer than three."""
+    p = np.unique(np.asarray(points, dtype=float).reshape(-1, 2), axis=0)
+    if len(p) < 3:
+        return p
+
+    def chain(rows):
+        out: list[np.ndarray] = []
+        for q in rows:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(q)
+        return out[:-1]
+
+    return np.array(chain(p) + chain(p[::-1]))
 
 
 def linear_r2(design: np.ndarray, values: np.ndarray) -> float:

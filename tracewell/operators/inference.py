@@ -38,7 +38,7 @@ def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def wilcoxon_p(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
-    return pd.Series([special.wilcoxon_p(a, int(k), bool(t)) for a, k, t in zip(w, n, ties, strict=True)])
+    return pd.Series([special.wilcoxon_p(a, int(k), float(t)) for a, k, t in zip(w, n, ties, strict=True)])
 
 
 @F.pandas_udf(DoubleType())
@@ -62,6 +62,78 @@ def wilcoxon(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0.0)).alias("w"), F.count(F.lit(1)).alias("n"), F.max("tied").alias("ties"))
 
 
+def signed_rank_p(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """wilcoxon() with `p`, and n and w; ties of absolute differences are corrected for."""
+    d = df.select(*keys, F.abs(F.col(a) - F.col(b)).alias("d")).filter("d <> 0")
+    t = d.groupBy(*keys, "d").agg(F.count(F.lit(1)).alias("t")).groupBy(*keys).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("tied"))
+    out = wilcoxon(df, keys, a, b).join(t, keys)
+    return out.select(*keys, "w", "n", wilcoxon_p("w", "n", "tied").alias("p"))
+
+
+def independent_t(df: DataFrame, keys: list[str], value: str, arm: str, first, second) -> DataFrame:
+    """Per key: n1, n2, t and its degrees of freedom, with the pooled variance; t is null where that is 0 or a side is empty."""
+    x, y = F.when(F.col(arm) == F.lit(first), F.col(value)), F.when(F.col(arm) == F.lit(second), F.col(value))
+    a = df.groupBy(*keys).agg(F.count(x).alias("n1"), F.count(y).alias("n2"), F.avg(x).alias("m1"), F.avg(y).alias("m2"), F.var_samp(x).alias("v1"), F.var_samp(y).alias("v2"))
+    df_ = (F.col("n1") + F.col("n2") - 2).cast("double")
+    pooled = F.try_divide(F.coalesce((F.col("n1") - 1) * F.col("v1"), F.lit(0.0)) + F.coalesce((F.col("n2") - 1) * F.col("v2"), F.lit(0.0)), F.when(df_ > 0, df_))
+    t = F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(pooled * (F.lit(1.0) / F.nullif("n1", F.lit(0)) + F.lit(1.0) / F.nullif("n2", F.lit(0)))))
+    return a.select(*keys, "n1", "n2", t.alias("t"), df_.alias("df"))
+
+
+def compare_distributions(df: DataFrame, keys: list[str], value: str, arm: str, first, second, test: str = "ttest") -> DataFrame:
+    """(keys.., statistic, p) of the two arms: an independent t-test, the U test or the two-sample distance."""
+    if test == "ttest":
+        t = independent_t(df, keys, value, arm, first, second)
+        return t.select(*keys, F.col("t").alias("statistic"), student_p(F.coalesce("t", F.lit(float("nan"))), "df").alias("p"))
+    if test == "mannwhitneyu":
+        u = mann_whitney(df, keys, value, arm, first, second)
+        return u.select(*keys, F.col("u").alias("statistic"), mann_whitney_p("u", "n1", "n2", "ties").alias("p"))
+    if test == "ks":
+        d = kolmogorov_smirnov(df, keys, value, arm, first, second)
+        return d.select(*keys, F.col("d").alias("statistic"), kolmogorov_p("d", "n1", "n2").alias("p"))
+    raise ValueError(f"unknown test {test!r}; one of ttest, mannwhitneyu, ks")
+
+
+def day_pairs(rows: DataFrame, keys: list[str], subject: str, day: str, value: str) -> DataFrame:
+    """(keys.., day_row, day_col, n_pairs, mean_day_row, mean_day_col, change, statistic) for each two days: the paired t of the subjects
+    seen on both, day_row - day_col; null below 3 of them, 0 where nothing changes. Days that no subject shares have no row.
+    Pairs of days are the output; a subject's days meet in one join on the subject."""
+    seen = rows.filter(F.col(value).isNotNull()).groupBy(*keys, subject, day).agg(F.avg(value).alias("v"))
+    a = seen.select(*keys, subject, F.col(day).alias("day_row"), F.col("v").alias("x"))
+    b = seen.select(*keys, subject, F.col(day).alias("day_col"), F.col("v").alias("y"))
+    both = a.join(b, [*keys, subject]).filter("day_row < day_col")
+    family = [*keys, "day_row", "day_col"]
+    t = paired_t(both, family, "x", "y")
+    means = both.groupBy(*family).agg(F.avg("x").alias("mean_day_row"), F.avg("y").alias("mean_day_col"))
+    return means.join(t, family).select(
+        *family, F.col("n").alias("n_pairs"), "mean_day_row", "mean_day_col", (-F.col("mean_difference")).alias("change"), F.col("t").alias("statistic"))
+
+
+def day_pair_tests(rows: DataFrame, keys: list[str], subject: str, day: str, value: str, test: str = "paired_t", alpha: float = 0.05) -> DataFrame:
+    """day_pairs() with p, its Benjamini-Hochberg q within keys (treatment and metric), stars, and whether q is below alpha. test: paired_t or
+    wilcoxon, whose statistic is the smaller signed-rank sum."""
+    from tracewell.operators.ranking import benjamini_hochberg, stars
+
+    pairs = day_pairs(rows, keys, subject, day, value)
+    family = [*keys, "day_row", "day_col"]
+    if test == "paired_t":
+        p = F.when(F.col("statistic").isNull(), None).when(F.col("statistic") == 0, 1.0).otherwise(student_p(F.abs("statistic"), (F.col("n_pairs") - 1).cast("double")))
+        tested = pairs.withColumn("p", p)
+    elif test == "wilcoxon":
+        seen = rows.filter(F.col(value).isNotNull()).groupBy(*keys, subject, day).agg(F.avg(value).alias("v"))
+        a = seen.select(*keys, subject, F.col(day).alias("day_row"), F.col("v").alias("x"))
+        b = seen.select(*keys, subject, F.col(day).alias("day_col"), F.col("v").alias("y"))
+        ranked = signed_rank_p(a.join(b, [*keys, subject]).filter("day_row < day_col"), family, "y", "x")
+        least = F.least("w", F.col("n") * (F.col("n") + 1) / 2.0 - F.col("w"))
+        tested = pairs.drop("statistic").join(ranked.select(*family, least.alias("s"), F.col("p").alias("p_")), family, "left")
+        few, same = F.col("n_pairs") < 3, F.col("s").isNull()
+        tested = tested.withColumns({"statistic": F.when(few, None).when(same, 0.0).otherwise(F.col("s")), "p": F.when(few, None).when(same, 1.0).otherwise(F.col("p_"))}).drop("s", "p_")
+    else:
+        raise ValueError(f"unknown test {test!r}; one of paired_t, wilcoxon")
+    out = benjamini_hochberg(tested, "p", keys, ["day_row", "day_col"])
+    return out.withColumns({"significance": F.coalesce(stars(F.col("q")), F.lit("")), "significant": F.coalesce(F.col("q") < alpha, F.lit(False))})
+
+
 def effect_sizes(df: DataFrame, keys: list[str], value: str, arm: str, first, second) -> DataFrame:
     """Per key: Cohen's d with the pooled deviation (0 if that is 0), and Hedges' g."""
     one, two = F.col(arm) == F.lit(first), F.col(arm) == F.lit(second)

@@ -14,6 +14,17 @@ def schedule(start: int, interval: int, frames: int) -> list[int]:
     return list(range(start, frames, interval))
 
 
+def resolve_schedule(recording: str, frames: int, overrides: dict[str, list[int]] | None = None, start: int | None = None, interval: int | None = None, given: list[int] | None = None) -> list[int]:
+    """A recording's pulses: its own override, else every interval from start, else the given list; none of them is an error."""
+    if overrides and recording in overrides:
+        return list(overrides[recording])
+    if start is not None and interval is not None:
+        return schedule(start, interval, frames)
+    if given:
+        return list(given)
+    raise ValueError("give start and interval, or a schedule")
+
+
 def pulse_match(spikes: DataFrame, pulses: list[int], window: int, keys: list[str]) -> DataFrame:
     """spikes(keys.., frame) with pulse, the pulse that each answers, or null. Each pulse, in order, takes the nearest unused spike from
     0 to `window` frames behind it.

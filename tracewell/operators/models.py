@@ -33,6 +33,10 @@ def fit(train: DataFrame, features: list[str], label: str, model: str = "RF", **
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), stage]).fit(clean(train, features))
 
 
+def feature_names(model: PipelineModel) -> list[str]:
+    return list(model.stages[0].getInputCols())
+
+
 def importance(model: PipelineModel) -> list[tuple[str, float]]:
     """Features by importance: that of the forest, or the absolute coefficients."""
     names, last = model.stages[0].getInputCols(), model.stages[-1]
@@ -79,3 +83,27 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     if missing := [c for c in names if c not in df.columns]:
         raise ValueError(f"missing features: {missing}")
     return model.transform(clean(df, names)).drop("features", "rawPrediction", "probability")
+
+
+def pass_rates(predicted: DataFrame, keys: list[str], prediction: str = "prediction") -> DataFrame:
+    """Per key: rows, those predicted 1, and their share, 0 where there are none."""
+    kept = F.count_if(F.col(prediction) == 1)
+    return predicted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"), kept.alias("n_kept"), F.coalesce(F.try_divide(kept, F.count(F.lit(1))), F.lit(0.0)).alias("pass_rate"))
+
+
+def filter_predicted(rows: DataFrame, keys: list[str], order: str, prediction: str = "prediction") -> DataFrame:
+    """The rows predicted 1, renumbered within keys by filtered_index."""
+    from tracewell.operators.labels import filtered_index
+
+    return filtered_index(rows.filter(F.col(prediction) == 1), keys, order)
+
+
+def gated_filter(rows: DataFrame, keys: list[str], order: str, model: PipelineModel | None, transform: str = "raw") -> tuple[DataFrame, DataFrame]:
+    """(kept rows, pass rates) by a classifier on its own features, transformed as in training; without a model all rows pass."""
+    if model is None:
+        scored = rows.withColumn("prediction", F.lit(1.0))
+    else:
+        names = feature_names(model)
+        raw = clean(rows, names).withColumns({f"raw_{c}": F.col(c) for c in names})
+        scored = predict(model, transform_features(raw, names, transform)).withColumns({c: F.col(f"raw_{c}") for c in names}).drop(*[f"raw_{c}" for c in names])
+    return filter_predicted(scored, keys, order), pass_rates(scored, keys)

@@ -10,12 +10,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _weighted(mean: Column, var: Column, w: Column) -> list[Column]:
-    """mean, var_total, var_within, var_between by the law of total variance, weights w > 0."""
-    m = F.sum(mean * w) / F.sum(w)
-    within = F.sum(var * w) / F.sum(w)
-    between = F.greatest(F.sum(mean * mean * w) / F.sum(w) - m * m, F.lit(0.0))
-    return [m.alias("mean"), (within + between).alias("var_total"), within.alias("var_within"), between.alias("var_between")]
+def _decomposed(rows: DataFrame, keys: list[str], mean: str, var: str, w: str, *more: Column) -> DataFrame:
+    """(keys.., mean, var_total, var_within, var_between, more..) by the law of total variance, weights w > 0.
+
+    The part between is summed around the mean, found in a first pass: a difference of large squares would cancel for means that are large
+    against their spread. Both passes are partial aggregates; the means come back by a join on the keys.
+    """
+    m = F.sum(F.col(mean) * F.col(w)) / F.sum(w)
+    if keys:
+        centre = rows.groupBy(*keys).agg(m.alias("centre_")).select(*[F.col(k).alias(f"{k}_") for k in keys], "centre_")
+        on = [rows[k].eqNullSafe(centre[f"{k}_"]) for k in keys]
+        rows = rows.join(centre, on).drop(*[f"{k}_" for k in keys])
+    else:
+        rows = rows.crossJoin(F.broadcast(rows.agg(m.alias("centre_"))))  # one row
+    apart = F.col(mean) - F.col("centre_")
+    within, between = F.sum(F.col(var) * F.col(w)) / F.sum(w), F.sum(F.col(w) * apart * apart) / F.sum(w)
+    return rows.groupBy(*keys).agg(
+        F.first("centre_").alias("mean"), (within + between).alias("var_total"), within.alias("var_within"), between.alias("var_between"), *more)
 
 
 def summarize_video(neurons: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,12 +39,12 @@ def summarize_video(neurons: DataFrame, keys: list[str]) -> DataFrame:
         *keys, "stat", "m", F.coalesce("v", F.lit(0.0)).alias("v"),
         F.explode(F.array(F.struct(F.lit("unweighted").alias("scheme"), F.lit(1.0).alias("w")), F.struct(F.lit("weighted").alias("scheme"), F.col("weight").alias("w")))).alias("s"))
     rows = both.select(*keys, "stat", "s.scheme", "m", "v", "s.w").filter("w > 0")
-    return rows.groupBy(*keys, "stat", "scheme").agg(*_weighted(F.col("m"), F.col("v"), F.col("w")))
+    return _decomposed(rows, [*keys, "stat", "scheme"], "m", "v", "w")
 
 
 def aggregate_children(children: DataFrame, keys: list[str], mean: str = "mean", var: str = "var_total", weight: str = "w") -> DataFrame:
     """Parents by keys from children's means and total variances; children without positive weight are left out."""
-    return children.filter(F.col(weight) > 0).groupBy(*keys).agg(*_weighted(F.col(mean), F.col(var), F.col(weight)), F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n_children"))
+    return _decomposed(children.filter(F.col(weight) > 0), keys, mean, var, weight, F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n_children"))
 
 
 def tree_rollup(leaves: DataFrame, levels: list[str]) -> DataFrame:
@@ -46,7 +57,7 @@ def tree_rollup(leaves: DataFrame, levels: list[str]) -> DataFrame:
     out = None
     for depth in range(len(levels) - 1, -1, -1):
         keys = levels[:depth]
-        level = aggregate_children(below, keys) if keys else below.filter("w > 0").agg(*_weighted(F.col("mean"), F.col("var_total"), F.col("w")), F.sum("w").alias("w"), F.count(F.lit(1)).alias("n_children"))
+        level = aggregate_children(below, keys)
         node = F.concat_ws("/", F.lit("root"), *[F.col(k).cast("string") for k in keys])
         row = level.select(F.lit(depth).alias("depth"), node.alias("node"), "mean", "var_total", "var_within", "var_between", "n_children")
         out = row if out is None else out.unionByName(row)

@@ -50,5 +50,14 @@ def override_metadata(inferred: DataFrame, metadata: DataFrame, key: str, fields
     return inferred.join(first, key, "left").select(key, *[F.coalesce(f"{f}_", f).alias(f) for f in fields])
 
 
+def alignment_inputs(recordings: DataFrame, listed: DataFrame, key: str, required: tuple[str, ...] = ("ops.npy", "stat.npy"), snap: str = "_snap.tif") -> DataFrame:
+    """Errors for recordings(key) that lack a required file, or any file that ends in `snap`, among listed(key, name)."""
+    wanted = recordings.select(key).distinct().withColumn("need", F.explode(F.array(*[F.lit(n) for n in required])))
+    have = listed.select(key, F.col("name").alias("need")).distinct()
+    missing = _issue(wanted.join(have, [key, "need"], "left_anti"), "error", "missing_alignment_input", F.col(key), F.concat(F.lit("missing "), F.col("need")))
+    seen = listed.filter(F.col("name").endswith(snap)).select(key).distinct()
+    return missing.unionByName(_issue(recordings.select(key).distinct().join(seen, key, "left_anti"), "error", "missing_snap", F.col(key), F.lit("alignment needs a snapshot")))
+
+
 def report(*issues: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, issues)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.kernels import graph_arrivals, hull_area, linear_r2, radial_scores
+from tracewell.functions.kernels import graph_arrivals, hull, hull_area, linear_r2, radial_scores, refined_origin
 from tracewell.operators.graph import components
 
 
@@ -45,10 +47,36 @@ def radial_score(points: DataFrame, keys: list[str], grid: int = 5, margin: floa
     return r.groupBy(*keys).agg(F.max(F.pow(F.greatest(F.coalesce("r", F.lit(0.0)), F.lit(0.0)), 2)).alias("score"))
 
 
-def fit_propagation(points: DataFrame, keys: list[str], repeats: int = 99, fs: float = 1.0, pixel_um: float = 1.0, t: str = "onset", seed: int = 42) -> DataFrame:
-    """(keys.., model, r2, p, speed, coverage) for each episode: the better of a plane and a radial front, its permutation p, the speed, and
-    the share of the field's hull that the points cover. An episode is one field of view, so it fits a task."""
+def hull_areas(points: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys.., area) of the points' convex hull, 0 below three points. A hull is one of its parts' hulls, so tasks take shares of the points
+    and only the corners meet."""
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    own = ", ".join([*[f"{k} {kinds[k]}" for k in keys], ""])
+    shares = points.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.pmod(F.xxhash64("x", "y"), F.lit(64)).alias("share"))
+
+    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(hull(pdf[["x", "y"]].to_numpy(float)), columns=["x", "y"])
+        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "x", "y"]]
+
+    def area(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "area": [hull_area(pdf[["x", "y"]].to_numpy(float))]})
+
+    parts = shares.groupBy(*keys, "share").applyInPandas(corners, f"{own}x double, y double")
+    return parts.groupBy(*keys).applyInPandas(area, f"{own}area double")
+
+
+def fit_propagation(points: DataFrame, keys: list[str], repeats: int = 99, fs: float = 1.0, pixel_um: float = 1.0, t: str = "onset", seed: int = 42, field: DataFrame | None = None) -> DataFrame:
+    """(keys.., model, r2, p, speed, direction, source_x, source_y, coverage) for each episode: the better of a plane and a radial front on the
+    grid of origins, its permutation p, then the radial origin refined and r2 with it; speed, a plane's direction in degrees and a radial
+    front's source, null for the other; and the share of the field's hull that the points' hull covers.
+
+    field(x, y, and those of keys that tell fields apart) holds all places; without it the episodes' own points are the one field. An
+    episode is one field of view, so it fits a task.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    field = points.select("x", "y") if field is None else field
+    of = [k for k in keys if k in field.columns]
+    names = ["model", "r2", "p", "speed", "direction", "source_x", "source_y", "area"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node") if "node" in pdf else pdf
@@ -61,20 +89,25 @@ def fit_propagation(points: DataFrame, keys: list[str], repeats: int = 99, fs: f
             return ("planar", planar, None) if planar >= radial else ("radial", radial, origin)
 
         model, r2, origin = best(v)
-        import zlib
-
         rng = np.random.default_rng(zlib.crc32(f"{seed}|{'|'.join(str(pdf[k].iloc[0]) for k in keys)}".encode()))
         null = np.array([best(rng.permutation(v))[1] for _ in range(repeats)])
+        p = (1 + int((null >= r2).sum())) / (1 + repeats)
         if model == "planar":
-            slope = float(np.hypot(*np.linalg.lstsq(design, v, rcond=None)[0][1:]))
+            _, sx, sy = np.linalg.lstsq(design, v, rcond=None)[0]
+            slope, direction, source = float(np.hypot(sx, sy)), float(np.degrees(np.arctan2(sy, sx)) % 360), (None, None)
         else:
-            slope = float(np.polyfit(np.hypot(*(c - origin).T), v, 1)[0])
-        out = pd.DataFrame({"model": [model], "r2": [r2], "p": [(1 + int((null >= r2).sum())) / (1 + repeats)], "speed": [pixel_um * fs / slope if slope else float("nan")], "coverage": [hull_area(c)]})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "model", "r2", "p", "speed", "coverage"]]
+            source, slope, r2 = refined_origin(c, v, origin)
+            direction = None
+        row = [model, r2, p, pixel_um * fs / slope if slope else float("nan"), direction, *source, hull_area(c)]
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, **{n: [x] for n, x in zip(names, row, strict=True)}})
 
-    return points.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", model string, r2 double, p double, speed double, coverage double")
+    kind = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "model string", *[f"{n} double" for n in names[1:]]])
+    fits = points.groupBy(*keys).applyInPandas(run, kind)
+    whole = hull_areas(field, of) if of else hull_areas(field.withColumn("one_", F.lit(1)), ["one_"])
+    whole = whole.withColumnRenamed("area", "field_area")
+    joined = fits.join(whole, of) if of else fits.crossJoin(F.broadcast(whole.drop("one_")))  # one row
+    share = F.coalesce(F.col("area") / F.nullif("field_area", F.lit(0.0)), F.lit(0.0))
+    return joined.select(*keys, *names[:-1], share.alias("coverage"))
 
 
 def arrivals(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,10 +147,17 @@ def phasic(blocks: DataFrame, keys: list[str], threshold: float, least_neighbour
     return active.join(votes.filter(F.col("n") >= least_neighbours), [*keys, "frame", "by", "bx"], "left_semi")
 
 
+#: Stride of voxel ids.
+SIDE = 1 << 20
+
+
 def flood_fill(voxels: DataFrame, keys: list[str], least_size: int = 1) -> DataFrame:
-    """voxels(keys.., frame, by, bx) with `component` (its first voxel's id) and component_size, 26-connected."""
-    ids = voxels.withColumn("node", (F.col("frame") * 1_000_000 + F.col("by") * 1000 + F.col("bx")).cast("long"))
-    offsets = F.array(*[F.lit(df * 1_000_000 + dy * 1000 + dx) for df in (0, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (df, dy, dx) > (0, 0, 0)])
+    """voxels(keys.., frame, by, bx) with `component` (its first voxel's id) and component_size, 26-connected.
+
+    An id is (frame * SIDE + by) * SIDE + bx, for grids of under SIDE - 1 blocks a side: a step over an edge meets no voxel.
+    """
+    ids = voxels.withColumn("node", (F.col("frame").cast("long") * SIDE + F.col("by")) * SIDE + F.col("bx"))
+    offsets = F.array(*[F.lit((df * SIDE + dy) * SIDE + dx) for df in (0, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (df, dy, dx) > (0, 0, 0)])
     ahead = ids.select(*keys, F.col("node").alias("a"), F.explode(F.transform(offsets, lambda o: F.col("node") + o)).alias("b"))
     edges = ahead.join(ids.select(*keys, F.col("node").alias("b")), [*keys, "b"], "left_semi")
     labels = components(ids.select(*keys, "node"), edges, keys)

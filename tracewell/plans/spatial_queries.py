@@ -208,7 +208,7 @@ def phasic_voxels(spark: SparkSession, sf: str) -> DataFrame:
     return _phasic(spark, sf).select("frame", "by", "bx")
 
 
-@query("q68_flood_fill", f"""WITH RECURSIVE {PHASIC}, n AS (SELECT frame, y, x, CAST(frame AS BIGINT) * 1000000 + y * 1000 + x AS id FROM ok),
+@query("q68_flood_fill", f"""WITH RECURSIVE {PHASIC}, n AS (SELECT frame, y, x, (CAST(frame AS BIGINT) * 1048576 + y) * 1048576 + x AS id FROM ok),
     e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id <> b.id AND abs(a.frame - b.frame) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
     reach(id, l) AS (SELECT id, id FROM n UNION SELECT e.b, least(r.l, e.b) FROM reach r JOIN e ON e.a = r.id WHERE r.l < e.b),
     c AS (SELECT id, min(l) AS component FROM reach GROUP BY ALL)
@@ -360,7 +360,7 @@ def front_speed(spark: SparkSession, sf: str) -> DataFrame:
     return imaging.leading_edge_speed(v, ["rec"], 2).join(imaging.single_front_fraction(v, ["rec"]), "rec").select(_r("speed"), _r("fraction"))
 
 
-@query("q92_component_extent", f"""WITH RECURSIVE {PHASIC}, n AS (SELECT frame, y, x, CAST(frame AS BIGINT) * 1000000 + y * 1000 + x AS id FROM ok),
+@query("q92_component_extent", f"""WITH RECURSIVE {PHASIC}, n AS (SELECT frame, y, x, (CAST(frame AS BIGINT) * 1048576 + y) * 1048576 + x AS id FROM ok),
     e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id <> b.id AND abs(a.frame - b.frame) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
     reach(id, l) AS (SELECT id, id FROM n UNION SELECT e.b, least(r.l, e.b) FROM reach r JOIN e ON e.a = r.id WHERE r.l < e.b),
     c AS (SELECT id, min(l) AS component FROM reach GROUP BY ALL)

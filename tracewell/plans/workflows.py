@@ -48,8 +48,8 @@ def analyse_recordings(samples: DataFrame, settings: Settings, accept: DataFrame
     thinned = peaks.peaks_min_distance(smooth, settings.distance or peaks.min_distance_frames(settings.fs))
     events = peaks.peak_hierarchy(peaks.prominences(flat, thinned), settings.cluster_radius)
     windows = peaks.valley_windows(flat, thinned)
-    n = samples.agg((F.max("frame") + 1).alias("n"))
-    neurons = peaks.neuron_summary(events, 1, 1.0).crossJoin(F.broadcast(n)).withColumn("spike_freq", F.col("spike_count") * settings.fs / F.col("n")).drop("n")
+    n = samples.groupBy("recording_id").agg((F.max("frame") + 1).alias("n"))  # recordings differ in length
+    neurons = peaks.neuron_summary(events, 1, 1.0).join(n, "recording_id").withColumn("spike_freq", F.col("spike_count") * settings.fs / F.col("n")).drop("n")
     tall = summary.stat_bases(neurons, ["recording_id", "roi_idx", "spike_count"]).withColumnRenamed("spike_count", "w")
     out = {"events": features.event_features(events, windows, flat), "neurons": neurons, "summary": summary.summarize_video(tall, ["recording_id"])}
     for strategy in settings.active():
