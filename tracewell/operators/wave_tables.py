@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.kernels import linear_r2, radial_scores, robust_arrivals
 from tracewell.operators.graph import components
+from tracewell.operators.imaging import _own
 from tracewell.operators.ranking import benjamini_hochberg
 
 
@@ -104,7 +105,7 @@ def graph_fronts(edges: DataFrame, coords: DataFrame, keys: list[str], settings:
 
     place = coords.select(*keys, "node", "x", "y")
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], OUT])
-    return place.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(run, schema)
+    return _own(place).groupBy(*keys).cogroup(_own(rows).groupBy(*keys)).applyInPandas(run, schema)
 
 
 def significant_fronts(fronts: DataFrame, family: list[str], settings: GraphSettings = GraphSettings()) -> DataFrame:

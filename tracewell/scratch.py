@@ -32,11 +32,15 @@ def cut(df: DataFrame) -> DataFrame:
     """df, written once and read back: later plans start from files, with sizes that are known. The files go with the session."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracewell-cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
+    df.write.parquet(forget_at_exit(spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> str:
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
