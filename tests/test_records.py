@@ -275,3 +275,20 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch.shared_dir(Session)
+
+
+def test_cluster_radius_is_the_traces_own_width(spark):
+    from tracewell.operators import peaks
+
+    x = np.zeros(120)
+    for at, half in ((10, 4), (22, 4), (60, 4), (100, 4)):
+        x[at - half : at + half + 1] += 1 - np.abs(np.arange(-half, half + 1)) / half
+    x += np.linspace(0, 1e-3, 120)
+    s = spark.createDataFrame([(0, r, k, float(v)) for r in (0, 1) for k, v in enumerate(x if r == 0 else np.sin(np.arange(120)))], "recording_id int, roi_idx int, frame int, v double")
+    p = peaks.prominences(s)
+    w = {(r["roi_idx"], r["frame"]): r["width"] for r in peaks.peak_widths(s, p).collect()}
+    at = kernels.local_maxima(x)
+    assert [w[0, int(a)] for a in at] == pytest.approx(list(kernels.widths(x, at))) and w[0, 60] == pytest.approx(4.0, abs=0.1)
+    got = {(r["roi_idx"], r["frame"]): r for r in peaks.peak_hierarchy(peaks.with_radius(s, p)).collect()}
+    assert got[0, 60]["radius"] == pytest.approx(1.5 * np.median(kernels.widths(x, at)))
+    assert [got[0, int(a)]["cluster"] for a in at] == list(np.cumsum([0, *(np.diff(at) > got[0, 60]["radius"])]))

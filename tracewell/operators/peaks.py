@@ -5,11 +5,14 @@ A peak is a strict local maximum; a plateau counts once, at its middle rounded d
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions import kernels
 from tracewell.functions.kernels import find_peaks
 from tracewell.operators.traces import KEY, in_order
 
@@ -25,38 +28,69 @@ def local_maxima(samples: DataFrame) -> DataFrame:
     return peaks.select(*KEY, F.floor((F.col("first") + F.col("last")) / 2).cast("int").alias("frame"), "v")
 
 
+def _by_trace(samples: DataFrame, items: DataFrame, columns: list[str], work: Callable[[np.ndarray, np.ndarray, dict[str, np.ndarray]], dict], out: str) -> DataFrame:
+    """(key, out..) of work(frames, v, items' columns) for each trace that has items.
+
+    A trace and its items meet once, as one row of arrays: both sides are grouped by the key, so the join adds no shuffle, and no
+    sample is copied for each item.
+    """
+    arrays = samples.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("frame", "v"))).alias("s"))
+    lists = items.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("t"))
+    rows = arrays.join(lists, KEY).select(*KEY, *[F.col(f"s.{c}").alias(f"s_{c}") for c in ("frame", "v")], *[F.col(f"t.{c}").alias(f"t_{c}") for c in columns])
+    kinds = {f.name: f.dataType.simpleString() for f in samples.schema.fields}
+    names = [c.split()[0] for c in out.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = []
+            for r in pdf.itertuples(index=False):
+                found = work(np.asarray(r.s_frame), np.asarray(r.s_v, dtype=float), {c: np.asarray(getattr(r, f"t_{c}")) for c in columns})
+                parts.append(pd.DataFrame({KEY[0]: getattr(r, KEY[0]), KEY[1]: getattr(r, KEY[1]), **found}))
+            yield pd.concat(parts)[[*KEY, *names]] if parts else pd.DataFrame({c: [] for c in [*KEY, *names]})
+
+    return rows.mapInPandas(run, ", ".join([*[f"{k} {kinds[k]}" for k in KEY], out]))
+
+
 def prominences(samples: DataFrame, peaks: DataFrame | None = None) -> DataFrame:
     """(key, frame, v, left_base, right_base, prominence): a peak's height over the higher of its two bases.
 
     A base is the lowest sample between the peak and the next higher sample, or the trace's end; the nearest of equals.
-    The trace travels to its peaks as one array, so no peak is paired with each sample in a join.
     """
     peaks = local_maxima(samples) if peaks is None else peaks
-    arrays = samples.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("frame", "v"))).alias("s"))
-    rows = peaks.join(arrays, KEY)
-
-    def base(side):
-        return F.array_min(F.transform(side, lambda x: F.struct(x["v"].alias("v"), F.abs(x["frame"] - F.col("frame")).alias("far"), x["frame"].alias("at"))))
-
-    higher = F.filter("s", lambda x: x["v"] > F.col("v"))
-    left_edge = F.coalesce(F.array_max(F.transform(F.filter(higher, lambda x: x["frame"] < F.col("frame")), lambda x: x["frame"])), F.lit(-1))
-    right_edge = F.coalesce(F.array_min(F.transform(F.filter(higher, lambda x: x["frame"] > F.col("frame")), lambda x: x["frame"])), F.lit(2**31 - 1))
-    out = rows.withColumns({"le": left_edge, "re": right_edge}).withColumns({
-        "lb": base(F.filter("s", lambda x: (x["frame"] > F.col("le")) & (x["frame"] <= F.col("frame")))),
-        "rb": base(F.filter("s", lambda x: (x["frame"] < F.col("re")) & (x["frame"] >= F.col("frame")))),
-    })
-    return out.select(
-        *KEY, "frame", "v", F.col("lb.at").alias("left_base"), F.col("rb.at").alias("right_base"),
-        (F.col("v") - F.greatest("lb.v", "rb.v")).alias("prominence"))
-
-
-def peak_clusters(peaks: DataFrame, radius: float) -> DataFrame:
-    """peaks with `cluster`: consecutive peaks at most `radius` frames apart share one, numbered from 0 in each trace."""
-    far = F.coalesce((F.col("frame") - F.lag("frame").over(in_order()) > radius).cast("int"), F.lit(0))
+
+    def work(frames, v, t):
+        at = np.searchsorted(frames, t["frame"])
+        height, left, right = kernels.prominences(v, at)
+        return {"frame": t["frame"], "v": v[at], "left_base": frames[left], "right_base": frames[right], "prominence": height}
+
+    return _by_trace(samples, peaks, ["frame"], work, "frame int, v double, left_base int, right_base int, prominence double")
+
+
+def peak_widths(samples: DataFrame, peaks: DataFrame, level: float = 0.5) -> DataFrame:
+    """(key, frame, width): each peak's width in samples at `level` of its prominence, interpolated."""
+
+    def work(frames, v, t):
+        return {"frame": t["frame"], "width": kernels.widths(v, np.searchsorted(frames, t["frame"]), level)}
+
+    return _by_trace(samples, peaks, ["frame"], work, "frame int, width double")
+
+
+def with_radius(samples: DataFrame, peaks: DataFrame, factor: float = 1.5) -> DataFrame:
+    """peaks with `radius`: factor times the median width of their trace's peaks, for peak_clusters; factor itself where that is no number."""
+    widths = peak_widths(samples, peaks).groupBy(*KEY).agg(F.median("width").alias("median_"))
+    known = F.col("median_").isNotNull() & ~F.isnan("median_") & (F.col("median_") > 0)
+    return peaks.join(widths, KEY).withColumn("radius", factor * F.when(known, F.col("median_")).otherwise(1.0)).drop("median_")
+
+
+def peak_clusters(peaks: DataFrame, radius: float | None) -> DataFrame:
+    """peaks with `cluster`: consecutive peaks at most `radius` frames apart share one, numbered from 0 in each trace. None: their own column
+    radius, from with_radius()."""
+    apart = F.col("radius") if radius is None else F.lit(radius)
+    far = F.coalesce((F.col("frame") - F.lag("frame").over(in_order()) > apart).cast("int"), F.lit(0))
     return peaks.withColumn("far", far).withColumn("cluster", F.sum("far").over(in_order()).cast("int")).drop("far")
 
 
-def peak_hierarchy(peaks: DataFrame, radius: float) -> DataFrame:
+def peak_hierarchy(peaks: DataFrame, radius: float | None = None) -> DataFrame:
     """peaks(.., prominence) with cluster, parent_prominence (the cluster's largest) and dominance (its share of it)."""
     by_cluster = Window.partitionBy(*KEY, "cluster")
     out = peak_clusters(peaks, radius).withColumn("parent_prominence", F.max("prominence").over(by_cluster))
@@ -66,30 +100,35 @@ def peak_hierarchy(peaks: DataFrame, radius: float) -> DataFrame:
 def valley_windows(samples: DataFrame, peaks: DataFrame) -> DataFrame:
     """(key, frame, lo, hi): half-open window from the lowest sample behind the previous peak to the lowest before the next one; the
     trace's first and last peak look to its ends. The lowest frame of equals."""
-    ends = samples.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("frame", "v"))).alias("s"), (F.max("frame") + 1).alias("n"))
-    near = peaks.select(*KEY, "frame", F.coalesce(F.lag("frame").over(in_order()), F.lit(0)).alias("prev"), F.lead("frame").over(in_order()).alias("next"))
-    rows = near.join(ends, KEY).withColumn("next", F.coalesce("next", "n"))
 
-    def lowest(lo: str, hi: str):
-        part = F.filter("s", lambda x: (x["frame"] >= F.col(lo)) & (x["frame"] < F.col(hi)))
-        return F.array_min(F.transform(part, lambda x: F.struct(x["v"].alias("v"), x["frame"].alias("frame"))))["frame"]
+    def work(frames, v, t):
+        at = np.searchsorted(frames, t["frame"])
+        before, after = np.append(0, at[:-1]), np.append(at[1:], len(v))
+        lo = [frames[a + np.argmin(v[a:b])] if b > a else frames[b] for a, b in zip(before, at, strict=True)]
+        hi = [frames[a + np.argmin(v[a:b])] for a, b in zip(at, after, strict=True)]
+        return {"frame": t["frame"], "lo": lo, "hi": hi}
 
-    return rows.select(*KEY, "frame", lowest("prev", "frame").alias("lo"), lowest("frame", "next").alias("hi"))
+    return _by_trace(samples, peaks, ["frame"], work, "frame int, lo int, hi int")
 
 
 def window_samples(samples: DataFrame, windows: DataFrame) -> DataFrame:
     """(key, frame, i, y, pk): each window's samples, scaled to 0..1 by its extremes, i from 0, pk the peak's i.
 
-    Windows shorter than 3 samples or flat within 1e-8 are left out. A sample joins the windows of its own trace only.
+    Windows shorter than 3 samples or flat within 1e-8 are left out. A window's samples are cut out of its trace's array.
     """
-    s = samples.select(*KEY, F.col("frame").alias("at"), "v")
-    inside = windows.join(s, KEY).filter((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
-    w = Window.partitionBy(*KEY, "frame")
-    scaled = inside.withColumns({"b": F.min("v").over(w), "a": F.max("v").over(w) - F.min("v").over(w), "n": F.count(F.lit(1)).over(w)})
-    ok = scaled.filter((F.col("n") >= 3) & (F.col("a") > 1e-8))
-    out = ok.select(*KEY, "frame", (F.col("at") - F.col("lo")).alias("i"), ((F.col("v") - F.col("b")) / F.col("a")).alias("y"))
-    peak = F.min_by("i", F.struct(-F.col("y"), F.col("i"))).over(w)
-    return out.withColumn("pk", peak)
+
+    def work(frames, v, t):
+        lo, hi = np.searchsorted(frames, t["lo"]), np.searchsorted(frames, t["hi"])
+        parts = []
+        for f, first, a, b in zip(t["frame"], t["lo"], lo, hi, strict=True):
+            x = v[a:b]
+            if len(x) >= 3 and (height := x.max() - x.min()) > 1e-8:
+                y = (x - x.min()) / height
+                parts.append((np.full(len(x), f), frames[a:b] - first, y, np.full(len(x), frames[a + int(np.argmax(y))] - first)))
+        empty = (np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0), np.zeros(0, dtype=int))
+        return dict(zip(("frame", "i", "y", "pk"), map(np.concatenate, zip(*parts, strict=True)) if parts else empty, strict=True))
+
+    return _by_trace(samples, windows, ["frame", "lo", "hi"], work, "frame int, i int, y double, pk int")
 
 
 def rise_slope(ws: DataFrame, fs: float = 1.0) -> DataFrame:

@@ -17,7 +17,7 @@ class Settings:
     fs: float = 15.0
     sigma: float = 4.0
     distance: int | None = None
-    cluster_radius: float = 3.0
+    cluster_radius: float | None = None  # 1.5 times the trace's median width
     max_lag: int = 3
     sttc_dt: float = 1.0
     threshold: float = 0.65
@@ -46,7 +46,8 @@ def analyse_recordings(samples: DataFrame, settings: Settings, accept: DataFrame
     smooth = traces.convolve(arrays, traces.gaussian_weights(settings.sigma))
     flat = traces.samples_of(smooth)
     thinned = peaks.peaks_min_distance(smooth, settings.distance or peaks.min_distance_frames(settings.fs))
-    events = peaks.peak_hierarchy(peaks.prominences(flat, thinned), settings.cluster_radius)
+    events = peaks.prominences(flat, thinned)
+    events = peaks.peak_hierarchy(events if settings.cluster_radius is not None else peaks.with_radius(flat, events), settings.cluster_radius)
     windows = peaks.valley_windows(flat, thinned)
     n = samples.groupBy("recording_id").agg((F.max("frame") + 1).alias("n"))  # recordings differ in length
     neurons = peaks.neuron_summary(events, 1, 1.0).join(n, "recording_id").withColumn("spike_freq", F.col("spike_count") * settings.fs / F.col("n")).drop("n")
