@@ -13,16 +13,12 @@ from pyspark.sql import functions as F
 def _decomposed(rows: DataFrame, keys: list[str], mean: str, var: str, w: str, *more: Column) -> DataFrame:
     """(keys.., mean, var_total, var_within, var_between, more..) by the law of total variance, weights w > 0.
 
-    The part between is summed around the mean, found in a first pass: a difference of large squares would cancel for means that are large
-    against their spread. Both passes are partial aggregates; the means come back by a join on the keys.
+    The part between is summed around the mean: a difference of large squares would cancel for means that are large against their spread.
+    The mean comes from a window over the keys, and the aggregate runs on the same partitioning: one shuffle, and rows are computed once.
+    A key's rows are one node's children.
     """
-    m = F.sum(F.col(mean) * F.col(w)) / F.sum(w)
-    if keys:
-        centre = rows.groupBy(*keys).agg(m.alias("centre_")).select(*[F.col(k).alias(f"{k}_") for k in keys], "centre_")
-        on = [rows[k].eqNullSafe(centre[f"{k}_"]) for k in keys]
-        rows = rows.join(centre, on).drop(*[f"{k}_" for k in keys])
-    else:
-        rows = rows.crossJoin(F.broadcast(rows.agg(m.alias("centre_"))))  # one row
+    over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # the root's children
+    rows = rows.withColumn("centre_", F.sum(F.col(mean) * F.col(w)).over(over) / F.sum(w).over(over))
     apart = F.col(mean) - F.col("centre_")
     within, between = F.sum(F.col(var) * F.col(w)) / F.sum(w), F.sum(F.col(w) * apart * apart) / F.sum(w)
     return rows.groupBy(*keys).agg(
