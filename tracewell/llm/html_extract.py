@@ -286,7 +286,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null and empty pages have an empty text. Null and broken URLs count as one host. Pages are range-partitioned by host and path, so
     that a host with a third of all pages is spread over tasks; the tasks' first and last pages meet their other neighbour in a second step,
-    so the result doesn't depend on where the ranges are cut. Repeated rows pass through, other columns are ignored, an empty table
+    so the result doesn't depend on where the ranges are cut. A page of any length is read whole, one at a time; pages with one host, path and
+    url are neighbours in order of page_id, and equal ones, which tell nothing apart, keep their lines. Repeated rows pass through, other columns are ignored, an empty table
     gives an empty result.
     """
     rows = pages.select("page_id", "url", "html")

@@ -23,44 +23,54 @@ from tracewell.session import ship
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every whole text; null and empty texts have one empty line. Rows that repeat a doc_id, null included, are one document, each with a row."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("tw_n_lines").alias("n_lines"), F.col("tw_n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row by its own whole text, whatever its id; null and empty texts have no tokens."""
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row; null and empty texts are equal. Ties of length go to the smallest doc_id, null ids last; equal rows that repeat an id are all kept."""
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row by its own whole text, whatever its id; und where the text is null or has no letter. Of equally likely languages the first by name."""
     return identify(table(spark, sf_dir, "documents"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a row; rows that repeat a doc_id are judged together. Of items that are covered equally the smallest; null and empty texts match none."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row; a null doc_id counts as the smallest, rows that repeat a doc_id as one document whose equal starts are equally early."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At least one piece for every row, null and empty texts included; rows that repeat a doc_id are packed each for itself."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row; null and empty pages have an empty text, broken and null URLs are one host. Equal rows have equal texts but for their neighbours."""
     return extract(table(spark, sf_dir, "pages"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row by its own whole text, whatever its id; null and empty texts get the score of texts that match nothing."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row by its own whole text; rows without a doc_id or without words stay alone. A table of any of these without rows gives none."""
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
