@@ -106,6 +106,11 @@ def flat_clusters(merges: np.ndarray, n: int, threshold: float) -> np.ndarray:
     return np.array([number.setdefault(root(i), len(number) + 1) for i in range(n)], dtype=np.int64)
 
 
+def cut_height(merges: np.ndarray, n: int, most: int) -> float:
+    """The lowest height at which flat_clusters makes at most `most` clusters of n items; merges of one height are all made."""
+    return float(np.sort(merges[:, 2])[n - most - 1]) if 0 < most < n else -1.0 if most >= n else float("inf")
+
+
 def assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of a minimum-cost assignment (shortest augmenting paths)."""
     cost = np.asarray(cost, dtype=float)

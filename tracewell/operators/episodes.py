@@ -5,34 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.peaks import local_maxima, prominences
-from tracewell.operators.traces import KEY, convolve, gaussian_weights, samples_of
+from tracewell.operators.peaks import local_maxima, peaks_min_distance, prominences
+from tracewell.operators.traces import KEY, convolve, derivative_weights, samples_of, trace_arrays
 
 
-def derivative_weights(sigma: float, truncate: float = 4.0) -> list[float]:
-    """Weights of a Gaussian's derivative, for a window read from left to right."""
-    g = gaussian_weights(sigma, truncate)
-    r = len(g) // 2
-    return [w * (k - r) / (sigma * sigma) for k, w in enumerate(g)]
-
-
-def derivative_onsets(arrays: DataFrame, sigma: float, quantile: float = 0.99) -> DataFrame:
-    """(key, frame, v): peaks of the smoothed derivative that reach the trace's quantile."""
-    d = samples_of(convolve(arrays, derivative_weights(sigma)))
+def derivative_onsets(arrays: DataFrame, sigma: float, quantile: float = 0.99, separation: int | None = None) -> DataFrame:
+    """(key, frame, v): peaks of the smoothed derivative (edge samples repeated) that reach the trace's quantile, thinned from the highest down
+    if a separation is given. Thinning first removes none that reach the quantile but by those that do."""
+    sloped = convolve(arrays, derivative_weights(sigma), "nearest")
+    d = samples_of(sloped)
     height = d.groupBy(*KEY).agg(F.percentile("v", quantile).alias("height"))
-    return local_maxima(d).join(height, KEY).filter(F.col("v") >= F.col("height")).select(*KEY, "frame", "v")
+    found = local_maxima(d) if separation is None else peaks_min_distance(sloped, separation)
+    return found.join(height, KEY).filter(F.col("v") >= F.col("height")).select(*KEY, "frame", "v")
 
 
-def candidate_episodes(density: DataFrame, null_peaks: DataFrame, key: str, alpha: float = 0.05) -> DataFrame:
+def candidate_episodes(density: DataFrame, null_peaks: DataFrame, key: str, alpha: float = 0.05, separation: int | None = None) -> DataFrame:
     """(key, frame, v, threshold): peaks of density(key, frame, v) that reach the (1 - alpha) quantile of the nulls' peaks, with a prominence of at
-    least a quarter, and a twentieth of the threshold."""
-    level = null_peaks.groupBy(key).agg(F.percentile("peak", 1 - alpha).alias("threshold"))
+    least a quarter, and a twentieth of the threshold; thinned from the highest down if a separation is given."""
+    level = null_peaks.groupBy(F.col(key).alias("recording_id")).agg(F.percentile("peak", 1 - alpha).alias("threshold"))
     samples = density.select(F.col(key).alias("recording_id"), F.lit(0).alias("roi_idx"), "frame", "v")
-    found = prominences(samples).join(level.withColumnRenamed(key, "recording_id"), "recording_id")
+    thinned = None if separation is None else peaks_min_distance(trace_arrays(samples), separation)
+    found = prominences(samples, thinned).join(level, "recording_id")
     ok = found.filter((F.col("v") >= F.col("threshold")) & (F.col("prominence") >= F.greatest(F.lit(0.25), F.col("threshold") * 0.05)))
     return ok.select(F.col("recording_id").alias(key), "frame", "v", "threshold")
 
 
+def score_peaks(scores: DataFrame, key: str, separation: int, least_prominence: float) -> DataFrame:
+    """(key, frame, v) of the peaks of scores(key, frame, v), one row a frame, thinned from the highest down, with at least that prominence."""
+    samples = scores.select(F.col(key).alias("recording_id"), F.lit(0).alias("roi_idx"), "frame", "v")
+    found = prominences(samples, peaks_min_distance(trace_arrays(samples), separation))
+    return found.filter(F.col("prominence") >= least_prominence).select(F.col("recording_id").alias(key), "frame", "v")
+
+
 def significant_episodes(episodes: DataFrame, movies: DataFrame, keys: list[str], alpha: float = 0.05, turn: float = 45.0, radius: float = 250.0) -> DataFrame:
     """episodes with `confirmed`: the movie's fit has the same model, is significant, and points the same way within turn degrees, or, of radial
     ones, starts within radius (source_x, source_y of both; where a side lacks them, no radial one is confirmed)."""

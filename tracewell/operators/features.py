@@ -27,18 +27,32 @@ def trapezoid_asymmetry(ws: DataFrame) -> DataFrame:
 
 
 def decay_shape(ws: DataFrame, fs: float = 1.0) -> DataFrame:
-    """(key, frame, r2, residual_sd, skewness, kurtosis, curvature) of the samples from the peak on: the log-linear fit's R squared and residual
-    deviation, moments of the samples (population, excess), and the second difference in the middle times fs squared."""
+    """(key, frame, r2, residual_sd, skewness, kurtosis, curvature, biphasic, linearity) of the samples from the peak on, for windows with three of them:
+    the log-linear fit's R squared (0 if the logarithms are all equal) and residual deviation, moments of the samples (population, excess), the second
+    difference in the middle times fs squared, the later half's time constant over the earlier's (1 unless both fall), and 1 over 1 plus the
+    logarithms' deviation from a line. Only samples above 1e-6 have a logarithm; biphasic and linearity number these without gaps."""
     w = Window.partitionBy(*KEY, "frame")
+    order = w.orderBy("i")
+    positive = F.col("y") > 1e-6
     down = ws.filter(F.col("i") >= F.col("pk")).withColumns({
-        "t": (F.col("i") - F.col("pk")) / fs, "ln": F.when(F.col("y") > 1e-6, F.log("y")),
-        "curve": F.lead("y").over(w.orderBy("i")) - 2 * F.col("y") + F.lag("y").over(w.orderBy("i")),
-        "mid": F.floor((F.max("i").over(w) + F.col("pk")) / 2)})
-    r2 = F.regr_r2("ln", F.when(F.col("ln").isNotNull(), F.col("t")))
-    total = F.var_pop("ln")
+        "j": F.col("i") - F.col("pk"), "size": F.count(F.lit(1)).over(w), "t": F.when(positive, (F.col("i") - F.col("pk")) / fs), "ln": F.when(positive, F.log("y")),
+        "c": F.sum(positive.cast("int")).over(order), "curve": F.lead("y").over(order) - 2 * F.col("y") + F.lag("y").over(order)})
+    down = down.filter("size >= 3").withColumn("mid", F.floor(F.col("size") / 2))
+    n, spread = F.count("ln"), F.var_pop("ln")
+    r2 = F.when(n >= 2, F.when(spread > 0, F.regr_r2("ln", "t")).otherwise(0.0))
+    straight = F.when(spread > 0, F.regr_r2("ln", "c")).otherwise(1.0)
+
+    def half(inside):
+        return F.regr_slope(F.when(inside, F.col("ln")), F.when(inside, F.col("c").cast("double")))
+
+    first, second = F.col("j") < F.col("mid"), F.col("j") >= F.col("mid")
+    enough = (F.max("size") >= 6) & (n >= 4) & (F.count(F.when(first, F.col("ln"))) >= 2) & (F.count(F.when(second, F.col("ln"))) >= 2)
+    middle = (F.col("j") == F.col("mid")) & (F.col("mid") > 1) & (F.col("mid") < F.col("size") - 2)
     return down.groupBy(*KEY, "frame").agg(
-        r2.alias("r2"), F.sqrt(F.greatest(total * (1 - r2), F.lit(0.0))).alias("residual_sd"), F.skewness("y").alias("skewness"), F.kurtosis("y").alias("kurtosis"),
-        (F.max(F.when(F.col("i") == F.col("mid"), F.col("curve"))) * fs * fs).alias("curvature"))
+        r2.alias("r2"), F.when(n >= 2, F.sqrt(F.greatest(spread * (1 - r2), F.lit(0.0)))).alias("residual_sd"), F.skewness("y").alias("skewness"), F.kurtosis("y").alias("kurtosis"),
+        (F.max(F.when(middle, F.col("curve"))) * fs * fs).alias("curvature"),
+        F.when(enough, F.when((half(first) < 0) & (half(second) < 0), half(first) / half(second)).otherwise(1.0)).alias("biphasic"),
+        F.when(n >= 3, 1 / (1 + F.sqrt(F.greatest(spread * (1 - straight), F.lit(0.0))))).alias("linearity"))
 
 
 def peak_density(peaks: DataFrame, samples: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.kernels import flat_clusters, linkage
+from tracewell.functions.kernels import cut_height, flat_clusters, linkage
 from tracewell.scratch import cut
 
 
@@ -45,9 +45,11 @@ def knn_edges(points: DataFrame, keys: list[str], k: int, radius: float) -> Data
     return ranked.groupBy(*keys, F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).agg(F.min("distance").alias("distance"))
 
 
-def hierarchical(pairs: DataFrame, keys: list[str], threshold: float, method: str = "average") -> DataFrame:
-    """(keys.., node, cluster) from pairs(keys.., i, j, value) of similarities: linkage on 1 - value, cut at `threshold`; null and missing
-    pairs count as 0. A key is one recording, whose matrix fits a task."""
+def hierarchical(pairs: DataFrame, keys: list[str], threshold: float, method: str = "average", criterion: str = "distance") -> DataFrame:
+    """(keys.., node, cluster) from pairs(keys.., i, j, value) of similarities: linkage on 1 - value, cut at the distance `threshold`, or, by
+    criterion maxclust, where at most that many clusters are left; null and missing pairs count as 0. A key is one recording, whose matrix fits a task."""
+    if criterion not in ("distance", "maxclust"):
+        raise ValueError(f"unknown criterion {criterion!r}; distance or maxclust")
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -55,7 +57,9 @@ def hierarchical(pairs: DataFrame, keys: list[str], threshold: float, method: st
         s = np.zeros((len(nodes), len(nodes)))
         a, b = np.searchsorted(nodes, pdf["i"]), np.searchsorted(nodes, pdf["j"])
         s[a, b] = s[b, a] = np.nan_to_num(pdf["value"].to_numpy(dtype=float))
-        out = pd.DataFrame({"node": nodes, "cluster": flat_clusters(linkage(1 - s, method), len(nodes), threshold)})
+        merges = linkage(1 - s, method)
+        height = cut_height(merges, len(nodes), int(threshold)) if criterion == "maxclust" else threshold
+        out = pd.DataFrame({"node": nodes, "cluster": flat_clusters(merges, len(nodes), height)})
         for k in keys:
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "node", "cluster"]]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.kernels import phase_shift, radial_scores
-from tracewell.operators.traces import gaussian_weights
+from tracewell.operators.traces import convolve, derivative_weights, gaussian_weights
 
 
 def _own(df: DataFrame) -> DataFrame:
@@ -106,14 +106,15 @@ def front_boundary(voxels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def leading_edge_speed(voxels: DataFrame, keys: list[str], separation: int, fs: float = 1.0, block_um: float = 1.0) -> DataFrame:
-    """(keys.., speed): the distance from a front block to the nearest one `separation` frames before, its median over a frame's blocks and then over
-    frames, as a speed; null where no two such frames have fronts. A frame's front meets the whole earlier one, however far."""
+    """(keys.., speed, pairs): the distance from a front block to the nearest one `separation` frames before, its median over a frame's blocks and then over
+    frames, as a speed, and the number of such frames; null and 0 where there are none. A frame's front meets the whole earlier one, however far."""
     front = front_boundary(voxels, keys)
     old = front.select(*keys, (F.col("frame") + separation).alias("frame"), F.col("by").alias("oy"), F.col("bx").alias("ox"))
     d = F.sqrt(F.pow(F.col("by") - F.col("oy"), 2) + F.pow(F.col("bx") - F.col("ox"), 2))
     near = front.join(old, [*keys, "frame"]).groupBy(*keys, "frame", "by", "bx").agg(F.min(d).alias("d"))
-    speed = near.groupBy(*keys, "frame").agg(F.median("d").alias("d")).groupBy(*keys).agg((F.median("d") * block_um * fs / separation).alias("speed"))
-    return voxels.select(*keys).distinct().join(speed, keys, "left")
+    by_frame = near.groupBy(*keys, "frame").agg(F.median("d").alias("d"))
+    speed = by_frame.groupBy(*keys).agg((F.median("d") * block_um * fs / separation).alias("speed"), F.count(F.lit(1)).alias("pairs"))
+    return voxels.select(*keys).distinct().join(speed, keys, "left").fillna(0, ["pairs"])
 
 
 def single_front_fraction(voxels: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,47 +129,71 @@ def single_front_fraction(voxels: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys).agg(F.avg((F.col("n") == 1).cast("double")).alias("fraction"))
 
 
-def relative_change(blocks: DataFrame, keys: list[str], sigma: float = 35.0) -> DataFrame:
-    """(keys.., frame, by, bx, v): (v - baseline) / floor, with the frame's median taken off. The baseline is a Gaussian over time with edges
-    repeated, the floor 5 % of the block's median, 1 at least. Time courses travel as arrays, one a block."""
-    place = [*keys, "by", "bx"]
-    w = F.array(*[F.lit(x) for x in gaussian_weights(sigma)])
-    r = len(gaussian_weights(sigma)) // 2
-    course = blocks.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("frame", "v"))).alias("s"), F.median("v").alias("mid"))
-    n = F.size("s")
-
-    def baseline(i):
-        at = F.transform(F.sequence(F.lit(-r), F.lit(r)), lambda j: F.get("s", F.least(F.greatest(i + j, F.lit(0)), n - 1))["v"] * F.element_at(w, j + r + 1))
-        return F.aggregate(at, F.lit(0.0), lambda a, x: a + x)
-
-    change = F.transform("s", lambda x, i: F.struct(x["frame"].alias("frame"), ((x["v"] - baseline(i)) / F.greatest(F.col("mid") * 0.05, F.lit(1.0))).alias("v")))
-    flat = course.select(*place, F.explode(change).alias("c")).select(*place, "c.frame", "c.v")
-    return flat.withColumn("v", F.col("v") - F.median("v").over(Window.partitionBy(*keys, "frame"))).select(*keys, "frame", "by", "bx", "v")
-
-
-def gradient_metrics(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys.., frame, energy, coherence, divergence, score): how much moves in a frame, how much in one direction, and how much outwards, as robust
-    z-scores over frames. Differences are central, one-sided at the edges."""
-
-    def slope(axis: str, others: list[str]):
-        w = Window.partitionBy(*keys, *others).orderBy(axis)
-        after, before = F.lead("v").over(w), F.lag("v").over(w)
-        return F.coalesce((after - before) / 2, after - F.col("v"), F.col("v") - before, F.lit(0.0))
-
-    g = blocks.withColumns({"gt": slope("frame", ["by", "bx"]), "gy": slope("by", ["frame", "bx"]), "gx": slope("bx", ["frame", "by"])})
-    size = F.sqrt(F.col("gy") * F.col("gy") + F.col("gx") * F.col("gx"))
-    flow = g.withColumns({"size": size, "uy": -F.col("gt") * F.col("gy") / (size * size + 1e-9), "ux": -F.col("gt") * F.col("gx") / (size * size + 1e-9)})
-    wy, wx = Window.partitionBy(*keys, "frame", "bx").orderBy("by"), Window.partitionBy(*keys, "frame", "by").orderBy("bx")
-    div = F.coalesce((F.lead("uy").over(wy) - F.lag("uy").over(wy)) / 2, F.lit(0.0)) + F.coalesce((F.lead("ux").over(wx) - F.lag("ux").over(wx)) / 2, F.lit(0.0))
-    frames = flow.withColumn("div", div).groupBy(*keys, "frame").agg(
-        F.percentile(F.abs("gt") * F.col("size"), 0.9).alias("energy"),
-        (F.sqrt(F.pow(F.avg("ux"), 2) + F.pow(F.avg("uy"), 2)) / (F.avg(F.sqrt(F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy"))) + 1e-9)).alias("coherence"),
-        F.percentile(F.greatest("div", F.lit(0.0)), 0.95).alias("divergence"))
+def _time_courses(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys.., by, bx, frames, raw, f): one array a block, in frame order; f is raw, to be filtered."""
+    course = blocks.groupBy(*keys, "by", "bx").agg(F.array_sort(F.collect_list(F.struct("frame", "v"))).alias("s"))
+    raw = F.transform("s", lambda x: x["v"])
+    return course.select(*keys, "by", "bx", F.transform("s", lambda x: x["frame"]).alias("frames"), raw.alias("raw"), raw.alias("f"))
+
+
+def _smooth_along(blocks: DataFrame, keys: list[str], axis: str, other: str, sigma: float) -> DataFrame:
+    """v smoothed along one axis of each frame, its edges repeated."""
+    lines = blocks.groupBy(*keys, "frame", other).agg(F.array_sort(F.collect_list(F.struct(axis, "v"))).alias("s"))
+    lines = lines.select(*keys, "frame", other, F.transform("s", lambda x: x[axis]).alias("at"), F.transform("s", lambda x: x["v"]).alias("f"))
+    flat = convolve(lines, gaussian_weights(sigma), "nearest").select(*keys, "frame", other, F.explode(F.arrays_zip("at", "f")).alias("z"))
+    return flat.select(*keys, "frame", other, F.col("z.at").alias(axis), F.col("z.f").alias("v"))
+
+
+def relative_change(blocks: DataFrame, keys: list[str], sigma: float = 35.0, spatial: float = 0.0) -> DataFrame:
+    """(keys.., frame, by, bx, v): (v - baseline) over the larger of baseline and floor, with the frame's median taken off, smoothed within
+    frames if spatial is above 0. The baseline is a Gaussian over time with edges repeated, the floor 5 % of the baseline's median, 1 at
+    least. Time courses travel as arrays, one a block."""
+    course = convolve(_time_courses(blocks, keys), gaussian_weights(sigma), "nearest")
+    ordered, n = F.array_sort("f"), F.size("f")
+    middle = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+    floored = course.withColumn("floor", F.greatest(middle * 0.05, F.lit(1.0)))
+    change = F.zip_with("raw", "f", lambda v, b: (v - b) / F.greatest(b, F.col("floor")))
+    flat = floored.select(*keys, "by", "bx", F.explode(F.arrays_zip("frames", change.alias("change"))).alias("c"))
+    flat = flat.select(*keys, "by", "bx", F.col("c.frames").alias("frame"), F.col("c.change").alias("v"))
+    flat = flat.withColumn("v", F.col("v") - F.median("v").over(Window.partitionBy(*keys, "frame"))).select(*keys, "frame", "by", "bx", "v")
+    if spatial > 0:
+        flat = _smooth_along(_smooth_along(flat, keys, "by", "bx", spatial), keys, "bx", "by", spatial)
+    return flat.select(*keys, "frame", "by", "bx", "v")
+
+
+def temporal_gradient(blocks: DataFrame, keys: list[str], sigma: float = 1.0) -> DataFrame:
+    """(keys.., frame, by, bx, v, gt): gt is the Gaussian derivative over time, edges repeated."""
+    sloped = convolve(_time_courses(blocks, keys), derivative_weights(sigma), "nearest")
+    flat = sloped.select(*keys, "by", "bx", F.explode(F.arrays_zip("frames", "raw", "f")).alias("c"))
+    return flat.select(*keys, F.col("c.frames").alias("frame"), "by", "bx", F.col("c.raw").alias("v"), F.col("c.f").alias("gt"))
+
+
+def gradient_metrics(blocks: DataFrame, keys: list[str], sigma: float = 1.0) -> DataFrame:
+    """(keys.., frame, energy, spatiality, coherence, divergence, score) as robust z-scores over frames: how much rises, how unevenly, how much of the
+    flow across level lines goes one way, and how much spreads out. Differences in space are central, one-sided at the edges."""
+
+    def slope(c: str, axis: str, others: list[str]):
+        w = Window.partitionBy(*keys, "frame", *others).orderBy(axis)
+        after, before = F.lead(c).over(w), F.lag(c).over(w)
+        return F.coalesce((after - before) / 2, after - F.col(c), F.col(c) - before, F.lit(0.0))
+
+    frame = Window.partitionBy(*keys, "frame")
+    g = temporal_gradient(blocks, keys, sigma).withColumns({"gy": slope("v", "by", ["bx"]), "gx": slope("v", "bx", ["by"])})
+    g = g.withColumn("steep", F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
+    g = g.withColumn("damp", F.greatest(F.percentile("steep", 0.75).over(frame) * 0.1, F.lit(1e-12)))
+    g = g.withColumns({f"flow_{a}": -F.col("gt") * F.col(f"g{a}") / (F.col("steep") + F.col("damp")) for a in "xy"})
+    size = F.sqrt(F.col("flow_x") * F.col("flow_x") + F.col("flow_y") * F.col("flow_y"))
+    g = g.withColumns({"size": size, "rise": F.greatest("gt", F.lit(0.0)), "div": slope("flow_x", "bx", ["by"]) + slope("flow_y", "by", ["bx"])})
+    weight = F.col("rise") * F.sqrt("steep")
+    along = [F.coalesce(F.sum(F.when(F.col("size") > 0, weight * F.col(f"flow_{a}") / F.col("size"))) / F.nullif(F.sum(weight), F.lit(0.0)), F.lit(0.0)) for a in "xy"]
+    frames = g.groupBy(*keys, "frame").agg(
+        F.percentile("rise", 0.9).alias("energy"), (F.stddev_pop("gt") / (F.avg(F.abs("gt")) + 1e-12)).alias("spatiality"),
+        F.sqrt(F.pow(along[0], 2) + F.pow(along[1], 2)).alias("coherence"), F.percentile(F.greatest("div", F.lit(0.0)), 0.95).alias("divergence"))
     w = Window.partitionBy(*keys)
-    for c in ("energy", "coherence", "divergence"):
+    for c in ("energy", "spatiality", "coherence", "divergence"):
         frames = frames.withColumn("m_", F.median(c).over(w)).withColumn("d_", F.median(F.abs(F.col(c) - F.col("m_"))).over(w))
-        frames = frames.withColumn(c, (F.col(c) - F.col("m_")) / (F.col("d_") * 1.4826 + 1e-9)).drop("m_", "d_")
-    return frames.withColumn("score", F.col("energy") + 0.5 * F.greatest("coherence", "divergence"))
+        frames = frames.withColumn(c, (F.col(c) - F.col("m_")) / F.greatest(F.col("d_") * 1.4826, F.lit(1e-12))).drop("m_", "d_")
+    return frames.withColumn("score", F.col("energy") + 0.5 * F.col("spatiality") + 0.5 * F.greatest("coherence", "divergence"))
 
 
 def lag_null(edges: DataFrame, coords: DataFrame, keys: list[str], repeats: int = 99, mode: str = "sign", strata: str | None = None, seed: int = 42) -> DataFrame:

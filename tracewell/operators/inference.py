@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tracewell.functions import special
+from tracewell.operators.traces import gaussian_weights
 
 
 def mann_whitney(df: DataFrame, keys: list[str], value: str, arm: str, first, second) -> DataFrame:
@@ -214,10 +215,23 @@ def bootstrap_ci(df: DataFrame, key: str, value: str, repeats: int = 1000, level
     return df.select(key, value).groupBy(key).applyInPandas(run, f"{key} {kind}, estimate double, lo double, hi double")
 
 
-def circular_shift_null(events: DataFrame, key: str, train: str, frame: str, n_frames: int, repeats: int = 200, seed: int = 42) -> DataFrame:
-    """(key, repeat, peak): the largest number of events in one frame when each train is shifted around the recording by a random
-    whole number. The shift is a hash of (train, repeat), so repeats run as plain aggregation over all tasks."""
-    rows = events.select(key, train, frame, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
-    shift = F.pmod(F.xxhash64(F.col(train), F.col("repeat"), F.lit(seed)), F.lit(n_frames))
-    counts = rows.groupBy(key, "repeat", F.pmod(F.col(frame) + shift, F.lit(n_frames)).alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy(key, "repeat").agg(F.max("n").alias("peak"))
+def circular_shift_null(events: DataFrame, key: str, train: str, frame: str, n_frames: int | str, repeats: int = 200, seed: int = 42, sigma: float | None = None) -> DataFrame:
+    """(key, repeat, peak): the most events in one frame, or with sigma the highest density (a Gaussian that wraps around), when each train is
+    shifted around the recording by a random whole number of frames.
+
+    The shift is a digest of (train, repeat, seed), so repeats run as plain aggregation over all tasks, and SQL can repeat them. n_frames is a
+    number or a column of events that depends on the key alone.
+    """
+    n = F.lit(n_frames) if isinstance(n_frames, int) else F.col(n_frames)
+    rows = events.select(key, train, frame, n.cast("long").alias("n_"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    digest = F.md5(F.concat_ws("|", F.col(train).cast("string"), F.col("repeat").cast("string"), F.lit(str(seed))))
+    shift = F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.col("n_"))
+    at = F.pmod(F.col(frame) + shift, F.col("n_")).alias("at")
+    counts = rows.groupBy(key, "n_", "repeat", at).agg(F.count(F.lit(1)).alias("n"))
+    if sigma is None:
+        return counts.groupBy(key, "repeat").agg(F.max("n").alias("peak"))
+    weights = gaussian_weights(sigma)
+    offsets = F.array(*[F.struct(F.lit(k - len(weights) // 2).alias("o"), F.lit(w).alias("w")) for k, w in enumerate(weights)])
+    spread = counts.select(key, "n_", "repeat", "at", "n", F.explode(offsets).alias("k"))
+    density = spread.groupBy(key, "repeat", F.pmod(F.col("at") + F.col("k.o"), F.col("n_")).alias("at")).agg(F.sum(F.col("n") * F.col("k.w")).alias("v"))
+    return density.groupBy(key, "repeat").agg(F.round(F.max("v"), 12).alias("peak"))

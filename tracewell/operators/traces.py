@@ -43,6 +43,13 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [x / sum(w) for x in w]
 
 
+def derivative_weights(sigma: float, truncate: float = 4.0) -> list[float]:
+    """Weights of a Gaussian's derivative, for a window read from left to right."""
+    g = gaussian_weights(sigma, truncate)
+    r = len(g) // 2
+    return [w * (k - r) / (sigma * sigma) for k, w in enumerate(g)]
+
+
 def savgol_weights(window: int, order: int) -> list[float]:
     """Weights of the least-squares polynomial's value at the middle of a window."""
     import numpy as np
@@ -51,9 +58,33 @@ def savgol_weights(window: int, order: int) -> list[float]:
     return np.linalg.pinv(np.vander(k, order + 1, increasing=True).astype(float))[0].tolist()
 
 
+def savgol_matrix(window: int, order: int) -> list[list[float]]:
+    """Row i holds the weights of the least-squares polynomial's value at place i of a window."""
+    import numpy as np
+
+    v = np.vander(np.arange(window) - window // 2, order + 1, increasing=True).astype(float)
+    return (v @ np.linalg.pinv(v)).tolist()
+
+
+def savgol(arrays: DataFrame, window: int = 51, order: int = 3) -> DataFrame:
+    """(.., f) to (.., f): each sample on the polynomial fitted to the window around it; near the ends, on that of the first or last
+    window. Null for traces shorter than the window. The weights are one folded literal, whatever the window."""
+    flat = ",".join(repr(w) for row in savgol_matrix(window, order) for w in row)
+    weights = F.split(F.lit(flat), ",").cast("array<double>")
+    n = F.size("f")
+
+    def at(i: Column) -> Column:
+        start = F.least(F.greatest(i - window // 2, F.lit(0)), n - window)
+        return F.aggregate(
+            F.sequence(F.lit(0), F.lit(window - 1)), F.lit(0.0),
+            lambda a, j: a + F.get(weights, (i - start) * window + j) * F.get("f", start + j))
+
+    return arrays.withColumn("f", F.when(n >= window, F.transform(F.sequence(F.lit(0), n - 1), at)))
+
+
 def convolve(arrays: DataFrame, weights: list[float], mode: str = "reflect") -> DataFrame:
-    """(.., f) to (.., f) filtered, inside the JVM. mode: reflect (the edge is repeated), constant (0 outside), wrap, interior
-    (null where the window leaves the trace)."""
+    """(.., f) to (.., f) filtered, inside the JVM. mode: reflect (the edge is repeated), nearest (its sample is), constant (0 outside), wrap,
+    interior (null where the window leaves the trace)."""
     r = len(weights) // 2
     kernel = F.array(*[F.lit(float(w)) for w in weights])
     n = F.size("f")
@@ -61,6 +92,8 @@ def convolve(arrays: DataFrame, weights: list[float], mode: str = "reflect") ->
     def index(i: Column) -> Column:
         if mode == "wrap":
             return F.pmod(i, n)
+        if mode == "nearest":
+            return F.least(F.greatest(i, F.lit(0)), n - 1)
         m = F.pmod(i, 2 * n)
         return F.when(m < n, m).otherwise(2 * n - 1 - m)
 
@@ -77,6 +110,12 @@ def convolve(arrays: DataFrame, weights: list[float], mode: str = "reflect") ->
     return arrays.withColumn("f", F.transform(F.sequence(F.lit(0), n - 1), at))
 
 
+def trace_arrays(samples: DataFrame) -> DataFrame:
+    """(key, f): one array a trace, samples in frame order."""
+    pairs = F.array_sort(F.collect_list(F.struct("frame", "v")))
+    return samples.groupBy(*KEY).agg(F.transform(pairs, lambda x: x["v"]).alias("f"))
+
+
 def samples_of(arrays: DataFrame) -> DataFrame:
     return arrays.select(*KEY, F.posexplode("f").alias("frame", "v"))
 
@@ -123,9 +162,9 @@ def derivative_features(samples: DataFrame) -> DataFrame:
         (F.sum(F.when(F.col("d") > 0, F.col("d")).otherwise(0.0)) / (F.sum(F.when(F.col("d") < 0, -F.col("d")).otherwise(0.0)) + 1e-9)).alias("asymmetry"))
 
 
-def roi_features(samples: DataFrame) -> DataFrame:
-    """All per-trace features that need no peaks, one row a trace."""
-    out = rolling_variance_of_variance(samples).withColumnRenamed("value", "variance_of_variance")
+def roi_features(samples: DataFrame, window: int = 30) -> DataFrame:
+    """All per-trace features that need no peaks, one row a trace; window is that of the rolling variance."""
+    out = rolling_variance_of_variance(samples, window).withColumnRenamed("value", "variance_of_variance")
     out = out.join(autocorr_decay(samples).withColumnRenamed("value", "autocorr_decay"), KEY)
     return out.join(snr(samples).withColumnRenamed("value", "snr"), KEY).join(derivative_features(samples), KEY)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.kernels import graph_arrivals, hull, hull_area, linear_r2, radial_scores, refined_origin
 from tracewell.operators.graph import components
+from tracewell.operators.traces import gaussian_weights
 
 
 def event_density(events: DataFrame, keys: list[str], frame: str, n_frames: int) -> DataFrame:
@@ -21,6 +22,21 @@ def event_density(events: DataFrame, keys: list[str], frame: str, n_frames: int)
     return grid.select(*keys, "frame", F.coalesce(F.try_element_at("m", F.col("frame")), F.lit(0)).alias("n"))
 
 
+def smoothed_density(events: DataFrame, keys: list[str], train: str, frame: str, n_frames: int | str, sigma: float) -> DataFrame:
+    """(keys.., frame, v) on a dense grid of frames: trains with an event in the frame, smoothed by a Gaussian with nothing outside. Only frames with
+    events are spread, by the kernel's offsets. n_frames is a number or a column of events that depends on the keys alone."""
+    weights = gaussian_weights(sigma)
+    offsets = F.array(*[F.struct(F.lit(k - len(weights) // 2).alias("o"), F.lit(w).alias("w")) for k, w in enumerate(weights)])
+    own = events.withColumn("n_", F.lit(n_frames) if isinstance(n_frames, int) else F.col(n_frames).cast("int"))
+    inside = own.filter((F.col(frame) >= 0) & (F.col(frame) < F.col("n_")))
+    counts = inside.select(*keys, "n_", train, frame).distinct().groupBy(*keys, "n_", frame).agg(F.count(F.lit(1)).alias("n"))
+    at = counts.select(*keys, "n_", "n", F.col(frame).cast("int").alias("f_"), F.explode(offsets).alias("k"))
+    spread = at.select(*keys, "n_", (F.col("f_") + F.col("k.o")).alias("frame"), (F.col("n") * F.col("k.w")).alias("v"))
+    grid = own.select(*keys, "n_").distinct().select(*keys, "n_", F.explode(F.sequence(F.lit(0), F.col("n_") - 1)).alias("frame"), F.lit(0.0).alias("v"))
+    both = spread.filter("frame >= 0 and frame < n_").unionByName(grid)
+    return both.groupBy(*keys, "frame").agg(F.round(F.sum("v"), 12).alias("v"))
+
+
 def planar_r2(points: DataFrame, keys: list[str], x: str = "x", y: str = "y", t: str = "onset") -> DataFrame:
     """(keys.., n, r2): R squared of the least-squares plane t ~ x + y, from second moments alone; 0 where they don't determine it."""
     m = points.groupBy(*keys).agg(
@@ -65,10 +81,33 @@ def hull_areas(points: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys).applyInPandas(area, f"{own}area double")
 
 
+def best_front(coords: np.ndarray, values: np.ndarray) -> tuple[str, float, np.ndarray | None]:
+    """The better of a plane and a radial front on the grid of origins: model, r2, and the radial one's origin."""
+    planar = linear_r2(np.column_stack([np.ones(len(coords)), coords]), values)
+    radial, origin = radial_scores(coords, values)
+    return ("planar", planar, None) if planar >= radial else ("radial", radial, origin)
+
+
+def describe_front(coords: np.ndarray, values: np.ndarray, front: tuple[str, float, np.ndarray | None], fs: float, pixel_um: float) -> dict:
+    """r2, speed, direction in degrees (planes) and source_x, source_y of best_front()'s front: a radial one's refined origin, or a plane's first point
+    on its way (the points' middle, and no direction, if it is flat)."""
+    model, r2, origin = front
+    direction = None
+    if model == "planar":
+        way = np.linalg.lstsq(np.column_stack([np.ones(len(coords)), coords]), values, rcond=None)[0][1:]
+        slope, source = float(np.hypot(*way)), coords.mean(axis=0)
+        if slope > 0:
+            direction, source = float(np.degrees(np.arctan2(way[1], way[0])) % 360), coords[int(np.argmin(coords @ way))]
+    else:
+        source, slope, r2 = refined_origin(coords, values, origin)
+    speed = pixel_um * fs / slope if slope else float("nan")
+    return {"r2": r2, "speed": speed, "direction": direction, "source_x": float(source[0]), "source_y": float(source[1])}
+
+
 def fit_propagation(points: DataFrame, keys: list[str], repeats: int = 99, fs: float = 1.0, pixel_um: float = 1.0, t: str = "onset", seed: int = 42, field: DataFrame | None = None) -> DataFrame:
     """(keys.., model, r2, p, speed, direction, source_x, source_y, coverage) for each episode: the better of a plane and a radial front on the
-    grid of origins, its permutation p, then the radial origin refined and r2 with it; speed, a plane's direction in degrees and a radial
-    front's source, null for the other; and the share of the field's hull that the points' hull covers.
+    grid of origins, its permutation p, then the radial origin refined and r2 with it; speed, a plane's direction in degrees (null for radial
+    fronts), the source (a plane's is its first point); and the share of the field's hull that the points' hull covers.
 
     field(x, y, and those of keys that tell fields apart) holds all places; without it the episodes' own points are the one field. An
     episode is one field of view, so it fits a task.
@@ -81,25 +120,11 @@ def fit_propagation(points: DataFrame, keys: list[str], repeats: int = 99, fs: f
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node") if "node" in pdf else pdf
         c, v = pdf[["x", "y"]].to_numpy(float), pdf[t].to_numpy(float)
-        design = np.column_stack([np.ones(len(c)), c])
-
-        def best(values):
-            planar = linear_r2(design, values)
-            radial, origin = radial_scores(c, values)
-            return ("planar", planar, None) if planar >= radial else ("radial", radial, origin)
-
-        model, r2, origin = best(v)
+        front = best_front(c, v)
         rng = np.random.default_rng(zlib.crc32(f"{seed}|{'|'.join(str(pdf[k].iloc[0]) for k in keys)}".encode()))
-        null = np.array([best(rng.permutation(v))[1] for _ in range(repeats)])
-        p = (1 + int((null >= r2).sum())) / (1 + repeats)
-        if model == "planar":
-            _, sx, sy = np.linalg.lstsq(design, v, rcond=None)[0]
-            slope, direction, source = float(np.hypot(sx, sy)), float(np.degrees(np.arctan2(sy, sx)) % 360), (None, None)
-        else:
-            source, slope, r2 = refined_origin(c, v, origin)
-            direction = None
-        row = [model, r2, p, pixel_um * fs / slope if slope else float("nan"), direction, *source, hull_area(c)]
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, **{n: [x] for n, x in zip(names, row, strict=True)}})
+        reached = sum(best_front(c, rng.permutation(v))[1] >= front[1] for _ in range(repeats))
+        row = {"model": front[0], "p": (1 + int(reached)) / (1 + repeats), "area": hull_area(c), **describe_front(c, v, front, fs, pixel_um)}
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, **{n: [row[n]] for n in names}})
 
     kind = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "model string", *[f"{n} double" for n in names[1:]]])
     fits = points.groupBy(*keys).applyInPandas(run, kind)
@@ -131,10 +156,15 @@ def block_mean(pixels: DataFrame, keys: list[str], block: int, height: int, widt
     return whole.groupBy(*keys, F.floor(F.col("y") / block).alias("by"), F.floor(F.col("x") / block).alias("bx")).agg(F.avg("v").alias("v"))
 
 
-def phasic(blocks: DataFrame, keys: list[str], threshold: float, least_neighbours: int = 0) -> DataFrame:
+def phasic(blocks: DataFrame, keys: list[str], threshold: float, least_neighbours: int = 0, mode: str = "level") -> DataFrame:
     """(keys.., frame, by, bx): blocks whose robust z in their own time course is at least threshold, with enough of the 8 neighbours active in
-    the same frame. The neighbours are one equi-join on shifted places."""
+    the same frame. mode: level, or derivative (central differences, one-sided at the ends). The neighbours are one equi-join on shifted places."""
     place = [*keys, "by", "bx"]
+    if mode == "derivative":
+        after, before = (f("v").over(Window.partitionBy(*place).orderBy("frame")) for f in (F.lead, F.lag))
+        blocks = blocks.withColumn("v", F.coalesce((after - before) / 2, after - F.col("v"), F.col("v") - before, F.lit(0.0)))
+    elif mode != "level":
+        raise ValueError(f"unknown mode {mode!r}; level or derivative")
     w = Window.partitionBy(*place)
     m = blocks.withColumn("m", F.median("v").over(w))
     z = m.withColumn("mad", F.median(F.abs(F.col("v") - F.col("m"))).over(w)).withColumn("z", (F.col("v") - F.col("m")) / F.greatest(F.col("mad") * 1.4826, F.lit(1e-7)))

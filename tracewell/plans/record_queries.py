@@ -179,7 +179,7 @@ def graph_fronts(spark: SparkSession, sf: str) -> DataFrame:
     return wave_tables.significant_fronts(fronts.withColumn("recording", F.lit(0)), ["recording"])
 
 
-@query("q106_front_speed_and_parts", f"""WITH RECURSIVE {PHASIC}, full_ AS (SELECT a.frame, a.y, a.x FROM ok a JOIN ok b ON a.frame = b.frame AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL HAVING count(*) = 9),
+@query("q91_front_speed", f"""WITH RECURSIVE {PHASIC}, full_ AS (SELECT a.frame, a.y, a.x FROM ok a JOIN ok b ON a.frame = b.frame AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL HAVING count(*) = 9),
     fr AS (SELECT frame, y, x FROM ok ANTI JOIN full_ USING (frame, y, x)),
     near AS (SELECT a.frame, a.y, a.x, min(sqrt(pow(a.y - b.y, 2) + pow(a.x - b.x, 2))) AS d FROM fr a JOIN fr b ON b.frame = a.frame - 2 GROUP BY ALL),
     md AS (SELECT frame, median(d) AS d FROM near GROUP BY frame),

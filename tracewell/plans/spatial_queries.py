@@ -303,13 +303,6 @@ def mean_within_groups(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.mean_within(groups, r, ["recording_id"]).select("recording_id", "group", _r("mean_similarity"))
 
 
-@query("q85_roi_feature_table")
-def roi_feature_table(spark: SparkSession, sf: str) -> DataFrame:
-    s = adapters.day_traces(spark, sf)
-    peak = peaks.prominences(s).groupBy("recording_id", "roi_idx").agg(F.count(F.lit(1)).alias("n_peaks"), F.median("prominence").alias("median_prominence"))
-    return traces.roi_features(s).join(peak, ["recording_id", "roi_idx"], "left")
-
-
 IMAGES = "img AS (SELECT l_suppkey % 4 AS fov, l_linenumber AS day, CAST(l_partkey % 24 AS INT) AS y, CAST(l_orderkey % 20 AS INT) AS x, round(avg(l_quantity), 6) AS v FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL)"
 
 
@@ -354,12 +347,6 @@ def front_boundary(spark: SparkSession, sf: str) -> DataFrame:
     return imaging.front_boundary(_phasic(spark, sf), ["rec"]).select("frame", "by", "bx")
 
 
-@query("q91_front_speed")
-def front_speed(spark: SparkSession, sf: str) -> DataFrame:
-    v = _phasic(spark, sf)
-    return imaging.leading_edge_speed(v, ["rec"], 2).join(imaging.single_front_fraction(v, ["rec"]), "rec").select(_r("speed"), _r("fraction"))
-
-
 @query("q92_component_extent", f"""WITH RECURSIVE {PHASIC}, n AS (SELECT frame, y, x, (CAST(frame AS BIGINT) * 1048576 + y) * 1048576 + x AS id FROM ok),
     e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id <> b.id AND abs(a.frame - b.frame) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
     reach(id, l) AS (SELECT id, id FROM n UNION SELECT e.b, least(r.l, e.b) FROM reach r JOIN e ON e.a = r.id WHERE r.l < e.b),
@@ -369,26 +356,6 @@ def component_extent(spark: SparkSession, sf: str) -> DataFrame:
     return waves.component_extent(waves.flood_fill(_phasic(spark, sf), ["rec"]), ["rec"]).drop("rec")
 
 
-@query("q93_movie_gradient_metrics")
-def movie_gradient_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = _movie(spark, sf).select(F.lit(0).alias("rec"), "frame", F.col("y").alias("by"), F.col("x").alias("bx"), "v")
-    out = imaging.gradient_metrics(imaging.relative_change(blocks, ["rec"], 5.0), ["rec"])
-    return out.select("frame", *[_r(c) for c in ("energy", "coherence", "divergence", "score")])
-
-
-@query("q94_derivative_onsets")
-def derivative_onsets(spark: SparkSession, sf: str) -> DataFrame:
-    return episodes.derivative_onsets(adapters.trace_arrays(adapters.day_traces(spark, sf)), 1.5, 0.9)
-
-
-@query("q95_candidate_episodes")
-def candidate_episodes(spark: SparkSession, sf: str) -> DataFrame:
-    at = peaks.local_maxima(adapters.day_traces(spark, sf))
-    density = waves.event_density(at, ["recording_id"], "frame", adapters.DAYS).withColumn("v", F.col("n").cast("double"))
-    null = inference.circular_shift_null(at, "recording_id", "roi_idx", "frame", adapters.DAYS, 50)
-    return episodes.candidate_episodes(density, null, "recording_id", 0.9)
-
-
 @query("q96_lag_null")
 def lag_null(spark: SparkSession, sf: str) -> DataFrame:
     p = adapters.points(spark, sf)
@@ -406,12 +373,6 @@ def area_asymmetry(spark: SparkSession, sf: str) -> DataFrame:
     return features.area_asymmetry(ws).select("recording_id", "roi_idx", "frame", _r("value"))
 
 
-@query("q98_decay_shape")
-def decay_shape(spark: SparkSession, sf: str) -> DataFrame:
-    s = adapters.day_traces(spark, sf)
-    return features.decay_shape(peaks.window_samples(s, peaks.valley_windows(s, peaks.local_maxima(s))))
-
-
 @query("q99_peak_density", f"""WITH {PROMINENCE}, p AS (SELECT m.roi_idx, count(*) AS k, median(prominence) AS mp, sum(prominence) AS total, avg(m.v - g.v) AS lm FROM prom m JOIN grid g ON g.roi_idx = m.roi_idx AND g.frame = m.left_base GROUP BY 1),
     s AS (SELECT recording_id, roi_idx, count(*) AS n, max(v) - min(v) AS r FROM grid GROUP BY ALL)
     SELECT recording_id, s.roi_idx, round(coalesce(k, 0) / n, 6) AS density, round(coalesce(mp, 0), 6) AS median_prominence, round(coalesce(total / nullif(r, 0) / n, 0), 6) AS weighted_density, round(lm, 6) AS left_mean

@@ -58,6 +58,19 @@ def savgol_interior(spark: SparkSession, sf: str) -> DataFrame:
     return traces.samples_of(out).filter("v is not null").select(*KEY, "frame", _r("v"))
 
 
+def _savgol_sql(window: int, order: int) -> str:
+    rows = ", ".join(f"({i}, {j}, {w!r})" for i, row in enumerate(traces.savgol_matrix(window, order)) for j, w in enumerate(row))
+    start = f"least(greatest(g.frame - {window // 2}, 0), 30 - {window})"
+    return f"""WITH {GRID}, k(i, j, w) AS (VALUES {rows}) SELECT g.recording_id, g.roi_idx, g.frame, round(sum(k.w * h.v), 6) AS v
+        FROM grid g JOIN k ON k.i = g.frame - {start} JOIN grid h ON h.roi_idx = g.roi_idx AND h.frame = {start} + k.j GROUP BY ALL"""
+
+
+@query("q05b_savgol_edges", _savgol_sql(11, 3))
+def savgol_edges(spark: SparkSession, sf: str) -> DataFrame:
+    out = traces.savgol(adapters.trace_arrays(adapters.day_traces(spark, sf)), 11, 3)
+    return traces.samples_of(out).select(*KEY, "frame", _r("v"))
+
+
 @query("q06_rolling_var_of_var", f"""WITH {GRID}, r AS (
       SELECT recording_id, roi_idx, row_number() OVER w AS rn,
              greatest(avg(v * v) OVER (w ROWS 9 PRECEDING) - pow(avg(v) OVER (w ROWS 9 PRECEDING), 2), 0) AS x
@@ -307,7 +320,16 @@ def combined_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.combined(corr, tiling, keys=["recording_id"]).select("recording_id", "i", "j", _r("value"))
 
 
-@query("q63_circular_shift_null")
+SHIFTED = """reps(repeat) AS (SELECT unnest(range(0, 50))),
+shifted AS (SELECT recording_id, CAST(repeat AS INT) AS repeat, (frame + CAST('0x' || substr(md5(concat(roi_idx, '|', repeat, '|42')), 1, 12) AS BIGINT)) % 30 AS spot, count(*) AS n FROM {peaks} CROSS JOIN reps GROUP BY ALL)"""
+SPREAD = traces.gaussian_weights(1.5)
+OFFSETS = "k(o, w) AS (VALUES " + ", ".join(f"({i - len(SPREAD) // 2}, {w!r})" for i, w in enumerate(SPREAD)) + ")"
+DENSITY = """r AS (SELECT DISTINCT recording_id FROM {peaks}), c AS (SELECT recording_id, frame, count(DISTINCT roi_idx) AS n FROM {peaks} GROUP BY ALL),
+density AS (SELECT r.recording_id, CAST(f.frame AS INT) AS frame, round(coalesce(sum(c.n * k.w), 0), 12) AS v FROM r CROSS JOIN range(0, 30) f(frame) LEFT JOIN k ON true LEFT JOIN c ON c.recording_id = r.recording_id AND c.frame + k.o = f.frame GROUP BY ALL)"""
+MAXIMA = "wrapped AS (SELECT recording_id, repeat, (spot + o + 30) % 30 AS spot, sum(n * w) AS v FROM shifted CROSS JOIN k GROUP BY ALL), maxima AS (SELECT recording_id, repeat, round(max(v), 12) AS peak FROM wrapped GROUP BY ALL)"
+
+
+@query("q63_circular_shift_null", f"WITH {PEAKS}, {SHIFTED.format(peaks='peaks')} SELECT recording_id, repeat, max(n) AS peak FROM shifted GROUP BY ALL")
 def circular_shift_null(spark: SparkSession, sf: str) -> DataFrame:
     return inference.circular_shift_null(peaks.local_maxima(adapters.day_traces(spark, sf)), "recording_id", "roi_idx", "frame", adapters.DAYS, 50)
 
@@ -316,3 +338,15 @@ def circular_shift_null(spark: SparkSession, sf: str) -> DataFrame:
     SELECT r.recording_id, CAST(f.frame AS INT) AS frame, count(p.frame) AS n FROM r CROSS JOIN range(0, 30) f(frame) LEFT JOIN peaks p ON p.recording_id = r.recording_id AND p.frame = f.frame GROUP BY ALL""")
 def event_density(spark: SparkSession, sf: str) -> DataFrame:
     return waves.event_density(peaks.local_maxima(adapters.day_traces(spark, sf)), ["recording_id"], "frame", adapters.DAYS)
+
+
+@query("q63c_smoothed_density", f"WITH {PEAKS}, {OFFSETS}, {DENSITY.format(peaks='peaks')} SELECT recording_id, frame, round(v, 6) AS v FROM density")
+def smoothed_density(spark: SparkSession, sf: str) -> DataFrame:
+    at = peaks.local_maxima(adapters.day_traces(spark, sf))
+    return waves.smoothed_density(at, ["recording_id"], "roi_idx", "frame", adapters.DAYS, 1.5).select("recording_id", "frame", _r("v"))
+
+
+@query("q63d_smoothed_null", f"WITH {PEAKS}, {OFFSETS}, {SHIFTED.format(peaks='peaks')}, {MAXIMA} SELECT recording_id, repeat, round(peak, 6) AS peak FROM maxima")
+def smoothed_null(spark: SparkSession, sf: str) -> DataFrame:
+    at = peaks.local_maxima(adapters.day_traces(spark, sf))
+    return inference.circular_shift_null(at, "recording_id", "roi_idx", "frame", adapters.DAYS, 50, sigma=1.5).select("recording_id", "repeat", _r("peak"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.operators.traces import trace_arrays  # noqa: F401  the adapters' samples as arrays
+
 #: First day and number of days of the event stream, and recordings that users are dealt to.
 FIRST_DAY, DAYS, RECORDINGS = "2024-01-01", 30, 5
 
@@ -27,12 +29,6 @@ def day_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.try_element_at("m", F.col("frame")), F.lit(0.0)).alias("v"))
 
 
-def trace_arrays(samples: DataFrame) -> DataFrame:
-    """(recording_id, roi_idx, f): one array a trace, samples in frame order."""
-    pairs = F.array_sort(F.collect_list(F.struct("frame", "v")))
-    return samples.groupBy("recording_id", "roi_idx").agg(F.transform(pairs, lambda x: x["v"]).alias("f"))
-
-
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(recording_id, roi_idx, t): times of purchases in seconds since FIRST_DAY."""
     events = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
