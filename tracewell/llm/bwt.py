@@ -65,7 +65,7 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return which, common
 
 
-def repeated(strings: list[bytes], width: int, shard_bytes: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated(strings: list[bytes], width: int, shard_bytes: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, position, interval) of each `width`-byte substring that occurs more than once; equal ones share an interval."""
     groups: list[list[int]] = [[]]
     size = 0

@@ -27,8 +27,10 @@ from tracewell.llm.minimizers import WIDTH, runs, window_hashes
 
 #: A place is start * 128 + number of windows.
 PLACE = 128
-#: Bytes of candidate text that one Burrows-Wheeler merge takes, in whole names.
-CHUNK = 4 << 20
+#: Bytes of candidate text from which one Burrows-Wheeler merge takes no further name; a merge takes some 120 bytes of memory a byte.
+CHUNK = 1 << 20
+#: Rows of a name with very many runs that are digested at a time.
+SLICE = 1_000
 #: Runs under one name beyond which its windows are compared one by one, by their 128-bit digests, over all tasks.
 HOT_NAME = 20_000
 #: Partition sizes: text bytes for runs, in documents.
@@ -178,14 +180,15 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, place = _compare(rows)
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), pa.nulls(len(doc), pa.binary())], names=names)
 
-    def each(rows: list[tuple]) -> pa.RecordBatch:
-        doc, place, h = [], [], []
-        for _, d, p, raw in rows:
-            n = len(raw) - WIDTH + 1
-            doc.append(np.full(n, d, dtype=np.int64))
-            place.append((p // PLACE + np.arange(n)) * PLACE + 1)
-            h += [blake2b(raw[k : k + WIDTH], digest_size=16).digest() for k in range(n)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(doc)), pa.array(np.concatenate(place)), pa.array(h, pa.binary())], names=names)
+    def each(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(rows), SLICE):
+            doc, place, h = [], [], []
+            for _, d, p, raw in rows[at : at + SLICE]:
+                n = len(raw) - WIDTH + 1
+                doc.append(np.full(n, d, dtype=np.int64))
+                place.append((p // PLACE + np.arange(n)) * PLACE + 1)
+                h += [blake2b(raw[k : k + WIDTH], digest_size=16).digest() for k in range(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(doc)), pa.array(np.concatenate(place)), pa.array(h, pa.binary())], names=names)
 
     ready: list[tuple] = []  # rows of whole names
     open_: list[tuple] = []  # rows of the name being read
@@ -196,20 +199,20 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not hot:
                     ready += open_
                 elif open_:
-                    yield each(open_)
+                    yield from each(open_)
                 if size >= CHUNK and ready:
                     yield found(ready)
                     ready, size = [], 0
                 open_, current, hot = [], row[0], False
             open_.append(row)
             size += len(row[3])
-            if len(open_) > (1000 if hot else HOT_NAME):
-                yield each(open_)
+            if len(open_) > (SLICE if hot else HOT_NAME):
+                yield from each(open_)
                 open_, hot = [], True
     if not hot:
         ready += open_
     elif open_:
-        yield each(open_)
+        yield from each(open_)
     if ready:
         yield found(ready)
 
