@@ -221,16 +221,6 @@ def trapezoid_asymmetry(spark: SparkSession, sf: str) -> DataFrame:
     return features.trapezoid_asymmetry(_windowed(spark, sf)).select("recording_id", "roi_idx", "frame", _r("value"))
 
 
-@query("q108b_decay_shape", f"""WITH {WINDOWED}, d AS (SELECT *, CAST(i - pk AS DOUBLE) AS t, CASE WHEN y > 1e-6 THEN ln(y) END AS l, ya - 2 * y + CASE WHEN i > pk THEN yb END AS curve, (max(i) OVER (PARTITION BY roi_idx, frame) + pk) // 2 AS mid FROM ws WHERE i >= pk),
-    m AS (SELECT recording_id, roi_idx, frame, avg(y) AS mu, var_pop(y) AS v FROM d GROUP BY ALL)
-    SELECT recording_id, roi_idx, frame, round(CASE WHEN var_pop(y) > 1e-9 THEN avg(pow(y - mu, 3)) / pow(any_value(v), 1.5) END, 5) AS skewness, round(CASE WHEN var_pop(y) > 1e-9 THEN avg(pow(y - mu, 4)) / pow(any_value(v), 2) - 3 END, 4) AS kurtosis,
-      round(max(CASE WHEN i = mid THEN curve END), 6) AS curvature FROM d JOIN m USING (recording_id, roi_idx, frame) GROUP BY ALL""")
-def decay_moments(spark: SparkSession, sf: str) -> DataFrame:
-    out = features.decay_shape(_windowed(spark, sf))
-    flat = F.isnan("skewness") | F.col("skewness").isNull()
-    return out.select("recording_id", "roi_idx", "frame", F.when(~flat, F.round("skewness", 5)).alias("skewness"), F.when(~flat, F.round("kurtosis", 4)).alias("kurtosis"), _r("curvature"))
-
-
 @query("q108c_event_features", f"""WITH {PROMINENCE.replace('WITH ', '')} SELECT m.recording_id, m.roi_idx, m.frame, round(m.prominence / (r.r + 1e-9), 6) AS spike_prom FROM prom m JOIN (SELECT roi_idx, max(v) - min(v) AS r FROM grid GROUP BY 1) r USING (roi_idx)""")
 def event_features(spark: SparkSession, sf: str) -> DataFrame:
     s = adapters.day_traces(spark, sf)
