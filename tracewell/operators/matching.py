@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tracewell.functions.kernels import assignment
+from tracewell.functions.pairwise import SpikeTiling, Trains, near_counts
+from tracewell.operators.cells import all_pairs, fields, flat, in_cells
+
+#: Trains of a cell's left side at once.
+STRIP = 256
 
 
 def schedule(start: int, interval: int, frames: int) -> list[int]:
@@ -83,16 +92,32 @@ def activations(samples: DataFrame, keys: list[str], bins: list[tuple[int, int]]
 def coincidence(times: DataFrame, dt: float, recording: str = "recording_id", train: str = "roi_idx", t: str = "t") -> DataFrame:
     """(recording, i, j, n_i, hits): for each ordered pair of trains of a recording, how many of i's events have one of j's within dt.
 
-    A band join: events meet in time buckets of width dt, an event in its own and both neighbours; so the join is by equality, and pairs
-    that never come near produce no row (they have 0 hits).
+    Every row is an event. Trains meet in cells of two blocks, where running counts are looked up at the ends of each train's
+    spans, so events are never paired. Pairs that never come near produce no row (they have 0 hits).
     """
-    bucket = F.floor(F.col(t) / F.lit(dt))
-    ids = times.withColumn("event", F.monotonically_increasing_id()) if "event" not in times.columns else times
-    a = ids.select(recording, F.col(train).alias("i"), "event", F.col(t).alias("ta"), bucket.alias("bucket"))
-    b = times.select(recording, F.col(train).alias("j"), F.col(t).alias("tb"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    near = a.join(b, [recording, "bucket"]).filter((F.col("i") != F.col("j")) & (F.abs(F.col("ta") - F.col("tb")) <= dt))
-    hits = near.groupBy(recording, "i", "j").agg(F.countDistinct("event").alias("hits"))
-    return hits.join(times.groupBy(recording, F.col(train).alias("i")).agg(F.count(F.lit(1)).alias("n_i")), [recording, "i"])
+    kind = times.schema[train].dataType
+    rows = times.filter(F.col(t).isNotNull()).groupBy(recording, train).agg(F.collect_list(F.col(t).cast("double")).alias("times"))
+    rows = rows.join(times.groupBy(recording, train).agg(F.count(F.lit(1)).alias("n_i")), [recording, train])
+
+    def run(a: pa.Table, b: pa.Table, same: bool) -> Iterator[dict]:
+        right = Trains(b["times"])
+        nodes, others = (flat(x[train]) for x in (a, b))
+        sizes, their = (x["n_i"].to_numpy() for x in (a, b))
+        for at in range(0, len(a), STRIP):
+            strip = a.slice(at, STRIP).combine_chunks()
+            left = Trains(strip["times"])
+            hits = near_counts(left, right, dt)
+            if same:
+                hits[np.arange(len(strip)), np.arange(at, at + len(strip))] = 0
+            i, j = np.nonzero(hits)
+            yield {"i": nodes.take(pa.array(i + at)), "j": others.take(pa.array(j)), "n_i": sizes[i + at], "hits": hits[i, j]}
+            if not same:
+                hits = near_counts(right, left, dt)
+                j, i = np.nonzero(hits)
+                yield {"i": others.take(pa.array(j)), "j": nodes.take(pa.array(i + at)), "n_i": their[j], "hits": hits[j, i]}
+
+    schema = StructType([StructField("i", kind), StructField("j", kind), *fields("n_i long, hits long").fields])
+    return in_cells(rows, [recording], train, run, schema).select(recording, "i", "j", "hits", "n_i")
 
 
 def tiled_fraction(times: DataFrame, dt: float, start: float, stop: float, keys: list[str], t: str = "t") -> DataFrame:
@@ -104,21 +129,16 @@ def tiled_fraction(times: DataFrame, dt: float, start: float, stop: float, keys:
     return new.groupBy(*keys).agg((F.sum("add") / F.lit(float(stop - start))).alias("tiled"))
 
 
-def sttc(times: DataFrame, dt: float, start: float, stop: float, recording: str = "recording_id", train: str = "roi_idx", t: str = "t") -> DataFrame:
+def trains(times: DataFrame, dt: float, start: float, stop: float, recording: str = "recording_id", train: str = "roi_idx", t: str = "t") -> DataFrame:
+    """(recording, train, times, tiled): the events of each train and the share of [start, stop] that they tile."""
+    events = times.filter(F.col(t).isNotNull()).groupBy(recording, train).agg(F.collect_list(F.col(t).cast("double")).alias("times"))
+    return events.join(tiled_fraction(times, dt, start, stop, [recording, train], t), [recording, train])
+
+
+def sttc(times: DataFrame, dt: float, start: float, stop: float, recording: str = "recording_id", train: str = "roi_idx", t: str = "t", digits: int | None = None) -> DataFrame:
     """(recording, i, j, sttc) with i < j for all pairs of trains that have events: the spike time tiling coefficient."""
-    share = coincidence(times, dt, recording, train, t).select(recording, "i", "j", (F.col("hits") / F.col("n_i")).alias("p"))
-    tiled = tiled_fraction(times, dt, start, stop, [recording, train], t)
-    a, b = tiled.select(recording, F.col(train).alias("i"), F.col("tiled").alias("ta")), tiled.select(recording, F.col(train).alias("j"), F.col("tiled").alias("tb"))
-    pairs = a.join(b, recording).filter("i < j")
-    pairs = pairs.join(share.withColumnRenamed("p", "pa"), [recording, "i", "j"], "left")
-    back = share.select(recording, F.col("j").alias("i"), F.col("i").alias("j"), F.col("p").alias("pb"))
-    pairs = pairs.join(back, [recording, "i", "j"], "left").fillna(0.0, ["pa", "pb"])
-
-    def half(p: Column, other: Column) -> Column:
-        d = 1 - p * other
-        return F.when(d == 0, 0.0).otherwise((p - other) / F.nullif(d, F.lit(0.0)))
-
-    return pairs.select(recording, "i", "j", (0.5 * (half(F.col("pa"), F.col("tb")) + half(F.col("pb"), F.col("ta")))).alias("sttc"))
+    rows = trains(times, dt, start, stop, recording, train, t)
+    return all_pairs(rows, [recording], train, SpikeTiling(dt, digits=digits)).withColumnRenamed("value", "sttc")
 
 
 def mask_iou(left: DataFrame, right: DataFrame, keys: list[str], mask: str, pixel: str) -> DataFrame:

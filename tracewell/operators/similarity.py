@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.kernels import soft_dtw
+from tracewell.functions import pairwise
+from tracewell.operators.cells import all_pairs, fields, in_cells
 
 
 def pairs(arrays: DataFrame, key: str = "recording_id", node: str = "roi_idx", f: str = "f") -> DataFrame:
@@ -34,22 +37,30 @@ def standardized(arrays: DataFrame, f: str = "f", least: float = 1e-8) -> DataFr
     return s.withColumn(f, z).drop("m_", "s_")
 
 
-def max_crosscorr(arrays: DataFrame, max_lag: int, clip_negative: bool = True, key: str = "recording_id", node: str = "roi_idx") -> DataFrame:
+def max_crosscorr(arrays: DataFrame, max_lag: int, clip_negative: bool = True, key: str = "recording_id", node: str = "roi_idx", digits: int | None = None) -> DataFrame:
     """(key, i, j, value): the largest mean product over lags, of traces standardised as a whole; cut to 0..1, or signed by the largest
-    magnitude."""
-    p = pairs(standardized(arrays), key, node)
-    n = F.size("fa")
-    values = []
-    for k in range(-max_lag, max_lag + 1):
-        a = F.slice("fa", max(1, 1 + k), n - abs(k))
-        b = F.slice("fb", max(1, 1 - k), n - abs(k))
-        values.append(F.when(n > abs(k), dot(a, b) / (n - abs(k))))
-    if clip_negative:
-        value = F.least(F.greatest(F.greatest(*values) if len(values) > 1 else values[0], F.lit(0.0)), F.lit(1.0))
-    else:
-        best = F.array_max(F.transform(F.array(*values), lambda v: F.struct(F.abs(v).alias("m"), v.alias("v"))))
-        value = best["v"]
-    return p.select(key, "i", "j", value.alias("value"))
+    magnitude. Rounded if digits are given, as in all functions of pairs here: inside the cells that costs least."""
+    return all_pairs(arrays, [key], node, pairwise.CrossCorrelation(max_lag, clip_negative, digits=digits))
+
+
+def pearson_pairs(arrays: DataFrame, key: str = "recording_id", node: str = "roi_idx", digits: int | None = None) -> DataFrame:
+    """(key, i, j, value): correlation; 0 where either trace hardly varies."""
+    return all_pairs(arrays, [key], node, pairwise.Pearson(digits=digits))
+
+
+def weighted_pearson_pairs(arrays: DataFrame, key: str = "recording_id", node: str = "roi_idx", digits: int | None = None) -> DataFrame:
+    """(key, i, j, value): correlation weighted by max(|x|, |y|) squared, cut to -1..1."""
+    return all_pairs(arrays, [key], node, pairwise.WeightedPearson(digits=digits))
+
+
+def significant_pairs(arrays: DataFrame, alpha: float = 0.05, key: str = "recording_id", node: str = "roi_idx", digits: int | None = None) -> DataFrame:
+    """(key, i, j, p, significant): Student's two-sided p of the correlation, and whether it is below alpha; null below three frames."""
+    return all_pairs(arrays, [key], node, pairwise.Significance(alpha, digits=digits), "p double, significant boolean")
+
+
+def near_traces(arrays: DataFrame, most: float, key: str = "recording_id", node: str = "roi_idx", digits: int | None = None) -> DataFrame:
+    """(key, i, j, distance): the pairs whose distance, 1 less the mean product of standardised traces, is at most `most`."""
+    return all_pairs(arrays, [key], node, pairwise.Distance(digits=digits), "distance double", lambda v: v["distance"] <= most)
 
 
 def pearson(x: Column, y: Column, least: float = 1e-12) -> Column:
@@ -112,16 +123,10 @@ def lagged_edges(edges: DataFrame, arrays: DataFrame, max_lag: int, keys: list[s
         F.min_by("lag", F.struct((-F.round("c", 9)).alias("c"), "lag")).alias("lag"), F.max("c").alias("corr"), (F.max("c") - F.median("c")).alias("sharpness"))
 
 
-def soft_dtw_pairs(arrays: DataFrame, downsample: int = 1, gamma: float = 1.0, key: str = "recording_id", node: str = "roi_idx") -> DataFrame:
+def soft_dtw_pairs(arrays: DataFrame, downsample: int = 1, gamma: float = 1.0, key: str = "recording_id", node: str = "roi_idx", digits: int | None = None) -> DataFrame:
     """(key, i, j, distance): soft dynamic time warping of standardised, downsampled traces. The recursion is sequential, so pairs run as
-    Arrow batches of vectorised anti-diagonals."""
-    p = pairs(standardized(arrays), key, node)
-
-    @F.pandas_udf("double")
-    def distance(fa: pd.Series, fb: pd.Series) -> pd.Series:
-        return pd.Series([soft_dtw(np.asarray(a, float)[::downsample], np.asarray(b, float)[::downsample], gamma) for a, b in zip(fa, fb, strict=True)])
-
-    return p.select(key, "i", "j", distance("fa", "fb").alias("distance"))
+    blocks whose recursions are made together."""
+    return all_pairs(arrays, [key], node, pairwise.SoftWarping(downsample, gamma, digits=digits), "distance double")
 
 
 def mean_within(groups: DataFrame, similarity: DataFrame, keys: list[str]) -> DataFrame:
@@ -130,3 +135,35 @@ def mean_within(groups: DataFrame, similarity: DataFrame, keys: list[str]) -> Da
     b = groups.select(*keys, "group", F.col("node").alias("j"))
     inside = similarity.join(a, [*keys, "i"]).join(b, [*keys, "group", "j"]).groupBy(*keys, "group").agg(F.avg("value").alias("mean_similarity"))
     return groups.select(*keys, "group").distinct().join(inside, [*keys, "group"], "left")
+
+
+def mean_within_traces(groups: DataFrame, arrays: DataFrame, keys: list[str], node: str = "roi_idx") -> DataFrame:
+    """Per group of groups(keys.., group, node): mean correlation of its pairs of traces; null below two members. Only pairs within a group are
+    made, and summed up in their cells."""
+    members = groups.select(*keys, "group", "node").distinct().join(arrays.select(*keys, F.col(node).alias("node"), "f"), [*keys, "node"])
+    measure = pairwise.Pearson()
+
+    def run(a: pa.Table, b: pa.Table, same: bool) -> Iterator[dict]:
+        right, total, count = measure.prepare(b), 0.0, 0
+        for at in range(0, len(a), measure.rows):
+            strip = a.slice(at, measure.rows).combine_chunks()
+            v = measure(measure.prepare(strip), right)["value"]
+            if same:
+                v = np.where(np.arange(at, at + len(strip))[:, None] < np.arange(len(b))[None, :], v, np.nan)
+            total, count = total + float(np.nansum(v)), count + int((~np.isnan(v)).sum())
+        yield {"total": np.array([total]), "n": np.array([count])}
+
+    sums = in_cells(members, [*keys, "group"], "node", run, fields("total double, n long"))
+    inside = sums.groupBy(*keys, "group").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("mean_similarity"))
+    return groups.select(*keys, "group").distinct().join(inside, [*keys, "group"], "left")
+
+
+def combined_pairs(arrays: DataFrame, trains: DataFrame, max_lag: int, dt: float, key: str = "recording_id", node: str = "roi_idx", digits: int | None = None) -> DataFrame:
+    """(key, i, j, value): largest cross-correlation times spike time tiling, each cut to 0..1, of traces that have events. trains: matching.trains().
+    Both are made in one cell, so that no pairs are joined."""
+    rows = arrays.select(key, node, "f").join(trains, [key, node])
+    return all_pairs(rows, [key], node, combined_measure(max_lag, dt, digits))
+
+
+def combined_measure(max_lag: int, dt: float, digits: int | None = None) -> pairwise.Measure:
+    return pairwise.Product(pairwise.CrossCorrelation(max_lag), pairwise.SpikeTiling(dt), digits=digits)

@@ -271,7 +271,7 @@ def tiled_fraction(spark: SparkSession, sf: str) -> DataFrame:
           LEFT JOIN p ON p.i = a.roi AND p.j = b.roi LEFT JOIN p q ON q.i = b.roi AND q.j = a.roi)
     SELECT recording_id, i, j, round(0.5 * (coalesce((pa - tb) / nullif(1 - pa * tb, 0), 0) + coalesce((pb - ta) / nullif(1 - pb * ta, 0), 0)), 6) AS sttc FROM x""")
 def sttc(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.sttc(adapters.purchases(spark, sf), DT, 0, STOP).select("recording_id", "i", "j", _r("sttc"))
+    return matching.sttc(adapters.purchases(spark, sf), DT, 0, STOP, digits=6)
 
 
 Z = GRID + """,
