@@ -302,7 +302,7 @@ def weighted_pearson(spark: SparkSession, sf: str) -> DataFrame:
     FROM r a JOIN r b ON a.recording_id = b.recording_id AND a.roi_idx < b.roi_idx AND a.frame = b.frame GROUP BY ALL""")
 def ordinal_spearman(spark: SparkSession, sf: str) -> DataFrame:
     ranked = adapters.trace_arrays(adapters.day_traces(spark, sf)).withColumn("f", similarity.ordinal(F.col("f")))
-    return similarity.pairs(ranked).select("recording_id", "i", "j", F.round(similarity.pearson(F.col("fa"), F.col("fb")), 6).alias("value"))
+    return similarity.pearson_pairs(ranked, digits=6)
 
 
 @query("q49_combined_similarity", f"""WITH {Z}, {TRAINS.replace("hits AS", "hit2 AS", 1).replace("FROM own a JOIN own b", "FROM own a JOIN own b")},
