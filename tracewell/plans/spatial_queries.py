@@ -30,8 +30,7 @@ comp AS (SELECT recording_id, node, min(l) AS component FROM reach GROUP BY ALL)
 
 def _distances(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     s = adapters.day_traces(spark, sf)
-    p = similarity.pairs(similarity.standardized(adapters.trace_arrays(s)))
-    d = p.select("recording_id", "i", "j", F.round(1 - similarity.dot(F.col("fa"), F.col("fb")) / F.size("fa"), 6).alias("distance"))
+    d = similarity.near_traces(adapters.trace_arrays(s), 0.45, digits=6)
     return d, s.select("recording_id", F.col("roi_idx").alias("node")).distinct()
 
 
