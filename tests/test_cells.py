@@ -138,6 +138,7 @@ IN_CELLS = [
     "q45_sttc",
     "q48_ordinal_spearman",
     "q51_min_group_size",
+    "q84_mean_within_groups",
 ]
 
 

@@ -297,9 +297,8 @@ def correlation_significance(spark: SparkSession, sf: str) -> DataFrame:
     SELECT g.recording_id, g.grp AS "group", round(avg(r), 6) AS mean_similarity FROM g LEFT JOIN s ON s.recording_id = g.recording_id AND s.grp = g.grp GROUP BY ALL""")
 def mean_within_groups(spark: SparkSession, sf: str) -> DataFrame:
     arrays = adapters.trace_arrays(adapters.day_traces(spark, sf))
-    r = similarity.pairs(arrays).select("recording_id", "i", "j", similarity.pearson(F.col("fa"), F.col("fb")).alias("value"))
     groups = arrays.select("recording_id", (F.col("roi_idx") % 3).alias("group"), F.col("roi_idx").alias("node"))
-    return similarity.mean_within(groups, r, ["recording_id"]).select("recording_id", "group", _r("mean_similarity"))
+    return similarity.mean_within_traces(groups, arrays, ["recording_id"]).select("recording_id", "group", _r("mean_similarity"))
 
 
 IMAGES = "img AS (SELECT l_suppkey % 4 AS fov, l_linenumber AS day, CAST(l_partkey % 24 AS INT) AS y, CAST(l_orderkey % 20 AS INT) AS x, round(avg(l_quantity), 6) AS v FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL)"
