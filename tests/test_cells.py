@@ -139,6 +139,7 @@ IN_CELLS = [
     "q48_ordinal_spearman",
     "q51_min_group_size",
     "q84_mean_within_groups",
+    "q46_lagged_corr",
 ]
 
 

@@ -283,7 +283,7 @@ z AS (SELECT recording_id, roi_idx, frame, CASE WHEN stddev_pop(v) OVER w < 1e-8
           FROM z a JOIN z b ON a.recording_id = b.recording_id AND a.roi_idx < b.roi_idx JOIN lags ON a.frame = b.frame + k GROUP BY ALL)
     SELECT recording_id, i, j, round(least(greatest(max(c), 0), 1), 6) AS value FROM c GROUP BY ALL""")
 def lagged_corr(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity.max_crosscorr(adapters.trace_arrays(adapters.day_traces(spark, sf)), 3).select("recording_id", "i", "j", _r("value"))
+    return similarity.max_crosscorr(adapters.trace_arrays(adapters.day_traces(spark, sf)), 3, digits=6)
 
 
 @query("q47_weighted_pearson", f"""WITH {GRID}, p AS (SELECT a.recording_id, a.roi_idx AS i, b.roi_idx AS j, a.v AS x, b.v AS y, pow(greatest(abs(a.v), abs(b.v)), 2) AS w
