@@ -140,6 +140,7 @@ IN_CELLS = [
     "q51_min_group_size",
     "q84_mean_within_groups",
     "q46_lagged_corr",
+    "q49_combined_similarity",
 ]
 
 

@@ -315,9 +315,8 @@ def ordinal_spearman(spark: SparkSession, sf: str) -> DataFrame:
           FROM z a JOIN z b ON a.recording_id = b.recording_id AND a.roi_idx < b.roi_idx AND a.frame = b.frame GROUP BY ALL)
     SELECT c.recording_id, c.i, c.j, round(least(greatest(c, 0), 1) * least(greatest(v, 0), 1), 6) AS value FROM c JOIN s USING (recording_id, i, j)""")
 def combined_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    corr = similarity.max_crosscorr(adapters.trace_arrays(adapters.day_traces(spark, sf)), 0)
-    tiling = matching.sttc(adapters.purchases(spark, sf), DT, 0, STOP).withColumnRenamed("sttc", "value")
-    return similarity.combined(corr, tiling, keys=["recording_id"]).select("recording_id", "i", "j", _r("value"))
+    trains = matching.trains(adapters.purchases(spark, sf), DT, 0, STOP)
+    return similarity.combined_pairs(adapters.trace_arrays(adapters.day_traces(spark, sf)), trains, 0, DT, digits=6)
 
 
 SHIFTED = """reps(repeat) AS (SELECT unnest(range(0, 50))),
