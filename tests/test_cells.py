@@ -141,6 +141,7 @@ IN_CELLS = [
     "q84_mean_within_groups",
     "q46_lagged_corr",
     "q49_combined_similarity",
+    "q83_correlation_significance",
 ]
 
 

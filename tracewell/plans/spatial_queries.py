@@ -286,9 +286,7 @@ def event_frequency(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q83_correlation_significance")
 def correlation_significance(spark: SparkSession, sf: str) -> DataFrame:
-    p = similarity.pairs(adapters.trace_arrays(adapters.day_traces(spark, sf)))
-    r = p.select("recording_id", "i", "j", similarity.pearson(F.col("fa"), F.col("fb")).alias("r"), F.size("fa").alias("n"))
-    return inference.correlation_significance(r, "r", "n").select("recording_id", "i", "j", _r("p", 8), "significant")
+    return similarity.significant_pairs(adapters.trace_arrays(adapters.day_traces(spark, sf)), digits=8)
 
 
 @query("q84_mean_within_groups", f"""WITH {GRID}, s AS (SELECT a.recording_id, a.roi_idx % 3 AS grp, a.roi_idx AS i, b.roi_idx AS j, CASE WHEN stddev_pop(a.v) * stddev_pop(b.v) < 1e-12 THEN 0 ELSE covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v)) END AS r
