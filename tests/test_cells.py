@@ -142,6 +142,7 @@ IN_CELLS = [
     "q46_lagged_corr",
     "q49_combined_similarity",
     "q83_correlation_significance",
+    "q43_coincidence",
 ]
 
 
