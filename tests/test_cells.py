@@ -143,6 +143,7 @@ IN_CELLS = [
     "q49_combined_similarity",
     "q83_correlation_significance",
     "q43_coincidence",
+    "q47_weighted_pearson",
 ]
 
 

@@ -293,8 +293,7 @@ def lagged_corr(spark: SparkSession, sf: str) -> DataFrame:
     d AS (SELECT *, sqrt(greatest(xx - mx * mx, 0) * greatest(yy - my * my, 0)) AS d FROM m)
     SELECT recording_id, i, j, round(coalesce(CASE WHEN d < 1e-12 THEN 0 ELSE least(greatest((xy - mx * my) / nullif(d, 0), -1), 1) END, 0), 5) AS value FROM d""")
 def weighted_pearson(spark: SparkSession, sf: str) -> DataFrame:
-    p = similarity.pairs(adapters.trace_arrays(adapters.day_traces(spark, sf)))
-    return p.select("recording_id", "i", "j", F.round(similarity.weighted_pearson(F.col("fa"), F.col("fb")), 5).alias("value"))
+    return similarity.weighted_pearson_pairs(adapters.trace_arrays(adapters.day_traces(spark, sf)), digits=5)
 
 
 @query("q48_ordinal_spearman", f"""WITH {GRID}, r AS (SELECT *, row_number() OVER (PARTITION BY roi_idx ORDER BY v, frame) - 1 AS r FROM grid)
