@@ -144,6 +144,7 @@ IN_CELLS = [
     "q83_correlation_significance",
     "q43_coincidence",
     "q47_weighted_pearson",
+    "q50_threshold_components",
 ]
 
 
