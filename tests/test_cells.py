@@ -133,6 +133,24 @@ def test_means_within_groups(spark, arrays):
     assert {k: v for k, v in got.items() if v is not None} == pytest.approx({k: np.mean(v) for k, v in of.items()})
 
 
+def masks(spark, seed):
+    rng = np.random.default_rng(seed)
+    sets = {(f, m): set(rng.integers(0, 90, rng.integers(1, 40)).tolist()) for f in (0, 1) for m in range(25)}
+    rows = [(f, m, f"p{x}") for (f, m), s in sets.items() for x in s]
+    return sets, spark.createDataFrame([*rows, *rows[:50], (0, None, "p1"), (0, 3, None)], "fov int, mask int, px string")
+
+
+def test_mask_overlaps_equal_brute_force(spark, monkeypatch):
+    (one, left), (two, right) = masks(spark, 1), masks(spark, 2)
+    n = lambda k, s: len(s) + (k == (0, 3))  # noqa: E731  a null pixel counts, and meets none
+    want = {(f, a, b): (c, round(c / (n((f, a), s) + n((f, b), u) - c), 6)) for (f, a), s in one.items() for (g, b), u in two.items() if f == g and (c := len(s & u))}
+    monkeypatch.setattr(cells.across, "__defaults__", (7,))
+    for dense in (0, 200):
+        monkeypatch.setattr(pairwise, "DENSE", dense)
+        got = matching.mask_iou(left, right, ["fov"], "mask", "px", digits=6).collect()
+        assert len(got) == len(want) and {(r["fov"], r["a"], r["b"]): (r["common"], r["iou"]) for r in got} == want
+
+
 #: Queries on pairs: no join makes rows of pairs that are compared by expressions, and no pairs are shuffled.
 IN_CELLS = [
     "q45_sttc",
@@ -145,6 +163,7 @@ IN_CELLS = [
     "q43_coincidence",
     "q47_weighted_pearson",
     "q50_threshold_components",
+    "q53_mask_iou",
 ]
 
 

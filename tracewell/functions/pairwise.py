@@ -371,3 +371,40 @@ class SoftWarping(OnTraces):
 
     def __call__(self, a, b):
         return {"distance": rounded(self.value(a, b), self.digits)}
+
+
+#: Pixels of a slice of the matrices that overlaps() multiplies, and the elements of a pair of masks that cost as much as one shared pixel looked up.
+SLICE, DENSE = 4096, 200
+
+
+def overlaps(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+    """How many pixels each mask of a (rows) shares with each mask of b (columns); both are columns of arrays of distinct pixels of any type.
+
+    Matrix products where masks are dense in the pixels that both sides have, else pixel by pixel.
+    """
+    one, other = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (a, b))
+    sizes = [np.diff(c.offsets.to_numpy()) for c in (one, other)]
+    code = pa.concat_arrays([one.flatten(), other.flatten()]).dictionary_encode().indices.to_numpy()
+    x, y = code[: sizes[0].sum()], code[sizes[0].sum() :]
+    i, j = np.repeat(np.arange(len(one)), sizes[0]), np.repeat(np.arange(len(other)), sizes[1])
+    n = int(code.max(initial=-1)) + 1
+    na, nb = np.bincount(x, minlength=n), np.bincount(y, minlength=n)
+    shared = (na > 0) & (nb > 0)
+    place = np.cumsum(shared) - 1
+    i, x, j, y = i[shared[x]], place[x[shared[x]]], j[shared[y]], place[y[shared[y]]]
+    na, nb, n = na[shared], nb[shared], int(shared.sum())
+    if len(one) * len(other) * n <= DENSE * float((na * nb).sum()):
+        out = np.zeros((len(one), len(other)), dtype=np.float64)
+        for at in range(0, n, SLICE):
+            u, v = (x >= at) & (x < at + SLICE), (y >= at) & (y < at + SLICE)
+            left, right = np.zeros((len(one), min(SLICE, n - at)), dtype=np.float32), np.zeros((len(other), min(SLICE, n - at)), dtype=np.float32)
+            left[i[u], x[u] - at] = 1
+            right[j[v], y[v] - at] = 1
+            out += left @ right.T
+        return out.astype(np.int64)
+    out = np.zeros((len(one), len(other)), dtype=np.int64)
+    i, j = i[np.argsort(x, kind="stable")], j[np.argsort(y, kind="stable")]
+    starts, ends = np.cumsum(na) - na, np.cumsum(nb) - nb
+    for k in range(n):
+        out[i[starts[k] : starts[k] + na[k]][:, None], j[ends[k] : ends[k] + nb[k]][None, :]] += 1
+    return out

@@ -42,12 +42,42 @@ def in_cells(rows: DataFrame, keys: list[str], node: str, run: Callable[[pa.Tabl
         a = table.sort_by(node) if same else table.filter(pa.array(block == p))
         b = a if same else table.filter(pa.array(block == q))
         for columns in run(a.combine_chunks(), b.combine_chunks(), same):
-            count = len(columns[schema.fields[0].name])
-            own = [pa.repeat(v, count) for v in key]
-            yield pa.RecordBatch.from_arrays([*own, *[pa.array(columns[f.name], arrow.field(f.name).type, from_pandas=True) if isinstance(columns[f.name], np.ndarray) else columns[f.name] for f in schema.fields]], schema=arrow)
+            yield _batch(key, columns, schema, arrow)
 
-    tasks = int(min(max(n, 1), MOST_TASKS))
-    return each.repartition(tasks, *keys, "p_", "q_").groupBy(*keys, "p_", "q_").applyInArrow(cell, out)
+    return _deal(each, keys, n).groupBy(*keys, "p_", "q_").applyInArrow(cell, out)
+
+
+def _deal(each: DataFrame, keys: list[str], cells: float) -> DataFrame:
+    return each.repartition(int(min(max(cells, 1), MOST_TASKS)), *keys, "p_", "q_")
+
+
+def across(left: DataFrame, right: DataFrame, keys: list[str], node: str, run: Callable[[pa.Table, pa.Table], Iterator[dict]], schema: StructType, size: int = BLOCK) -> DataFrame:
+    """in_cells() for every cell of a block of left and a block of right, which have the same columns (keys.., node, ...)."""
+    order = F.row_number().over(Window.partitionBy(*keys, "side_").orderBy(node)) - 1
+    both = left.withColumn("side_", F.lit(0)).unionByName(right.withColumn("side_", F.lit(1))).dropna(subset=keys)
+    ranked = cut(both.withColumn("block_", F.floor(order / size)))
+    count = lambda side: (F.max(F.when(F.col("side_") == side, F.col("block_"))) + 1)
+    blocks = ranked.groupBy(*keys).agg(count(0).alias("l_"), count(1).alias("r_")).dropna()  # keys that both sides have
+    n = blocks.agg(F.sum(F.col("l_") * F.col("r_"))).first()[0] or 1
+    each = ranked.join(blocks, keys).withColumn("other_", F.explode(F.sequence(F.lit(0), F.when(F.col("side_") == 0, F.col("r_")).otherwise(F.col("l_")) - 1))).drop("l_", "r_")
+    each = each.withColumns({"p_": F.when(F.col("side_") == 0, F.col("block_")).otherwise(F.col("other_")), "q_": F.when(F.col("side_") == 0, F.col("other_")).otherwise(F.col("block_"))}).drop("other_", "block_")
+    out = StructType([*[StructField(k, left.schema[k].dataType) for k in keys], *schema.fields])
+    arrow = to_arrow_schema(out)
+
+    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        side, key = table["side_"].to_numpy(), [table[k][0] for k in keys]
+        for columns in run(*(table.filter(pa.array(side == k)).combine_chunks() for k in (0, 1))):
+            yield _batch(key, columns, schema, arrow)
+
+    return _deal(each, keys, n).groupBy(*keys, "p_", "q_").applyInArrow(cell, out)
+
+
+def _batch(key: list, columns: dict, schema: StructType, arrow: pa.Schema) -> pa.RecordBatch:
+    count = len(columns[schema.fields[0].name])
+    values = [columns[f.name] for f in schema.fields]
+    own = [pa.array(v, arrow.field(f.name).type, from_pandas=True) if isinstance(v, np.ndarray) else v for f, v in zip(schema.fields, values, strict=True)]
+    return pa.RecordBatch.from_arrays([*[pa.repeat(v, count) for v in key], *own], schema=arrow)
 
 
 def fields(text: str) -> StructType:

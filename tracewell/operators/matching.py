@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from tracewell.functions.kernels import assignment
-from tracewell.functions.pairwise import SpikeTiling, Trains, near_counts
-from tracewell.operators.cells import all_pairs, fields, flat, in_cells
+from tracewell.functions.pairwise import SpikeTiling, Trains, near_counts, overlaps, rounded
+from tracewell.operators.cells import across, all_pairs, fields, flat, in_cells
 
 #: Trains of a cell's left side at once.
 STRIP = 256
@@ -141,13 +141,29 @@ def sttc(times: DataFrame, dt: float, start: float, stop: float, recording: str
     return all_pairs(rows, [recording], train, SpikeTiling(dt, digits=digits)).withColumnRenamed("value", "sttc")
 
 
-def mask_iou(left: DataFrame, right: DataFrame, keys: list[str], mask: str, pixel: str) -> DataFrame:
-    """(keys.., a, b, common, iou) of all overlapping masks of two sides, by an equi-join on pixels."""
-    l, r = left.select(*keys, F.col(mask).alias("a"), pixel).distinct(), right.select(*keys, F.col(mask).alias("b"), pixel).distinct()  # noqa: E741
-    common = l.join(r, [*keys, pixel]).groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("common"))
-    na, nb = l.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("na")), r.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("nb"))
-    out = common.join(na, [*keys, "a"]).join(nb, [*keys, "b"])
-    return out.select(*keys, "a", "b", "common", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("iou"))
+def mask_sets(rows: DataFrame, keys: list[str], mask: str, pixel: str) -> DataFrame:
+    """(keys.., mask, px, n): each mask's distinct pixels in one row, and their number."""
+    known = rows.dropna(subset=[*keys, mask])
+    return known.groupBy(*keys, F.col(mask).alias("mask")).agg(F.collect_set(pixel).alias("px"), F.max(F.col(pixel).isNull().cast("long")).alias("n")).withColumn("n", F.col("n") + F.size("px"))
+
+
+def mask_iou(left: DataFrame, right: DataFrame, keys: list[str], mask: str, pixel: str, digits: int | None = None) -> DataFrame:
+    """(keys.., a, b, common, iou) of all overlapping masks of two sides; masks meet in cells, pixels don't travel in pairs. A mask fits a row."""
+    sides = [mask_sets(rows, keys, mask, pixel) for rows in (left, right)]
+
+    def run(a: pa.Table, b: pa.Table) -> Iterator[dict]:
+        first, second, nb = flat(a["mask"]), flat(b["mask"]), b["n"].to_numpy()
+        for at in range(0, len(a), STRIP):
+            strip = a.slice(at, STRIP).combine_chunks()
+            common = overlaps(strip["px"], b["px"])
+            i, j = np.nonzero(common)
+            c = common[i, j]
+            iou = c / (strip["n"].to_numpy()[i] + nb[j] - c)
+            yield {"a": first.take(pa.array(i + at)), "b": second.take(pa.array(j)), "common": c, "iou": rounded(iou, digits)}
+
+    kinds = [rows.schema["mask"].dataType for rows in sides]
+    schema = StructType([StructField("a", kinds[0]), StructField("b", kinds[1]), *fields("common long, iou double").fields])
+    return across(*sides, keys, "mask", run, schema)
 
 
 def near_pairs(left: DataFrame, right: DataFrame, radius: float, keys: list[str]) -> DataFrame:
@@ -184,11 +200,8 @@ def assign(candidates: DataFrame, keys: list[str], a: str, b: str, score: str, l
         left, right = np.unique(pdf[a]), np.unique(pdf[b])
         s = np.zeros((len(left), len(right)))
         s[np.searchsorted(left, pdf[a]), np.searchsorted(right, pdf[b])] = pdf[score]
-        i, j = assignment(-s)
-        second = np.sort(s, axis=1)[:, -2] if s.shape[1] > 1 else np.zeros(len(left))
-        ok = (s[i, j] > 0) & (s[i, j] >= least)
-        i, j = i[ok], j[ok]
-        out = pd.DataFrame({a: left[i], b: right[j], score: s[i, j], "ambiguous": (second[i] > 0) & (s[i, j] - second[i] < margin)})
+        i, j, unclear = _matched(s, least, margin)
+        out = pd.DataFrame({a: left[i], b: right[j], score: s[i, j], "ambiguous": unclear})
         for k in keys:
             out[k] = pdf[k].iloc[0]
         return out[[*keys, a, b, score, "ambiguous"]]
@@ -197,6 +210,37 @@ def assign(candidates: DataFrame, keys: list[str], a: str, b: str, score: str, l
     return candidates.select(*keys, a, b, score).groupBy(*keys).applyInPandas(run, schema)
 
 
+def _matched(s: np.ndarray, least: float, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    i, j = assignment(-s)
+    second = np.partition(s, -2, axis=1)[:, -2] if s.shape[1] > 1 else np.zeros(len(s))
+    ok = (s[i, j] > 0) & (s[i, j] >= least)
+    i, j = i[ok], j[ok]
+    return i, j, (second[i] > 0) & (s[i, j] - second[i] < margin)
+
+
+def assign_masks(left: DataFrame, right: DataFrame, keys: list[str], mask: str, pixel: str, least: float = 0.0, margin: float = 0.1, digits: int | None = None) -> DataFrame:
+    """(keys.., a, b, iou, ambiguous): assign() of mask_iou(), whose candidates are made where they are matched. A key is one image pair: its
+    masks, and a matrix of their scores, fit a task."""
+    sides = [mask_sets(rows, keys, mask, pixel) for rows in (left, right)]
+
+    def run(a: pa.Table, b: pa.Table) -> Iterator[dict]:
+        s = np.zeros((len(a), len(b)))
+        a, b = a.sort_by("mask").combine_chunks(), b.sort_by("mask").combine_chunks()
+        for at in range(0, len(a), STRIP):
+            strip = a.slice(at, STRIP).combine_chunks()
+            common = overlaps(strip["px"], b["px"])
+            s[at : at + len(strip)] = common / (strip["n"].to_numpy()[:, None] + b["n"].to_numpy()[None, :] - common)
+        met, meets = np.flatnonzero(s.any(axis=1)), np.flatnonzero(s.any(axis=0))
+        if len(met):
+            i, j, unclear = _matched(s[np.ix_(met, meets)], least, margin)
+            i, j = met[i], meets[j]
+            yield {"a": flat(a["mask"]).take(pa.array(i)), "b": flat(b["mask"]).take(pa.array(j)), "iou": rounded(s[i, j], digits), "ambiguous": unclear}
+
+    kinds = [rows.schema["mask"].dataType for rows in sides]
+    schema = StructType([StructField("a", kinds[0]), StructField("b", kinds[1]), *fields("iou double, ambiguous boolean").fields])
+    return across(*sides, keys, "mask", run, schema, size=1 << 40)
+
+
 def match_score(iou: Column, distance: Column, most: float) -> Column:
     return 0.75 * iou + 0.25 * F.exp(-0.5 * F.pow(distance / (most / 2), 2))
 

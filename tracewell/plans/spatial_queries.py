@@ -66,19 +66,19 @@ c AS (SELECT fov, a, b, count(*) AS common FROM a JOIN b USING (fov, px) GROUP B
 iou AS (SELECT c.fov, c.a, c.b, common, common / (na + nb - common) AS iou FROM c JOIN (SELECT fov, a, count(*) AS na FROM a GROUP BY ALL) x ON x.fov = c.fov AND x.a = c.a JOIN (SELECT fov, b, count(*) AS nb FROM b GROUP BY ALL) y ON y.fov = c.fov AND y.b = c.b)"""
 
 
-def _iou(spark: SparkSession, sf: str) -> DataFrame:
+def _masks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     m = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).alias("fov"), F.col("l_suppkey").alias("mask"), (F.col("l_partkey") % 997).alias("px"), (F.col("l_linenumber") % 2).alias("day"))
-    return matching.mask_iou(m.filter("day = 1"), m.filter("day = 0"), ["fov"], "mask", "px")
+    return m.filter("day = 1"), m.filter("day = 0")
 
 
 @query("q53_mask_iou", f"WITH {MASKS} SELECT fov, a, b, common, round(iou, 6) AS iou FROM iou")
 def mask_iou(spark: SparkSession, sf: str) -> DataFrame:
-    return _iou(spark, sf).select("fov", "a", "b", "common", _r("iou"))
+    return matching.mask_iou(*_masks(spark, sf), ["fov"], "mask", "px", digits=6)
 
 
 @query("q53b_assignment")
 def assignment(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.assign(_iou(spark, sf), ["fov"], "a", "b", "iou", 0.05).select("fov", "a", "b", _r("iou"), "ambiguous")
+    return matching.assign(matching.mask_iou(*_masks(spark, sf), ["fov"], "mask", "px"), ["fov"], "a", "b", "iou", 0.05).select("fov", "a", "b", _r("iou"), "ambiguous")
 
 
 PTS = "pts AS (SELECT CAST(label AS BIGINT) AS episode, vec_id AS node, CAST(embedding[1] AS DOUBLE) * 1000 AS x, CAST(embedding[2] AS DOUBLE) * 1000 AS y, CAST(embedding[3] AS DOUBLE) AS onset, CAST(embedding[1] AS DOUBLE) * 3 - CAST(embedding[2] AS DOUBLE) * 2 + CAST(embedding[3] AS DOUBLE) * 0.1 AS onset_line FROM embeddings)"
