@@ -151,6 +151,13 @@ def test_mask_overlaps_equal_brute_force(spark, monkeypatch):
         assert len(got) == len(want) and {(r["fov"], r["a"], r["b"]): (r["common"], r["iou"]) for r in got} == want
 
 
+def test_assigned_masks_equal_assigned_candidates(spark):
+    left, right = masks(spark, 3)[1], masks(spark, 4)[1]
+    got = matching.assign_masks(left, right, ["fov"], "mask", "px", 0.05)
+    want = matching.assign(matching.mask_iou(left, right, ["fov"], "mask", "px"), ["fov"], "a", "b", "iou", 0.05)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() > 30
+
+
 #: Queries on pairs: no join makes rows of pairs that are compared by expressions, and no pairs are shuffled.
 IN_CELLS = [
     "q45_sttc",
@@ -164,6 +171,7 @@ IN_CELLS = [
     "q47_weighted_pearson",
     "q50_threshold_components",
     "q53_mask_iou",
+    "q53b_assignment",
 ]
 
 

@@ -78,7 +78,7 @@ def mask_iou(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q53b_assignment")
 def assignment(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.assign(matching.mask_iou(*_masks(spark, sf), ["fov"], "mask", "px"), ["fov"], "a", "b", "iou", 0.05).select("fov", "a", "b", _r("iou"), "ambiguous")
+    return matching.assign_masks(*_masks(spark, sf), ["fov"], "mask", "px", 0.05, digits=6)
 
 
 PTS = "pts AS (SELECT CAST(label AS BIGINT) AS episode, vec_id AS node, CAST(embedding[1] AS DOUBLE) * 1000 AS x, CAST(embedding[2] AS DOUBLE) * 1000 AS y, CAST(embedding[3] AS DOUBLE) AS onset, CAST(embedding[1] AS DOUBLE) * 3 - CAST(embedding[2] AS DOUBLE) * 2 + CAST(embedding[3] AS DOUBLE) * 0.1 AS onset_line FROM embeddings)"
