@@ -172,6 +172,7 @@ IN_CELLS = [
     "q50_threshold_components",
     "q53_mask_iou",
     "q53b_assignment",
+    "q52b_soft_dtw",
 ]
 
 

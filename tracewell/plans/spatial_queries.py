@@ -57,7 +57,7 @@ def average_linkage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q52b_soft_dtw")
 def soft_dtw(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity.soft_dtw_pairs(adapters.trace_arrays(adapters.day_traces(spark, sf)), downsample=3).select("recording_id", "i", "j", _r("distance"))
+    return similarity.soft_dtw_pairs(adapters.trace_arrays(adapters.day_traces(spark, sf)), downsample=3, digits=6)
 
 
 MASKS = """m AS (SELECT DISTINCT l_suppkey % 20 AS fov, l_suppkey AS mask, l_partkey % 997 AS px, l_linenumber % 2 AS day FROM lineitem),
