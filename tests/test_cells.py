@@ -158,6 +158,21 @@ def test_assigned_masks_equal_assigned_candidates(spark):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() > 30
 
 
+def test_linkage_by_chains_equals_greedy_merges(spark, arrays, monkeypatch):
+    from tracewell.operators import graph
+
+    for n in (2, 3, 40, 90):
+        d = RNG.random((n, n))
+        d = (d + d.T) / 2
+        for most in (0.3, 0.45, 0.5):
+            got = kernels.cut_merges(kernels.average_merges(d[np.triu_indices(n, 1)], n), n, most)
+            assert (got == kernels.flat_clusters(kernels.linkage(d), n, most)).all()
+    want = graph.hierarchical(similarity.max_crosscorr(arrays, 1), ["recording_id"], 0.6)
+    monkeypatch.setattr(graph, "BLOCK", 5)
+    got = graph.hierarchical_rows(arrays, ["recording_id"], "roi_idx", pairwise.CrossCorrelation(1, rows=3), 0.6)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() == 33
+
+
 #: Queries on pairs: no join makes rows of pairs that are compared by expressions, and no pairs are shuffled.
 IN_CELLS = [
     "q45_sttc",
@@ -173,6 +188,7 @@ IN_CELLS = [
     "q53_mask_iou",
     "q53b_assignment",
     "q52b_soft_dtw",
+    "q52_average_linkage",
 ]
 
 

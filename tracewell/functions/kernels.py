@@ -106,6 +106,53 @@ def flat_clusters(merges: np.ndarray, n: int, threshold: float) -> np.ndarray:
     return np.array([number.setdefault(root(i), len(number) + 1) for i in range(n)], dtype=np.int64)
 
 
+def average_merges(d: np.ndarray, n: int) -> np.ndarray:
+    """Agglomerative merges (item, item, distance) by average linkage of n items, by chains of nearest neighbours: time n squared and no copy of d,
+    the distances above the diagonal row by row, which are overwritten. One item of each merged cluster is named; not in order of distance."""
+    base = np.arange(n, dtype=np.int64) * (2 * n - 3 - np.arange(n, dtype=np.int64)) // 2 - 1  # of the pair (i, j): base[i] + j
+
+    def places(i: int, others: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(others, i)
+        return np.concatenate([base[others[:k]] + i, base[i] + others[k:]])
+
+    live, sizes, chain, out = np.arange(n, dtype=np.int64), np.ones(n), [], []
+    while len(live) > 1:
+        if not chain:
+            chain = [int(live[0])]
+        while True:
+            x = chain[-1]
+            others = np.delete(live, np.searchsorted(live, x))
+            row = d[places(x, others)]
+            k = int(np.argmin(row))
+            if len(chain) > 1 and not row[k] < row[np.searchsorted(others, chain[-2])]:
+                break
+            chain.append(int(others[k]))
+        x, y = chain.pop(), chain.pop()
+        out.append((x, y, row[np.searchsorted(others, y)]))
+        rest = np.delete(others, np.searchsorted(others, y))
+        d[places(y, rest)] = (sizes[x] * np.delete(row, np.searchsorted(others, y)) + sizes[y] * d[places(y, rest)]) / (sizes[x] + sizes[y])
+        sizes[y] += sizes[x]
+        live = others
+    return np.array(out).reshape(-1, 3)
+
+
+def cut_merges(merges: np.ndarray, n: int, threshold: float) -> np.ndarray:
+    """Cluster of each item when average_merges() up to `threshold` are made; numbered from 1 in the order of their first items."""
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for a, b, distance in merges:
+        if distance <= threshold:
+            parent[root(int(a))] = root(int(b))
+    number: dict[int, int] = {}
+    return np.array([number.setdefault(root(i), len(number) + 1) for i in range(n)], dtype=np.int64)
+
+
 def cut_height(merges: np.ndarray, n: int, most: int) -> float:
     """The lowest height at which flat_clusters makes at most `most` clusters of n items; merges of one height are all made."""
     return float(np.sort(merges[:, 2])[n - most - 1]) if 0 < most < n else -1.0 if most >= n else float("inf")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions import pairwise
 from tracewell.operators import episodes, features, graph, imaging, inference, matching, models, peaks, similarity, traces, waves
 from tracewell.plans import workflows
 from tracewell.plans.registry import GRID, query
@@ -51,8 +52,8 @@ def min_group_size(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q52_average_linkage")
 def average_linkage(spark: SparkSession, sf: str) -> DataFrame:
-    corr = similarity.max_crosscorr(adapters.trace_arrays(adapters.day_traces(spark, sf)), 1)
-    return graph.hierarchical(corr, ["recording_id"], 0.65)
+    arrays = adapters.trace_arrays(adapters.day_traces(spark, sf))
+    return graph.hierarchical_rows(arrays, ["recording_id"], "roi_idx", pairwise.CrossCorrelation(1), 0.65)
 
 
 @query("q52b_soft_dtw")
