@@ -189,6 +189,7 @@ IN_CELLS = [
     "q53b_assignment",
     "q52b_soft_dtw",
     "q52_average_linkage",
+    "q101_recording_analysis",
 ]
 
 

@@ -56,9 +56,9 @@ def analyse_recordings(samples: DataFrame, settings: Settings, accept: DataFrame
     for strategy in settings.active():
         if strategy == "combined":
             trains = thinned.select("recording_id", "roi_idx", F.col("frame").cast("long").alias("t"))
-            corr = similarity.max_crosscorr(smooth, settings.max_lag)
-            tiling = matching.sttc(trains, settings.sttc_dt * settings.fs, 0, 1 << 30).withColumnRenamed("sttc", "value")
-            out["combined"] = graph.hierarchical(similarity.combined(corr, tiling, keys=["recording_id"]), ["recording_id"], settings.threshold)
+            dt = settings.sttc_dt * settings.fs
+            rows = smooth.select("recording_id", "roi_idx", "f").join(matching.trains(trains, dt, 0, 1 << 30), ["recording_id", "roi_idx"])
+            out["combined"] = graph.hierarchical_rows(rows, ["recording_id"], "roi_idx", similarity.combined_measure(settings.max_lag, dt), settings.threshold)
         elif strategy == "dtw":
             d = similarity.soft_dtw_pairs(smooth)
             level = d.filter("distance > 0").groupBy("recording_id").agg(F.percentile("distance", 0.3).alias("most"))
