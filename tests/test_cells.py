@@ -173,6 +173,33 @@ def test_linkage_by_chains_equals_greedy_merges(spark, arrays, monkeypatch):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() == 33
 
 
+def test_nearest_points_equal_brute_force(spark):
+    from tracewell.operators import graph
+
+    p = np.round(RNG.normal(size=(700, 2)) * 20)  # with ties and equal places
+    for radius in (1.0, 6.0, 500.0):
+        d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+        want = {(i, j): d[i, j] for i in range(700) for j in sorted(set(range(700)) - {i}, key=lambda j: (d[i, j], j))[:3] if d[i, j] <= radius}
+        i, j, far = kernels.nearest(p[:, 0], p[:, 1], 3, radius, rows=32)
+        assert len(i) == len(want) and dict(zip(zip(i, j, strict=True), far, strict=True)) == want
+    rows = spark.createDataFrame([(0, k + 5, float(x), float(y)) for k, (x, y) in enumerate(p)] + [(1, 1, 0.0, 0.0), (1, 2, None, 0.0)], "e int, node long, x double, y double")
+    got = {(r["i"] - 5, r["j"] - 5): r["distance"] for r in graph.knn_edges(rows, ["e"], 3, 500.0).collect()}
+    assert got == {(min(k), max(k)): v for k, v in want.items()}
+
+
+def test_arrival_times_along_edges_equal_the_matrix(monkeypatch):
+    n = 900
+    xy = RNG.normal(size=(n, 2))
+    i, j, _ = kernels.nearest(xy[:, 0], xy[:, 1], 2, 10.0)  # several parts
+    edges = np.unique(np.sort(np.column_stack([i, j]), axis=1), axis=0)
+    lags, w = RNG.normal(size=len(edges)) * 3, RNG.random(len(edges))
+    assert len(np.unique(kernels.parts(n, *edges.T))) > 5
+    got = kernels.robust_arrivals(n, edges, lags, w)
+    monkeypatch.setattr(kernels, "DENSE_NODES", n)
+    for a, b in zip(got, kernels.robust_arrivals(n, edges, lags, w), strict=True):
+        assert a == pytest.approx(b, abs=1e-7)
+
+
 #: Queries on pairs: no join makes rows of pairs that are compared by expressions, and no pairs are shuffled.
 IN_CELLS = [
     "q45_sttc",

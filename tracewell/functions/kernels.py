@@ -241,23 +241,112 @@ def soft_dtw(a: np.ndarray, b: np.ndarray, gamma: float = 1.0) -> float:
 HUBER, LEAST_SCALE = 1.5, 0.5
 
 
+def nearest(x: np.ndarray, y: np.ndarray, k: int, radius: float, rows: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(point, other, distance) of each point's k nearest others within radius, ties by position.
+
+    Points in order of x are compared in strips with those near in x; the reach doubles until every point's k nearest lie within it, as
+    what lies beyond is farther away.
+    """
+    n, order = len(x), np.argsort(x, kind="stable")
+    xs, ys, found = x[order], y[order], []
+    reach = radius if n <= rows else min(radius, (xs[-1] - xs[0]) / n * rows or radius)
+    for at in range(0, n, rows):
+        u, v, r = xs[at : at + rows], ys[at : at + rows], reach
+        while True:
+            lo, hi = np.searchsorted(xs, u[0] - r, side="left"), np.searchsorted(xs, u[-1] + r, side="right")
+            d = np.sqrt((u[:, None] - xs[None, lo:hi]) ** 2 + (v[:, None] - ys[None, lo:hi]) ** 2)
+            d[np.arange(len(u)), np.arange(len(u)) + at - lo] = np.inf
+            last = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(u), np.inf)
+            if r >= radius or (lo == 0 and hi == n) or (last < r).all():
+                break
+            r = min(radius, 2 * r)
+        i, j = np.nonzero((d <= last[:, None]) & (d <= radius) & np.isfinite(d))
+        d, i, j = d[i, j], order[i + at], order[j + lo]
+        by = np.lexsort((j, d, i))
+        i, j, d = i[by], j[by], d[by]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append((i[keep], j[keep], d[keep]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+#: Nodes up to which a graph's normal equations are a dense matrix, and the residual, relative to the right side, that ends sparse ones.
+DENSE_NODES, SOLVED = 300, 1e-13
+
+
+def parts(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's connected part."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        after = label.copy()
+        np.minimum.at(after, i, low)
+        np.minimum.at(after, j, low)
+        np.minimum.at(after, label[i], low)
+        np.minimum.at(after, label[j], low)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
+
+
+def sparse_arrivals(n: int, i: np.ndarray, j: np.ndarray, u: np.ndarray, lags: np.ndarray, part: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Arrival times of weighted least squares by conjugate gradients on the edges, scaled by the nodes' weights: node 0 is 0 in its part, other
+    parts have mean 0. A system that doesn't reach SOLVED is an error."""
+    diagonal = np.bincount(i, u, n) + np.bincount(j, u, n)
+    scale = np.where(diagonal > 0, diagonal, 1.0)
+
+    def times(x: np.ndarray) -> np.ndarray:
+        flow = u * (x[j] - x[i])
+        return np.bincount(j, flow, n) - np.bincount(i, flow, n)
+
+    right = np.bincount(j, u * lags, n) - np.bincount(i, u * lags, n)
+    x, end = start.copy(), SOLVED * float(np.linalg.norm(right))
+    for _ in range(20):  # restarts, each from the residual as it is
+        r = right - times(x)
+        if np.linalg.norm(r) <= end:
+            break
+        z = r / scale
+        p, rz = z.copy(), float(r @ z)
+        for _ in range(2 * n):
+            q = times(p)
+            step = rz / float(p @ q)
+            x += step * p
+            r -= step * q
+            if np.linalg.norm(r) <= 0.5 * end:
+                break
+            z = r / scale
+            rz, old = float(r @ z), rz
+            p = z + rz / old * p
+    else:
+        if np.linalg.norm(right - times(x)) > 1e3 * end:
+            raise RuntimeError(f"arrival times of {n} nodes did not converge")
+    size = np.bincount(part, minlength=n)
+    level = np.bincount(part, x, n) / np.maximum(size, 1)
+    level[part[0]] = x[0]
+    return x - level[part]
+
+
 def robust_arrivals(n: int, edges: np.ndarray, lags: np.ndarray, weights: np.ndarray, iterations: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(arrivals, weights, residuals): arrival times whose differences along edges (i, j) fit the lags by reweighted least squares, node 0
     pinned and then centred; the edges' last weights, and what the fit leaves of the lags.
 
-    The normal equations of the pinned graph are n - 1 square, whatever the number of edges. A graph in several parts
-    gets its least solution.
+    The normal equations of the pinned graph are n - 1 square, whatever the number of edges; beyond DENSE_NODES they are solved along the
+    edges, without a matrix. A graph in several parts gets its least solution.
     """
     i, j = edges[:, 0], edges[:, 1]
+    part = parts(n, i, j) if n > DENSE_NODES else None
     w, x, residual = np.asarray(weights, dtype=float).copy(), np.zeros(n), np.zeros(len(edges))
     for _ in range(iterations):
         u = np.maximum(w, 1e-8)
-        laplace, right = np.zeros((n, n)), np.zeros(n)
-        np.add.at(laplace, (np.r_[i, j], np.r_[i, j]), np.r_[u, u])
-        np.add.at(laplace, (np.r_[i, j], np.r_[j, i]), -np.r_[u, u])
-        np.add.at(right, j, u * lags)
-        np.add.at(right, i, -u * lags)
-        x = np.append(0.0, np.linalg.lstsq(laplace[1:, 1:], right[1:], rcond=None)[0])
+        if part is not None:
+            x = sparse_arrivals(n, i, j, u, lags, part, x)
+        else:
+            laplace, right = np.zeros((n, n)), np.zeros(n)
+            np.add.at(laplace, (np.r_[i, j], np.r_[i, j]), np.r_[u, u])
+            np.add.at(laplace, (np.r_[i, j], np.r_[j, i]), -np.r_[u, u])
+            np.add.at(right, j, u * lags)
+            np.add.at(right, i, -u * lags)
+            x = np.append(0.0, np.linalg.lstsq(laplace[1:, 1:], right[1:], rcond=None)[0])
         residual = x[j] - x[i] - lags
         spread = np.median(np.abs(residual - np.median(residual)))
         scale = max(LEAST_SCALE, 1.4826 * float(spread))
