@@ -200,6 +200,14 @@ def test_arrival_times_along_edges_equal_the_matrix(monkeypatch):
         assert a == pytest.approx(b, abs=1e-7)
 
 
+def test_one_radial_grid_serves_many_values():
+    xy = RNG.normal(size=(50, 2))
+    around = kernels.radial_grid(xy)
+    for values in RNG.normal(size=(3, 50)):
+        (score, origin), (again, place) = kernels.radial_fit(around, values), kernels.radial_scores(xy, values)
+        assert score == again and (origin == place).all()
+
+
 #: Queries on pairs: no join makes rows of pairs that are compared by expressions, and no pairs are shuffled.
 IN_CELLS = [
     "q45_sttc",

@@ -416,13 +416,23 @@ def linear_r2(design: np.ndarray, values: np.ndarray) -> float:
 
 def radial_scores(coords: np.ndarray, values: np.ndarray, grid: int = 21, margin: float = 0.25) -> tuple[float, np.ndarray]:
     """The largest squared positive correlation of values with the distance from a grid of origins, and that origin."""
+    return radial_fit(radial_grid(coords, grid, margin), values)
+
+
+def radial_grid(coords: np.ndarray, grid: int = 21, margin: float = 0.25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(origins, distances from them less their mean, their squares' sums), for radial_fit() of many values."""
     lo, hi = coords.min(axis=0), coords.max(axis=0)
     pad = (hi - lo) * margin
     gx, gy = (np.linspace(lo[k] - pad[k], hi[k] + pad[k], grid) for k in (0, 1))
     origins = np.stack(np.meshgrid(gx, gy, indexing="ij"), axis=-1).reshape(-1, 2)
     d = np.hypot(coords[None, :, 0] - origins[:, :1], coords[None, :, 1] - origins[:, 1:])
     d = d - d.mean(axis=1, keepdims=True)
+    return origins, d, (d**2).sum(axis=1)
+
+
+def radial_fit(around: tuple[np.ndarray, np.ndarray, np.ndarray], values: np.ndarray) -> tuple[float, np.ndarray]:
+    origins, d, squares = around
     v = values - values.mean()
-    r = d @ v / np.maximum(np.sqrt((d**2).sum(axis=1) * (v**2).sum()), 1e-12)
+    r = d @ v / np.maximum(np.sqrt(squares * (v**2).sum()), 1e-12)
     k = int(np.argmax(r))
     return float(max(r[k], 0.0) ** 2), origins[k]

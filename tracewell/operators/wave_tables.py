@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.kernels import linear_r2, radial_scores, robust_arrivals
+from tracewell.functions.kernels import linear_r2, radial_fit, radial_grid, robust_arrivals
 from tracewell.operators.graph import components
 from tracewell.operators.imaging import _own, leading_edge_speed, single_front_fraction
 from tracewell.operators.ranking import benjamini_hochberg
@@ -66,8 +66,8 @@ def graph_fronts(edges: DataFrame, coords: DataFrame, keys: list[str], settings:
     reliable = reliable_component(edges, keys, settings.least_correlation, settings.least_sharpness)
     rows = reliable.select(*keys, "i", "j", F.col("lag").cast("double").alias("lag"), edge_weight(F.col("corr"), F.col("sharpness")).alias("w"))
 
-    def front(xy: np.ndarray, t: np.ndarray) -> tuple[str, float]:
-        planar, radial = linear_r2(np.column_stack([np.ones(len(xy)), xy]), t), radial_scores(xy, t)[0]
+    def front(xy: np.ndarray, around: tuple, t: np.ndarray) -> tuple[str, float]:
+        planar, radial = linear_r2(np.column_stack([np.ones(len(xy)), xy]), t), radial_fit(around, t)[0]
         return ("planar", planar) if planar >= radial else ("radial", radial)
 
     def run(key: tuple, c: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
@@ -82,7 +82,8 @@ def graph_fronts(edges: DataFrame, coords: DataFrame, keys: list[str], settings:
             pair = np.column_stack([np.searchsorted(nodes, e["i"]), np.searchsorted(nodes, e["j"])])
             lag, w = e["lag"].to_numpy(float), e["w"].to_numpy(float)
             t, robust, residual = robust_arrivals(len(nodes), pair, lag, w, settings.iterations)
-            model, r2 = front(xy, t)
+            around = radial_grid(xy)  # one for all repeats
+            model, r2 = front(xy, around, t)
             total = float((robust * (lag - np.average(lag, weights=robust)) ** 2).sum())
             left = float((robust * (lag - (t[pair[:, 1]] - t[pair[:, 0]])) ** 2).sum())
             rng = np.random.default_rng(zlib.crc32(f"{settings.seed}|{key}".encode()))
@@ -91,7 +92,7 @@ def graph_fronts(edges: DataFrame, coords: DataFrame, keys: list[str], settings:
             alike = [np.flatnonzero(strata == s) for s in np.unique(strata)]
 
             def null(change) -> float:
-                reached = sum(front(xy, robust_arrivals(len(nodes), pair, change(), robust, 1)[0])[1] >= r2 for _ in range(settings.repeats))
+                reached = sum(front(xy, around, robust_arrivals(len(nodes), pair, change(), robust, 1)[0])[1] >= r2 for _ in range(settings.repeats))
                 return (1 + reached) / (1 + settings.repeats)
 
             def permuted() -> np.ndarray:
