@@ -219,6 +219,17 @@ def test_pretokens_and_words_give_the_library_ids(text):
     assert np.frombuffer(b"".join(memo[w] for w in run), dtype="<u4").tolist() == word_level.encode(text, add_special_tokens=False).ids
 
 
+def test_a_pre_token_goes_through_the_model_once():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    memo, calls = packing.Ids(open(path, encoding="utf-8").read()), []
+    run = memo.tokenize
+    memo.tokenize = lambda word: calls.append(word) or run(word)
+    words = ["walk", "walk.", "walk's", "(walk", "ñu", "ñu.", "walk."]
+    lib = Tokenizer.from_file(path)
+    assert [np.frombuffer(memo[w], dtype="<u4").tolist() for w in words] == [lib.encode(w, add_special_tokens=False).ids for w in words]
+    assert sorted(calls) == sorted(["walk", ".", "'s", "(", "Ã±u"])
+
+
 def test_packing_is_a_gapless_round_trip(docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)

@@ -9,8 +9,9 @@ their length, so nothing but (document, length, checksum) is ever shuffled.
 
 from __future__ import annotations
 
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,22 +27,18 @@ from tracewell.llm.tokens import MEMO, UNSURE, WORD_LEVEL, blocks, tokenizer
 CHUNK = 2000
 
 
+#: The vocabulary's names of the bytes that it doesn't show as themselves.
+HIDDEN = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b > 173))}
+
+
 class Ids(dict):
-    """Word to its ids as little-endian unsigned 32-bit bytes. No token of the vocabulary spans white space, so a run without any
-    stands alone."""
+    """Word to its ids as little-endian unsigned 32-bit bytes, worked out on first sight. No token of the vocabulary spans white space, so a
+    run without any stands alone. A word of several pre-tokens is made of theirs, so each pre-token goes through the model once."""
 
     def __init__(self, blob: str):
-        from tokenizers import Tokenizer, pre_tokenizers
-
         super().__init__()
-        # pre-tokens come split and in lower case, so the steps that only do that are left out
-        self.tok = Tokenizer.from_str(blob)
-        self.tok.normalizer = None
-        self.tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.tokenize = tokenizer(blob).model.tokenize  # words come split and in lower case, so only the model is left to run
         self.find = regex.compile(WORD_LEVEL).findall
-        self.last = np.zeros(self.tok.get_vocab_size(), dtype=bool)  # ids that end a pre-token
-        for piece, k in self.tok.get_vocab().items():
-            self.last[k] = piece.endswith("</w>")
 
     def split(self, word: str) -> list[str]:
         """Pre-tokens of a word; the two common shapes need no pattern."""
@@ -51,19 +48,23 @@ class Ids(dict):
             return [word[:-1], word[-1]]
         return self.find(word)
 
-    def learn(self, words: set[str]) -> None:
-        """Look up all unknown words, many in one call: each pre-token ends with an id that marks its end."""
+    def __missing__(self, word: str) -> bytes:
+        found = self.split(word)
+        if len(found) == 1:
+            piece = found[0]
+            ids = [t.id for t in self.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(HIDDEN))]
+            coded = struct.pack(f"<{len(ids)}I", *ids)
+        else:
+            coded = b"".join(map(self.__getitem__, found))
+        self[word] = coded
+        return coded
+
+    def learn(self, words: Iterable[str] = ()) -> None:
+        """Start anew if too much is remembered, then work out these words."""
         if len(self) > MEMO:
             self.clear()
-        new = [w for w in words if w not in self]
-        for k in range(0, len(new), 500):
-            some = new[k : k + 500]
-            parts = [self.split(w) for w in some]
-            ids = np.asarray(self.tok.encode(" ".join([p for found in parts for p in found]), add_special_tokens=False).ids, dtype="<u4")
-            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
-            cuts = [0, *ends[np.cumsum([len(found) for found in parts]) - 1].tolist()]
-            raw = ids.tobytes()
-            self.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        for word in words:
+            self[word]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2) -> DataFrame:
@@ -80,13 +81,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
             out: list[list] = [[], [], [], [], []]
             docs_left = iter(batch.column(0).to_pylist())
             for block in blocks(batch.column(1).to_pylist(), 1_000_000):
-                words = [None if UNSURE.search(t) else t.lower().split() for t in block]
-                memo.learn(set().union(*(w for w in words if w is not None)))
-                for t, found in zip(block, words, strict=True):
-                    if found is None:
+                memo.learn()
+                for t in block:
+                    if UNSURE.search(t):
                         coded = np.asarray(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() + end
                     else:
-                        coded = b"".join(map(memo.__getitem__, found)) + end
+                        coded = b"".join(map(memo.__getitem__, t.lower().split())) + end
                     doc, n = next(docs_left), len(coded) // 4
                     for start in range(0, n, capacity):
                         part = coded[4 * start : 4 * (start + capacity)]
