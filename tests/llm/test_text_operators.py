@@ -377,6 +377,22 @@ def test_decontamination_of_names_in_other_case_and_of_short_items(spark):
     assert all(got[k]["n_matched"] == got[k]["n_windows"] for k in range(7)) and [got[k]["changed"] for k in range(4)] == [False, False, False, True]
 
 
+def test_the_decontamination_query_matches_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    from tracewell.llm import queries
+
+    item = "we saw how Alice walked to the old market before lunch and asked Robert for some bread while later that day Maria sold him two apples"
+    texts = [item, item.lower(), item.upper(), item.replace(" Alice", "\nAlice"), item.replace("Alice", "Bob"), item.replace("two", "3"), "the purple walrus paradox", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, "purple walrus paradox")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["op5_decontamination"]).fetchall()
+    assert sorted(map(tuple, queries.op5_decontamination(spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def brute_spans(rows, width=100):
     first, out = {}, {}
     data = sorted((d, (t or "").encode()) for d, t in rows)
