@@ -237,3 +237,19 @@ def test_pairs_are_made_in_cells(spark, name):
     out = spatial_queries._distances(spark, "/root/testdata/sf0.001")[0] if edges else QUERIES[name](spark, "/root/testdata/sf0.001")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "zip_with" not in plan and "i#" not in "".join(x for x in plan.splitlines() if "Join" in x)
+
+
+def test_near_stars_connect_what_near_pairs_do_with_few_edges(spark):
+    from pyspark.sql import functions as F
+
+    from tracewell.operators import graph
+
+    few = RNG.normal(size=(6, 5)).round(3)
+    rows = [(k % 2, k, few[RNG.integers(6)].tolist()) for k in range(90)] + [(2, 90, [1.0] * 5)]
+    arrays = spark.createDataFrame(rows, "recording_id long, roi_idx long, f array<double>")
+    nodes = arrays.select("recording_id", F.col("roi_idx").alias("node"))
+    pairs = similarity.near_traces(arrays, 0.3).selectExpr("recording_id", "i as a", "j as b")
+    stars = similarity.near_stars(arrays, 0.3, size=16)
+    label = [sorted(map(tuple, graph.components(nodes, e, ["recording_id"]).collect())) for e in (pairs, stars)]
+    assert label[0] == label[1] and 0 < len({r[2] for r in label[0]}) < 30
+    assert stars.count() < pairs.count()

@@ -8,9 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tracewell.functions import pairwise
-from tracewell.operators.cells import all_pairs, fields, in_cells
+from tracewell.functions.kernels import parts
+from tracewell.operators.cells import BLOCK, all_pairs, fields, flat, in_cells
 
 
 def pairs(arrays: DataFrame, key: str = "recording_id", node: str = "roi_idx", f: str = "f") -> DataFrame:
@@ -63,6 +65,25 @@ def near_traces(arrays: DataFrame, most: float, key: str = "recording_id", node:
     return all_pairs(arrays, [key], node, pairwise.Distance(digits=digits), "distance double", lambda v: v["distance"] <= most)
 
 
+def near_stars(arrays: DataFrame, most: float, key: str = "recording_id", node: str = "roi_idx", digits: int | None = None, size: int = BLOCK) -> DataFrame:
+    """(key, a, b): edges that connect the same nodes as the pairs of near_traces() do. In each cell all its pairs are joined up, and each
+    node that reaches a smaller one is tied to the smallest, so a cell leaves fewer edges than it has nodes, however many pairs are near."""
+    measure, kind = pairwise.Distance(digits=digits), arrays.schema[node].dataType
+    schema = StructType([StructField("a", kind), StructField("b", kind)])
+
+    def run(a: pa.Table, b: pa.Table, same: bool) -> Iterator[dict]:
+        right, first = measure.prepare(b), 0 if same else len(a)
+        nodes = flat(a[node]) if same else pa.concat_arrays([flat(a[node]), flat(b[node])])
+        label, tied = np.arange(len(nodes)), np.zeros(0, dtype=np.int64)
+        for at in range(0, len(a), measure.rows):
+            i, j = np.nonzero(measure(measure.prepare(a.slice(at, measure.rows).combine_chunks()), right)["distance"] <= most)
+            label = parts(len(nodes), np.append(i + at, label[tied]), np.append(j + first, tied))
+            tied = np.flatnonzero(label != np.arange(len(nodes)))
+        yield {"a": nodes.take(pa.array(label[tied])), "b": nodes.take(pa.array(tied))}
+
+    return in_cells(arrays, [key], node, run, schema, size)
+
+
 def pearson(x: Column, y: Column, least: float = 1e-12) -> Column:
     """Correlation of two array columns; 0 where either hardly varies."""
     n = F.size(x)

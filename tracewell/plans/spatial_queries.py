@@ -10,6 +10,7 @@ from tracewell.operators import episodes, features, graph, imaging, inference, m
 from tracewell.plans import workflows
 from tracewell.plans.registry import GRID, query
 from tracewell.plans.trace_queries import PROMINENCE, WINDOWED, Z
+from tracewell.scratch import cut
 from tracewell.sources import adapters, recordings
 from tracewell.sources.adapters import table
 from tracewell.streaming import online
@@ -37,9 +38,9 @@ def _distances(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query("q50_threshold_components", f"WITH RECURSIVE {COMPONENTS} SELECT recording_id, node, component FROM comp")
 def threshold_components(spark: SparkSession, sf: str) -> DataFrame:
-    d, nodes = _distances(spark, sf)
-    edges = d.filter("distance <= 0.45").select("recording_id", F.col("i").alias("a"), F.col("j").alias("b"))
-    return graph.components(nodes, edges, ["recording_id"])
+    arrays = cut(adapters.trace_arrays(adapters.day_traces(spark, sf)))
+    nodes = arrays.select("recording_id", F.col("roi_idx").alias("node"))
+    return graph.components(nodes, similarity.near_stars(arrays, 0.45, digits=6), ["recording_id"])
 
 
 @query("q51_min_group_size", f"""WITH RECURSIVE {COMPONENTS}, s AS (SELECT *, count(*) OVER (PARTITION BY recording_id, component) AS group_size FROM comp)
