@@ -200,6 +200,63 @@ def test_arrival_times_along_edges_equal_the_matrix(monkeypatch):
         assert a == pytest.approx(b, abs=1e-7)
 
 
+def test_a_graph_taken_apart_once_solves_any_lags_in_few_steps():
+    n = 4000
+    xy = RNG.normal(size=(n, 2))
+    i, j, _ = kernels.nearest(xy[:, 0], xy[:, 1], 3, 10.0)
+    edges = np.unique(np.sort(np.column_stack([i, j]), axis=1), axis=0)
+    w = RNG.random(len(edges)) + 0.1
+    graph = kernels.ArrivalGraph(n, edges, w)
+    assert 1 < len(np.unique(graph.part)) < n / 100
+    flow = w * RNG.normal(size=len(edges))
+    right = np.bincount(edges[:, 1], flow, n) - np.bincount(edges[:, 0], flow, n)
+    x = graph.solve(right)
+    flow = w * (x[edges[:, 1]] - x[edges[:, 0]])
+    assert np.bincount(edges[:, 1], flow, n) - np.bincount(edges[:, 0], flow, n) == pytest.approx(right, abs=1e-9)
+    steps, solve = [0], graph.solve
+    graph.solve = lambda r: steps.__setitem__(0, steps[0] + 1) or solve(r)
+    lags = RNG.normal(size=len(edges)) * 3
+    got = kernels.robust_arrivals(n, edges, lags, w, 3, graph)
+    assert 0 < steps[0] < 150  # by the nodes' weights alone it takes hundreds for each of three systems
+    graph.solve = None
+    for a, b in zip(got, kernels.robust_arrivals(n, edges, lags, w, 3, graph), strict=True):
+        assert a == pytest.approx(b, abs=1e-5)
+    many = np.unique(np.sort(RNG.integers(0, 900, (40_000, 2)), axis=1), axis=0)
+    assert kernels.ArrivalGraph(900, many, np.ones(len(many))).solve is None  # fills up, so it isn't taken apart
+
+
+def test_lag_null_equals_plain_least_squares_and_keeps_its_tasks(spark):
+    import zlib
+
+    from tracewell.operators import imaging
+
+    xy = RNG.normal(size=(2, 40, 2)) * 10
+    rows = [(e, k, float(x), float(y)) for e in range(2) for k, (x, y) in enumerate(xy[e])]
+    edges = [sorted({tuple(sorted(map(int, p))) for p in zip(*kernels.nearest(*xy[e].T, 3, 100.0)[:2], strict=True)}) for e in range(2)]
+    lag = [[float(xy[e][b, 0] - xy[e][a, 0]) * 0.02 for a, b in edges[e]] for e in range(2)]  # too small to be weighed down
+    coords = spark.createDataFrame(rows, "e int, node long, x double, y double")
+    given = spark.createDataFrame([(e, a, b, v, 1.0) for e in range(2) for (a, b), v in zip(edges[e], lag[e], strict=True)], "e int, i long, j long, lag double, corr double")
+    out = imaging.lag_null(given, coords, ["e"], 9)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
+    for r in out.collect():
+        e = r["e"]
+        incidence = np.zeros((len(edges[e]), 40))
+        for k, (a, b) in enumerate(edges[e]):
+            incidence[k, a], incidence[k, b] = -1, 1
+
+        def score(lags):
+            t = np.linalg.lstsq(incidence, lags, rcond=None)[0]
+            return max(kernels.linear_r2(np.column_stack([np.ones(40), xy[e]]), t), kernels.radial_scores(xy[e], t, 7)[0])
+
+        part = kernels.parts(40, *np.array(edges[e]).T)
+        if len(np.unique(part)) > 1:
+            continue
+        rng = np.random.default_rng(zlib.crc32(f"42|{(e,)}".encode()))
+        null = [score(np.array(lag[e]) * rng.choice([-1.0, 1.0], len(lag[e]))) for _ in range(9)]
+        s = score(np.array(lag[e]))
+        assert r["score"] == pytest.approx(s, abs=1e-8) and r["p"] == pytest.approx((1 + sum(x >= s for x in null)) / 10)
+
+
 def test_one_radial_grid_serves_many_values():
     xy = RNG.normal(size=(50, 2))
     around = kernels.radial_grid(xy)

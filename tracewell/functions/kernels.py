@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -270,7 +272,9 @@ def nearest(x: np.ndarray, y: np.ndarray, k: int, radius: float, rows: int = 256
 
 
 #: Nodes up to which a graph's normal equations are a dense matrix, and the residual, relative to the right side, that ends sparse ones.
-DENSE_NODES, SOLVED = 300, 1e-13
+DENSE_NODES, SOLVED = 16, 1e-13
+#: Nodes that elimination() leaves to a dense matrix, and the edges a node, over all of the graph, at which it gives up.
+CORE, FILL = 300, 30
 
 
 def parts(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -289,11 +293,85 @@ def parts(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = after
 
 
-def sparse_arrivals(n: int, i: np.ndarray, j: np.ndarray, u: np.ndarray, lags: np.ndarray, part: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Arrival times of weighted least squares by conjugate gradients on the edges, scaled by the nodes' weights: node 0 is 0 in its part, other
-    parts have mean 0. A system that doesn't reach SOLVED is an error."""
+def elimination(n: int, i: np.ndarray, j: np.ndarray, u: np.ndarray, part: np.ndarray) -> Callable[[np.ndarray], np.ndarray] | None:
+    """What solves the graph's normal equations for right sides that add up to 0 in each part, up to a constant in each part; None if they
+    fill up.
+
+    In each round nodes of few edges, no two of them neighbours, are taken out, which joins a node's neighbours with one another; the last
+    CORE nodes are a matrix.
+    """
+    a, b, w = i, j, np.asarray(u, dtype=float)
+    shuffled, active, rounds = np.random.default_rng(0).permutation(n), np.ones(n, dtype=bool), []
+    while True:
+        code, at = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_inverse=True)
+        a, b, w = code // n, code % n, np.bincount(at, w, len(code))
+        a, b, w = (x[a != b] for x in (a, b, w))
+        degree = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+        active &= degree > 0
+        left = int(active.sum())
+        if left <= CORE:
+            break
+        if len(a) > FILL * n:
+            return None
+        rank = degree * n + shuffled
+        low = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(low, a, rank[b])
+        np.minimum.at(low, b, rank[a])
+        taken = active & (rank < low) & (degree <= max(3, 2 * len(a) / left))
+        out = taken[a] | taken[b]
+        node, near = np.where(taken[a], a, b)[out], np.where(taken[a], b, a)[out]
+        by = np.argsort(node, kind="stable")
+        node, near, share = node[by], near[by], w[out][by]
+        v, first, d = np.unique(node, return_index=True, return_counts=True)
+        total = np.add.reduceat(share, first)
+        more = [(a[~out], b[~out], w[~out])]
+        for k in np.unique(d[d > 1]):
+            at = first[d == k][:, None] + np.arange(k)
+            one, other = np.triu_indices(k, 1)
+            x, y = near[at], share[at]
+            more.append((x[:, one].ravel(), x[:, other].ravel(), (y[:, one] * y[:, other] / total[d == k][:, None]).ravel()))
+        a, b, w = (np.concatenate(c) for c in zip(*more, strict=True))
+        share = share / np.repeat(total, d)
+        to = np.argsort(near, kind="stable")
+        target, start = np.unique(near[to], return_index=True)
+        rounds.append((v, total, near, share, first, node[to], share[to], target, start))
+        active[v] = False
+    core = np.flatnonzero(active)
+    core = np.delete(core, np.unique(part[core], return_index=True)[1])  # one node of each part is 0
+    place = np.full(n, -1)
+    place[core] = np.arange(len(core))
+    matrix = np.diag((np.bincount(a, w, n) + np.bincount(b, w, n))[core])
+    both = (place[a] >= 0) & (place[b] >= 0)
+    matrix[place[a[both]], place[b[both]]] = matrix[place[b[both]], place[a[both]]] = -w[both]
+    inverse = np.linalg.inv(matrix)
+
+    def solve(right: np.ndarray) -> np.ndarray:
+        r, x = right.copy(), np.zeros(n)
+        for _, _, _, _, _, node, share, target, start in rounds:
+            r[target] += np.add.reduceat(share * r[node], start)
+        x[core] = inverse @ r[core]
+        for v, total, near, share, first, *_ in reversed(rounds):
+            x[v] = r[v] / total + np.add.reduceat(share * x[near], first)
+        return x
+
+    return solve
+
+
+class ArrivalGraph:
+    """A graph's parts, and elimination() of its first weights: made once for all lags along its edges."""
+
+    def __init__(self, n: int, edges: np.ndarray, weights: np.ndarray):
+        i, j = edges[:, 0], edges[:, 1]
+        self.part = parts(n, i, j) if n > DENSE_NODES else None
+        self.solve = None if self.part is None else elimination(n, i, j, np.maximum(weights, 1e-8), self.part)
+
+
+def sparse_arrivals(n: int, i: np.ndarray, j: np.ndarray, u: np.ndarray, lags: np.ndarray, part: np.ndarray, start: np.ndarray, solve: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """Arrival times of weighted least squares by conjugate gradients on the edges, preconditioned by `solve` of like weights, or else scaled by
+    the nodes' weights: node 0 is 0 in its part, other parts have mean 0. A system that doesn't reach SOLVED is an error."""
     diagonal = np.bincount(i, u, n) + np.bincount(j, u, n)
     scale = np.where(diagonal > 0, diagonal, 1.0)
+    solve = solve or (lambda r: r / scale)
 
     def times(x: np.ndarray) -> np.ndarray:
         flow = u * (x[j] - x[i])
@@ -305,7 +383,7 @@ def sparse_arrivals(n: int, i: np.ndarray, j: np.ndarray, u: np.ndarray, lags: n
         r = right - times(x)
         if np.linalg.norm(r) <= end:
             break
-        z = r / scale
+        z = solve(r)
         p, rz = z.copy(), float(r @ z)
         for _ in range(2 * n):
             q = times(p)
@@ -314,7 +392,7 @@ def sparse_arrivals(n: int, i: np.ndarray, j: np.ndarray, u: np.ndarray, lags: n
             r -= step * q
             if np.linalg.norm(r) <= 0.5 * end:
                 break
-            z = r / scale
+            z = solve(r)
             rz, old = float(r @ z), rz
             p = z + rz / old * p
     else:
@@ -326,20 +404,20 @@ def sparse_arrivals(n: int, i: np.ndarray, j: np.ndarray, u: np.ndarray, lags: n
     return x - level[part]
 
 
-def robust_arrivals(n: int, edges: np.ndarray, lags: np.ndarray, weights: np.ndarray, iterations: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def robust_arrivals(n: int, edges: np.ndarray, lags: np.ndarray, weights: np.ndarray, iterations: int = 4, graph: ArrivalGraph | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(arrivals, weights, residuals): arrival times whose differences along edges (i, j) fit the lags by reweighted least squares, node 0
     pinned and then centred; the edges' last weights, and what the fit leaves of the lags.
 
     The normal equations of the pinned graph are n - 1 square, whatever the number of edges; beyond DENSE_NODES they are solved along the
-    edges, without a matrix. A graph in several parts gets its least solution.
+    edges, without a matrix. A graph in several parts gets its least solution. `graph` may be given where edges and weights come again.
     """
     i, j = edges[:, 0], edges[:, 1]
-    part = parts(n, i, j) if n > DENSE_NODES else None
+    graph = graph or ArrivalGraph(n, edges, weights)
     w, x, residual = np.asarray(weights, dtype=float).copy(), np.zeros(n), np.zeros(len(edges))
     for _ in range(iterations):
         u = np.maximum(w, 1e-8)
-        if part is not None:
-            x = sparse_arrivals(n, i, j, u, lags, part, x)
+        if graph.part is not None:
+            x = sparse_arrivals(n, i, j, u, lags, graph.part, x, graph.solve)
         else:
             laplace, right = np.zeros((n, n)), np.zeros(n)
             np.add.at(laplace, (np.r_[i, j], np.r_[i, j]), np.r_[u, u])
@@ -354,8 +432,8 @@ def robust_arrivals(n: int, edges: np.ndarray, lags: np.ndarray, weights: np.nda
     return x - x.mean(), w, residual
 
 
-def graph_arrivals(n: int, edges: np.ndarray, lags: np.ndarray, weights: np.ndarray, iterations: int = 4) -> np.ndarray:
-    return robust_arrivals(n, edges, lags, weights, iterations)[0]
+def graph_arrivals(n: int, edges: np.ndarray, lags: np.ndarray, weights: np.ndarray, iterations: int = 4, graph: ArrivalGraph | None = None) -> np.ndarray:
+    return robust_arrivals(n, edges, lags, weights, iterations, graph)[0]
 
 
 def refined_origin(coords: np.ndarray, values: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float, float]:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.kernels import phase_shift, radial_scores
+from tracewell.functions.kernels import phase_shift
 from tracewell.operators.traces import convolve, derivative_weights, gaussian_weights
 
 
@@ -198,8 +198,8 @@ def gradient_metrics(blocks: DataFrame, keys: list[str], sigma: float = 1.0) ->
 
 def lag_null(edges: DataFrame, coords: DataFrame, keys: list[str], repeats: int = 99, mode: str = "sign", strata: str | None = None, seed: int = 42) -> DataFrame:
     """(keys.., score, p) of the front that edges(keys.., i, j, lag, corr) draw over coords(keys.., node, x, y), against lags with random signs, or
-    permuted within strata. An episode's graph fits a task."""
-    from tracewell.functions.kernels import graph_arrivals, linear_r2
+    permuted within strata. An episode's graph fits a task, which takes it apart once for all repeats."""
+    from tracewell.functions.kernels import ArrivalGraph, graph_arrivals, linear_r2, radial_fit, radial_grid
 
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
 
@@ -212,10 +212,11 @@ def lag_null(edges: DataFrame, coords: DataFrame, keys: list[str], repeats: int
         pair = np.column_stack([np.searchsorted(nodes, e["i"]), np.searchsorted(nodes, e["j"])])
         lag, weight = e["lag"].to_numpy(float), np.maximum(e["corr"].to_numpy(float), 0)
         design = np.column_stack([np.ones(len(xy)), xy])
+        graph, around = ArrivalGraph(len(nodes), pair, weight), radial_grid(xy, 7)
 
         def score(lags):
-            t = graph_arrivals(len(nodes), pair, lags, weight, 3)
-            return max(linear_r2(design, t), radial_scores(xy, t, 7)[0])
+            t = graph_arrivals(len(nodes), pair, lags, weight, 3, graph)
+            return max(linear_r2(design, t), radial_fit(around, t)[0])
 
         rng = np.random.default_rng(zlib.crc32(f"{seed}|{key}".encode()))
         groups = e.groupby(strata).indices.values() if strata else [np.arange(len(e))]
@@ -232,4 +233,6 @@ def lag_null(edges: DataFrame, coords: DataFrame, keys: list[str], repeats: int
         return pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "score": [s], "p": [(1 + sum(x >= s for x in null)) / (1 + repeats)]})
 
     schema = ", ".join([f"{k} {kinds[k]}" for k in keys]) + ", score double, p double"
-    return _own(edges).groupBy(*keys).cogroup(_own(coords).groupBy(*keys)).applyInPandas(run, schema)
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # else small partitions are put together, though their work isn't small
+    one, other = (_own(x).repartition(tasks, *keys) for x in (edges, coords))
+    return one.groupBy(*keys).cogroup(other.groupBy(*keys)).applyInPandas(run, schema)

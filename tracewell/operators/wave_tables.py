@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.kernels import linear_r2, radial_fit, radial_grid, robust_arrivals
+from tracewell.functions.kernels import ArrivalGraph, linear_r2, radial_fit, radial_grid, robust_arrivals
 from tracewell.operators.graph import components
 from tracewell.operators.imaging import _own, leading_edge_speed, single_front_fraction
 from tracewell.operators.ranking import benjamini_hochberg
@@ -82,7 +82,7 @@ def graph_fronts(edges: DataFrame, coords: DataFrame, keys: list[str], settings:
             pair = np.column_stack([np.searchsorted(nodes, e["i"]), np.searchsorted(nodes, e["j"])])
             lag, w = e["lag"].to_numpy(float), e["w"].to_numpy(float)
             t, robust, residual = robust_arrivals(len(nodes), pair, lag, w, settings.iterations)
-            around = radial_grid(xy)  # one for all repeats
+            around, again = radial_grid(xy), ArrivalGraph(len(nodes), pair, robust)  # one for all repeats
             model, r2 = front(xy, around, t)
             total = float((robust * (lag - np.average(lag, weights=robust)) ** 2).sum())
             left = float((robust * (lag - (t[pair[:, 1]] - t[pair[:, 0]])) ** 2).sum())
@@ -92,7 +92,7 @@ def graph_fronts(edges: DataFrame, coords: DataFrame, keys: list[str], settings:
             alike = [np.flatnonzero(strata == s) for s in np.unique(strata)]
 
             def null(change) -> float:
-                reached = sum(front(xy, around, robust_arrivals(len(nodes), pair, change(), robust, 1)[0])[1] >= r2 for _ in range(settings.repeats))
+                reached = sum(front(xy, around, robust_arrivals(len(nodes), pair, change(), robust, 1, again)[0])[1] >= r2 for _ in range(settings.repeats))
                 return (1 + reached) / (1 + settings.repeats)
 
             def permuted() -> np.ndarray:
