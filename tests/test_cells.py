@@ -187,6 +187,29 @@ def test_nearest_points_equal_brute_force(spark):
     assert got == {(min(k), max(k)): v for k, v in want.items()}
 
 
+def test_nearest_points_compare_few_points_each(monkeypatch):
+    seen, real = [], np.partition
+    monkeypatch.setattr(kernels.np, "partition", lambda d, *a, **k: seen.append(d.size) or real(d, *a, **k))
+    x, y = RNG.normal(size=(2, 20_000)) * 125
+    assert len(kernels.nearest(x, y, 3, 60.0)[0]) > 59_000 and sum(seen) < 1000 * len(x)
+    seen.clear()
+    x[:15_000], y[:15_000] = x[0], y[0]  # one place of many points
+    i, j, d = kernels.nearest(x, y, 3, 60.0)
+    here = i < 15_000
+    assert here.sum() == 45_000 and (d[here] == 0).all() and j[here].max() == 3 and sum(seen) < 1000 * len(x)
+
+
+def test_arrival_times_end_where_only_rounding_is_left():
+    n = 40
+    i, j = np.arange(n - 1), np.arange(1, n)
+    t = np.cumsum(RNG.random(n))
+    start = t + RNG.normal(size=n) * 1e-11
+    got = kernels.sparse_arrivals(n, i, j, np.ones(n - 1), np.diff(t), np.zeros(n, dtype=int), start, lambda r: np.ones(n))
+    assert got == pytest.approx(t - t[0], abs=1e-9)
+    with pytest.raises(RuntimeError):
+        kernels.sparse_arrivals(n, i, j, np.ones(n - 1), np.diff(t), np.zeros(n, dtype=int), np.zeros(n), lambda r: np.ones(n))
+
+
 def test_arrival_times_along_edges_equal_the_matrix(monkeypatch):
     n = 900
     xy = RNG.normal(size=(n, 2))

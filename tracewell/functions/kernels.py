@@ -243,32 +243,66 @@ def soft_dtw(a: np.ndarray, b: np.ndarray, gamma: float = 1.0) -> float:
 HUBER, LEAST_SCALE = 1.5, 0.5
 
 
-def nearest(x: np.ndarray, y: np.ndarray, k: int, radius: float, rows: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _leaves(x: np.ndarray, y: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Points halved along their longer side until at most `rows` are together."""
+    todo, out = [np.arange(len(x))] if len(x) else [], []
+    while todo:
+        at = todo.pop()
+        if len(at) <= rows:
+            out.append(at)
+            continue
+        v = (x if np.ptp(x[at]) >= np.ptp(y[at]) else y)[at]
+        by = np.argpartition(v, len(at) // 2)
+        todo += [at[by[: len(at) // 2]], at[by[len(at) // 2 :]]]
+    return out
+
+
+def nearest(x: np.ndarray, y: np.ndarray, k: int, radius: float, rows: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(point, other, distance) of each point's k nearest others within radius, ties by position.
 
-    Points in order of x are compared in strips with those near in x; the reach doubles until every point's k nearest lie within it, as
-    what lies beyond is farther away.
+    Places are looked up once, however many points lie there, and offer their first k + 1 points. A leaf of places is compared with those
+    leaves whose boxes are as near as the farthest of the k + 1 nearest in its own leaf; what lies beyond is farther away.
     """
-    n, order = len(x), np.argsort(x, kind="stable")
-    xs, ys, found = x[order], y[order], []
-    reach = radius if n <= rows else min(radius, (xs[-1] - xs[0]) / n * rows or radius)
-    for at in range(0, n, rows):
-        u, v, r = xs[at : at + rows], ys[at : at + rows], reach
-        while True:
-            lo, hi = np.searchsorted(xs, u[0] - r, side="left"), np.searchsorted(xs, u[-1] + r, side="right")
-            d = np.sqrt((u[:, None] - xs[None, lo:hi]) ** 2 + (v[:, None] - ys[None, lo:hi]) ** 2)
-            d[np.arange(len(u)), np.arange(len(u)) + at - lo] = np.inf
-            last = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(u), np.inf)
-            if r >= radius or (lo == 0 and hi == n) or (last < r).all():
-                break
-            r = min(radius, 2 * r)
+    known = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
+    order = known[np.lexsort((y[known], x[known]))]
+    xs, ys = x[order], y[order]
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (xs[1:] != xs[:-1]) | (ys[1:] != ys[:-1])
+    place, start = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+    px, py = xs[start], ys[start]
+    offered = np.minimum(np.diff(np.append(start, len(order))), k + 1)
+    leaves = _leaves(px, py, rows)
+    offers = [np.repeat(start[at] - np.cumsum(offered[at]) + offered[at], offered[at]) + np.arange(offered[at].sum()) for at in leaves]
+    left, right, low, high = (np.array([f(v[at]) for at in leaves]) for v in (px, py) for f in (np.min, np.max))
+    found = [(np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0))]
+
+    def distances(at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = np.sqrt((px[at][:, None] - xs[to][None, :]) ** 2 + (py[at][:, None] - ys[to][None, :]) ** 2)
+        return d, np.partition(d, k, axis=1)[:, k] if d.shape[1] > k else np.full(len(at), np.inf)
+
+    for at, own, x0, x1, y0, y1 in zip(leaves, offers, left, right, low, high, strict=True):
+        reach = min(radius, distances(at, own)[1].max())
+        apart = np.sqrt(np.maximum(np.maximum(left - x1, x0 - right), 0) ** 2 + np.maximum(np.maximum(low - y1, y0 - high), 0) ** 2)
+        to = np.concatenate([offers[m] for m in np.flatnonzero(apart <= reach)] or [own])
+        d, last = distances(at, to)
         i, j = np.nonzero((d <= last[:, None]) & (d <= radius) & np.isfinite(d))
-        d, i, j = d[i, j], order[i + at], order[j + lo]
+        d, i, j = d[i, j], at[i], order[to[j]]
         by = np.lexsort((j, d, i))
         i, j, d = i[by], j[by], d[by]
-        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        keep = np.arange(len(i)) - np.searchsorted(i, i) <= k
         found.append((i[keep], j[keep], d[keep]))
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+    at, other, d = (np.concatenate(c) for c in zip(*found, strict=True))
+    by = np.argsort(at, kind="stable")
+    at, other, d = at[by], other[by], d[by]
+    first = np.searchsorted(at, np.arange(len(start)))
+    count = (np.searchsorted(at, np.arange(len(start)), side="right") - first)[place]
+    point = np.repeat(order, count)
+    each = np.repeat(first[place] - np.cumsum(count) + count, count) + np.arange(len(point))
+    by = np.argsort(point, kind="stable")
+    point, each = point[by], each[by]
+    point, each = (v[other[each] != point] for v in (point, each))
+    keep = np.arange(len(point)) - np.searchsorted(point, point) < k
+    return point[keep], other[each[keep]], d[each[keep]]
 
 
 #: Nodes up to which a graph's normal equations are a dense matrix, and the residual, relative to the right side, that ends sparse ones.
@@ -387,6 +421,8 @@ def sparse_arrivals(n: int, i: np.ndarray, j: np.ndarray, u: np.ndarray, lags: n
         p, rz = z.copy(), float(r @ z)
         for _ in range(2 * n):
             q = times(p)
+            if float(p @ q) <= 0:  # p is the same for all of a part: only rounding is left
+                break
             step = rz / float(p @ q)
             x += step * p
             r -= step * q
