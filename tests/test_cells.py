@@ -113,6 +113,36 @@ def test_coincidences_and_tiling_equal_brute_force(spark):
     assert {(r["i"], r["j"]): r["value"] for r in got} == pytest.approx(share)
 
 
+def test_coincidences_are_written_small(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(43)
+    rows = [(0, i, int(v)) for i in range(900) for v in rng.integers(0, 400, rng.integers(9, 20))]
+    out = str(tmp_path / "out")
+    matching.coincidence(spark.createDataFrame(rows, "recording_id int, roi_idx long, t long"), 4).write.parquet(out)
+    parts = [pq.ParquetFile(p).metadata for p in (tmp_path / "out").glob("*.parquet")]
+    groups = [m.row_group(g) for m in parts for g in range(m.num_row_groups)]
+    n, most = sum(m.num_rows for m in parts), 900 * 899
+    assert 0.95 * most < n < most  # so that pairs are missing here and there
+    assert sum(g.column(c).total_compressed_size for g in groups for c in range(g.num_columns) if g.column(c).path_in_schema == "j") < 0.4 * n
+
+
+def test_tiles_hold_every_nonzero_element_once():
+    for shape in ((1, 1), (3, 8), (5, 255), (7, 256), (2, 257), (40, 700), (0, 9), (9, 0)):
+        for share in (0, 0.3, 0.97, 1):
+            x = (RNG.random(shape) < share) * RNG.integers(1, 9, shape)
+            i, j = pairwise.nonzero_tiles(x, 256)
+            assert len(i) == np.count_nonzero(x) and set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(k.tolist() for k in np.nonzero(x)), strict=True))
+
+
+def test_equal_trains_stand_side_by_side():
+    import pyarrow as pa
+
+    times = [[3.0, 1.0], [], [5.0], [1.0, 3.0], [5.0], [2.0, 1.0, 9.0]]
+    order = pairwise.Trains(pa.chunked_array([pa.array(times, pa.list_(pa.float64()))])).likeness()
+    assert order.tolist() == [5, 0, 3, 2, 4, 1]
+
+
 def test_running_counts_in_small_parts():
     import pyarrow as pa
 

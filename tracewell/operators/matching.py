@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from tracewell.functions.kernels import assignment
-from tracewell.functions.pairwise import SpikeTiling, Trains, near_counts, overlaps, rounded
+from tracewell.functions.pairwise import SpikeTiling, Trains, near_counts, nonzero_tiles, overlaps, rounded
 from tracewell.operators.cells import across, all_pairs, fields, flat, in_cells
 
 #: Trains of a cell's left side at once.
@@ -93,13 +93,15 @@ def coincidence(times: DataFrame, dt: float, recording: str = "recording_id", tr
     """(recording, i, j, n_i, hits): for each ordered pair of trains of a recording, how many of i's events have one of j's within dt.
 
     Every row is an event. Trains meet in cells of two blocks, where running counts are looked up at the ends of each train's
-    spans, so events are never paired. Pairs that never come near produce no row (they have 0 hits).
+    spans, so events are never paired. Pairs that never come near produce no row (they have 0 hits). Rows come in an order that
+    Parquet writes small: by tiles, with like trains side by side.
     """
     kind = times.schema[train].dataType
     rows = times.filter(F.col(t).isNotNull()).groupBy(recording, train).agg(F.collect_list(F.col(t).cast("double")).alias("times"))
     rows = rows.join(times.groupBy(recording, train).agg(F.count(F.lit(1)).alias("n_i")), [recording, train])
 
     def run(a: pa.Table, b: pa.Table, same: bool) -> Iterator[dict]:
+        a, b = (x.take(pa.array(Trains(x["times"]).likeness())).combine_chunks() for x in (a, b))
         right = Trains(b["times"])
         nodes, others = (flat(x[train]) for x in (a, b))
         sizes, their = (x["n_i"].to_numpy() for x in (a, b))
@@ -109,15 +111,15 @@ def coincidence(times: DataFrame, dt: float, recording: str = "recording_id", tr
             hits = near_counts(left, right, dt)
             if same:
                 hits[np.arange(len(strip)), np.arange(at, at + len(strip))] = 0
-            i, j = np.nonzero(hits)
+            i, j = nonzero_tiles(hits)
             yield {"i": nodes.take(pa.array(i + at)), "j": others.take(pa.array(j)), "n_i": sizes[i + at], "hits": hits[i, j]}
             if not same:
                 hits = near_counts(right, left, dt)
-                j, i = np.nonzero(hits)
+                j, i = nonzero_tiles(hits)
                 yield {"i": others.take(pa.array(j)), "j": nodes.take(pa.array(i + at)), "n_i": their[j], "hits": hits[j, i]}
 
-    schema = StructType([StructField("i", kind), StructField("j", kind), *fields("n_i long, hits long").fields])
-    return in_cells(rows, [recording], train, run, schema).select(recording, "i", "j", "hits", "n_i")
+    schema = StructType([StructField("i", kind), StructField("j", kind), *fields("hits long, n_i long").fields])
+    return in_cells(rows, [recording], train, run, schema)
 
 
 def tiled_fraction(times: DataFrame, dt: float, start: float, stop: float, keys: list[str], t: str = "t") -> DataFrame:
